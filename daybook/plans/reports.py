@@ -37,7 +37,9 @@ REPORT_LANGUAGES = 12  # Fixed value: languages listed in the summary report.
 
 
 def money_label(usd: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_string("%.2f", F.floor(usd * 100 + 0.5) / 100))
+    """$1.25; NULL for NULL."""
+    label = F.concat(F.lit("$"), F.format_string("%.2f", F.floor(usd * 100 + 0.5) / 100))
+    return F.when(usd.isNotNull(), label)
 
 
 def _text(*parts: Column | str) -> Column:
