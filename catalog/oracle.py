@@ -457,6 +457,8 @@ def sql(select: str) -> str:
             needed.add(name)
             todo.append(CTES[name])
     parts = [f"{n} as ({CTES[n]})" for n in CTES if n in needed]
+    if "{ctes}" in select:
+        return select.replace("{ctes}", ",\n".join(parts))
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + select
 
 
@@ -660,6 +662,42 @@ def _oracle() -> dict[str, str]:
         """select e.project, e.id, coalesce(s.session_id, 'idle_' || (e.ms // 60000)) as session_id from sig e
         left join gap_sessions s on s.project = e.project and s.duration_ms > 0 and s.started_at <= e.ts and e.ts < s.ended_at""",
     )
+    # One step per tick and project; the state is the open session and its sums.
+    CTES["tick"] = """
+        select project, row_number() over w as rn, ms as now, event_type in ('click', 'signup') as i, event_type <> 'error' as f,
+          coalesce(ms - (epoch_us(last_write) // 1000) < 180000, false) as g
+        from last_writes window w as (partition by project order by ms, id)"""
+    grow = {
+        "duration_ms": "true", "focus_ms": "t.f", "interaction_ms": "t.i", "agent_present_ms": "t.g",
+        "agent_only_ms": "t.g and not t.i", "focus_only_ms": "t.f and not t.i and not t.g", "idle_ms": "not t.i and not t.g",
+    }
+    open_row = "s.started is null and (t.i or t.g or t.f)"
+    go_on = "s.started is not null and (t.i or t.g or (t.f and t.now - s.typed < 600000))"
+    credit = "greatest(0, least(t.now - s.seen, 600000))"
+    state = ", ".join(
+        f"case when {go_on} then s.{c} + case when {w} then {credit} else 0 end else 0 end as {c}" for c, w in grow.items()
+    )
+    shut = ", ".join(f"s.{c} as closed_{c}" for c in TIME)
+    zero = ", ".join(f"0::bigint as {c}" for c in TIME)
+    walk = f"""
+        with recursive {{ctes}},
+        walk as (
+          select project, 0::bigint as rn, null::bigint as started, null::bigint as seen, null::bigint as typed, {zero},
+            false as closes, null::bigint as closed_start, null::bigint as ended, {', '.join(f'0::bigint as closed_{c}' for c in TIME)}
+          from (select distinct project from tick)
+          union all
+          select t.project, t.rn, case when {open_row} then t.now when {go_on} then s.started end, t.now,
+            case when {open_row} then t.now when {go_on} then case when t.i and t.now > s.seen then t.now else s.typed end end,
+            {state}, s.started is not null and not ({go_on}), s.started, t.now, {shut}
+          from walk s join tick t on t.project = s.project and t.rn = s.rn + 1)
+        select project, started_at, ended_at, is_closed, {', '.join(TIME)} from (
+          select project, closed_start as started_at, ended as ended_at, true as is_closed, {', '.join(f'closed_{c} as {c}' for c in TIME)}
+          from walk where closes
+          union all
+          select project, started, seen, false, {', '.join(TIME)} from walk
+          where started is not null and (project, rn) in (select (project, max(rn)) from tick group by project))
+        where duration_ms >= 30000"""
+    o("sessionize_ticks", walk)
     CTES["edits"] = f"""
         select project, ms // 60000 * 60000 as window_ms, 'src/u' || user_id || {pick(EXTENSIONS, 'user_id')} as file,
           {pick(('typescript', '', 'python', 'rust'), 'id')} as language, k, f % 7 as gone, ts, id from sig where event_type = 'click'"""

@@ -130,7 +130,7 @@ _PIECES = (
 
 
 def _summarize(idle: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         limits, opened, ids = _Chunk(pdf, idle).table()
         return pd.DataFrame(
             {"project": [key[0]], "_chunk": [key[1]], "limits": [limits], "opened": [opened], "ids": [ids]}
@@ -154,7 +154,7 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cut(idle: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = _Chunk(pdf, idle)
         flags = chunk.flags
         in_t = int(flags["in_t"].iloc[0])
