@@ -1,0 +1,190 @@
+"""Streams with state per project or agent session.
+
+State is one row per key. A key's rows of one micro-batch are sorted in the handler, so the source must
+bound batches (maxFilesPerTrigger). Needs the RocksDB state store; see use_rocksdb.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from daybook.functions.tokens import COUNTED, TOKENS, zero_if_null
+from daybook.functions.when import epoch_ms, from_epoch_ms
+from daybook.operators.activity import DIMENSIONS, GRACE_MS, IDLE_MS, MIN_SESSION_MS
+from daybook.operators.signals import aggregate_edits
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
+def stream_edits(edits: DataFrame, delay: str = "5 minutes") -> DataFrame:
+    """Edit windows of a stream, each once, when the watermark has passed it."""
+    return aggregate_edits(edits.withWatermark("ts", delay))
+
+
+_DELTA_STATE = T.StructType([T.StructField(t, T.LongType()) for t in TOKENS])
+
+
+class _Deltas(StatefulProcessor):
+    """Remembers the last running total of an agent session."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", _DELTA_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("byte_offset", kind="stable").reset_index(drop=True)
+        names = list(TOKENS)
+        known = self.last.get() if self.last.exists() else (0,) * len(names)
+        totals = batch.loc[batch["is_cumulative"], names]
+        if len(totals):
+            before = totals.shift(1)
+            before.iloc[0] = list(known)
+            batch.loc[totals.index, names] = (totals - before).clip(lower=0).astype("int64")
+            self.last.update(tuple(int(v) for v in totals.iloc[-1]))
+        yield batch[(batch[list(COUNTED)] > 0).any(axis=1)]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_deltas(usage: DataFrame) -> DataFrame:
+    """Per-turn usage from a stream of usage rows; the last running total outlives restarts."""
+    whole = usage.withColumns({t: zero_if_null(t) for t in TOKENS})
+    return whole.groupBy("agent", "session_uuid").transformWithStateInPandas(
+        statefulProcessor=_Deltas(), outputStructType=whole.schema, outputMode="Append", timeMode="None"
+    )
+
+
+_SESSION_STATE = T.StructType(
+    [T.StructField(n, T.LongType()) for n in ("start", "start_id", "seen", "typed", "written", *DIMENSIONS)]
+)
+_SESSION_OUT = T.StructType(
+    [
+        T.StructField("project", T.StringType()),
+        *[T.StructField(n, T.LongType()) for n in ("start_t", "start_id", "end_t", *DIMENSIONS)],
+        T.StructField("is_closed", T.BooleanType()),
+    ]
+)
+
+
+class _Open:
+    """An open session."""
+
+    def __init__(self, start: int, start_id: int, seen: int, typed: int, sums: list[int]):
+        self.start, self.start_id, self.seen, self.typed, self.sums = start, start_id, seen, typed, sums
+
+    def credit(self, ms: int, focused: bool, typed: bool, agent: bool) -> None:
+        counts = (True, focused, typed, agent, agent and not typed, focused and not (typed or agent), not (typed or agent))
+        self.sums = [total + ms if counted else total for total, counted in zip(self.sums, counts)]
+
+
+class _Sessions(StatefulProcessor):
+    """Keeps the open session of a project."""
+
+    def __init__(self, idle_ms: int, grace_ms: int, min_session_ms: int, absent_ms: int | None):
+        self.idle_ms, self.grace_ms, self.min_session_ms, self.absent_ms = idle_ms, grace_ms, min_session_ms, absent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", _SESSION_STATE)
+
+    def _load(self) -> tuple[_Open | None, int]:
+        if not self.state.exists():
+            return None, -1
+        start, start_id, seen, typed, written, *sums = (int(v) for v in self.state.get())
+        return (_Open(start, start_id, seen, typed, sums) if start >= 0 else None), written
+
+    def _save(self, now: _Open | None, written: int) -> None:
+        if now is None:
+            self.state.update((-1, -1, -1, -1, written, *[0] * len(DIMENSIONS)))
+        else:
+            self.state.update((now.start, now.start_id, now.seen, now.typed, written, *now.sums))
+
+    def _row(self, key, s: _Open, end: int, closed: bool) -> list[tuple]:
+        if s.sums[0] < self.min_session_ms:
+            return []
+        return [(key[0], s.start, s.start_id, end, *s.sums, closed)]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, written = self._load()
+        batch = pd.concat(list(rows)).sort_values(["t", "side", "id"], kind="stable")
+        out: list[tuple] = []
+        for r in batch.itertuples(index=False):
+            if r.side == 0:
+                written = max(written, r.t)
+                continue
+            agent = written >= 0 and r.t - written < self.grace_ms
+            if now is None:
+                if r.interaction or agent or r.focused:
+                    now = _Open(r.t, r.id, r.t, r.t, [0] * len(DIMENSIONS))
+            elif r.interaction or agent or (r.focused and r.t - now.typed < self.idle_ms):
+                if r.t > now.seen:
+                    now.credit(min(r.t - now.seen, self.idle_ms), r.focused, r.interaction, agent)
+                    now.typed = r.t if r.interaction else now.typed
+                now.seen = r.t
+            else:
+                out += self._row(key, now, r.t, True)
+                now = None
+        if self.absent_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if now is not None:
+                self.handle.registerTimer(now.seen + self.absent_ms)
+        self._save(now, written)
+        yield pd.DataFrame(out, columns=_SESSION_OUT.fieldNames())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """No tick came for absent_ms: the session is recorded as it was, up to its last tick."""
+        now, written = self._load()
+        out = self._row(key, now, now.seen, False) if now is not None else []
+        self._save(None, written)
+        yield pd.DataFrame(out, columns=_SESSION_OUT.fieldNames())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_sessions(
+    ticks: DataFrame,
+    idle_ms: int = IDLE_MS,
+    grace_ms: int = GRACE_MS,
+    min_session_ms: int = MIN_SESSION_MS,
+    absent_ms: int | None = None,
+    delay: str = "1 minute",
+) -> DataFrame:
+    """Closed sessions from a stream of ticks (project, ts, id, interaction, focused) and agent writes
+    (the same with is_write true). With absent_ms, a session whose ticks stop for that long is recorded
+    as it was at its last tick."""
+    rows = ticks.withWatermark("ts", delay).select(
+        "project",
+        "ts",
+        epoch_ms(F.col("ts")).alias("t"),
+        F.when(F.col("is_write"), F.lit(0)).otherwise(F.lit(1)).alias("side"),
+        "id",
+        F.coalesce("interaction", F.lit(False)).alias("interaction"),
+        F.coalesce("focused", F.lit(False)).alias("focused"),
+    )
+    sessions = rows.groupBy("project").transformWithStateInPandas(
+        statefulProcessor=_Sessions(idle_ms, grace_ms, min_session_ms, absent_ms),
+        outputStructType=_SESSION_OUT,
+        outputMode="Append",
+        timeMode="None" if absent_ms is None else "EventTime",
+    )
+    return sessions.select(
+        "project",
+        F.concat(F.lit("s_"), "project", F.lit("_"), "start_t", F.lit("_"), "start_id").alias("session_id"),
+        from_epoch_ms(F.col("start_t")).alias("started_at"),
+        from_epoch_ms(F.col("end_t")).alias("ended_at"),
+        "is_closed",
+        *DIMENSIONS,
+    )
