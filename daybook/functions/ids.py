@@ -28,7 +28,9 @@ def sequence_event_id(event_type: Column, session_id: Column, seq: Column) -> Co
 
 def offset_in(event_id: Column) -> Column:
     """Number after the last colon; 0 if there is none."""
-    return F.coalesce(F.substring_index(event_id, ":", -1).try_cast("double"), F.lit(0.0))
+    last = F.substring_index(event_id, ":", -1)
+    numeric = F.rlike(last, F.lit(r"^[0-9.eE+-]+$"))
+    return F.coalesce(F.when(numeric, last.try_cast("double")), F.lit(0.0))
 
 
 def idle_session_id(ms: Column) -> Column:

@@ -15,9 +15,20 @@ def accept_repeated_keys(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+def listed(line: str) -> str:
+    """The line as a JSON list, so that text after a value (two records run together) is an error."""
+    return f"concat('[', {line}, ']')"
+
+
 def parsed(line: str) -> str:
-    """The line as a variant, NULL if it is not JSON."""
-    return f"try_parse_json({line})"
+    """The line's values as a variant list, NULL if the line is not JSON."""
+    return f"try_parse_json({listed(line)})"
+
+
+def single(values: str) -> str:
+    """The one value of a parsed line, NULL if it has none or several."""
+    second = f"try_variant_get({values}, '$[1]', 'variant')"
+    return f"if({second} is null, try_variant_get({values}, '$[0]', 'variant'), null)"
 
 
 def node(doc: str, path: str) -> str:

@@ -25,9 +25,9 @@ def without_colours(text: Column) -> Column:
 
 
 def _number_before(text: Column, word: str) -> Column:
-    return F.coalesce(
-        F.regexp_extract(text, rf"(?i)(\d+)\s+{word}", 1).try_cast("bigint"), F.lit(0).cast("bigint")
-    )
+    found = F.regexp_extract(text, rf"(?i)(\d+)\s+{word}", 1)
+    # An empty text is not cast: failed casts are slow.
+    return F.coalesce(F.when(found != "", found.try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def test_summaries(df: DataFrame, output: str) -> DataFrame:

@@ -111,7 +111,8 @@ def read_usage(lines: DataFrame) -> DataFrame:
     J.accept_repeated_keys(lines.sparkSession)
     kept = [c for c in lines.columns if c != "line"]
     claude, codex, doc = f"agent = '{CLAUDE}'", f"agent = '{CODEX}'", "_doc"
-    parsed = lines.selectExpr(*kept, "trim(line) as _line", f"{J.parsed('trim(line)')} as _doc")
+    parsed = lines.selectExpr(*kept, "trim(line) as _line", f"{J.parsed('trim(line)')} as _values")
+    parsed = parsed.selectExpr(*kept, "_line", f"{J.single('_values')} as _doc")
     found = parsed.selectExpr(
         *kept,
         "_doc is null and _line <> '' as unparsed",

@@ -14,12 +14,12 @@ def _payload_ddl() -> str:
     fields = {}
     for key, kind in FIELDS.values():
         fields[key] = "string" if kind == "timestamp" else "double" if kind == "bigint" else kind
-    return ", ".join(f"`{k}` {t}" for k, t in fields.items())
+    return ",".join(f"`{k}`:{t}" for k, t in fields.items())
 
 
-ENVELOPE_JSON = (
-    "eventId string, ts string, project string, branch string, sessionId string, type string, "
-    f"payload struct<{_payload_ddl().replace('` ', '`:')}>"
+EVENT_JSON = (
+    "array<struct<eventId:variant,ts:string,project:string,branch:string,sessionId:string,type:variant,"
+    f"payload:struct<{_payload_ddl()}>>>"
 )
 
 
@@ -27,29 +27,19 @@ def decode_events(lines: DataFrame, line: str = "value") -> DataFrame:
     """Log rows from JSON lines with ingest_seq; blank or broken lines and lines without a textual
     event id and type are dropped."""
     J.accept_repeated_keys(lines.sparkSession)
-    parsed = lines.selectExpr("ingest_seq", f"trim({line}) as _line", f"{J.parsed(f'trim({line})')} as _doc")
-    named = "named_struct('event_id', {}, 'type', {})".format(
-        J.text(J.node("_doc", "eventId")), J.text(J.node("_doc", "type"))
-    )
-    parsed = parsed.selectExpr("ingest_seq", f"{named} as _id", f"from_json(_line, '{ENVELOPE_JSON}') as _e")
+    read = lines.selectExpr("ingest_seq", f"from_json({J.listed(f'trim({line})')}, '{EVENT_JSON}') as _all")
+    one = read.selectExpr("ingest_seq", "if(size(_all) = 1, _all[0], null) as _e")
+    event_id, kind = J.text("_e.eventId"), J.text("_e.type")
+    named = one.selectExpr("ingest_seq", "_e", f"named_struct('event_id', {event_id}, 'type', {kind}) as _id")
     known = F.expr("if(_id.event_id is not null and _id.type is not null, _id, null)")
-    read = present(parsed.select("ingest_seq", "_e", known.alias("_known")), F.col("_known"))
-    payload = {}
-    for name, (key, kind) in FIELDS.items():
-        value = F.col(f"_e.payload.{key}")
-        payload[name] = F.try_to_timestamp(value) if kind == "timestamp" else value.cast(kind)
-    return as_log(
-        read.select(
-            "event_id",
-            F.try_to_timestamp(F.col("_e.ts")).alias("ts"),
-            F.col("_e.project").alias("project"),
-            F.col("_e.branch").alias("branch"),
-            F.col("_e.sessionId").alias("session_id"),
-            "type",
-            "ingest_seq",
-            *[c.alias(n) for n, c in payload.items()],
-        )
-    )
+    events = present(named.select("ingest_seq", "_e", known.alias("_known")), F.col("_known"))
+    values = {"string": "{}", "timestamp": "try_to_timestamp({})"}
+    payload = [
+        values.get(kind, "try_cast({} as " + kind + ")").format(f"_e.payload.{key}") + f" as {name}"
+        for name, (key, kind) in FIELDS.items()
+    ]
+    head = ["try_to_timestamp(_e.ts) as ts", "_e.project", "_e.branch", "_e.sessionId as session_id"]
+    return as_log(events.selectExpr("event_id", "type", "ingest_seq", *head, *payload))
 
 
 def iso_text(ts: Column) -> Column:
