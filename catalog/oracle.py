@@ -615,7 +615,7 @@ def _oracle() -> dict[str, str]:
     o("git_file_stats", f"select *, {history_language('file')} as language from (select * replace (place::int as place) from file_rank) where place <= 100")
     o(
         "git_language_stats",
-        """select g.*, c.n as commits_scanned from git_langs g
+        """select g.* exclude (place), c.n as commits_scanned from git_langs g
         join (select project, count(*) filter (has_parent) as n from commit0 group by 1) c using (project)""",
     )
     o(
@@ -766,7 +766,8 @@ def _oracle() -> dict[str, str]:
           count(*) filter (kind = 'delete') as fs_delete, count(*) filter (kind = 'change') as fs_change
         from sig_all left join sig_p using (project, period) group by 1, 2""",
     )
-    o("lines_by_language", "select project, language, period, lines, pct, place from live_langs")
+    o("lines_by_language", "select project, language, period, lines, pct from live_langs")
+    o("language_lines", "select project, language, period, lines, pct, place from live_langs where place <= 12")
     o(
         "top_files",
         """select project, period, place::int as place, file, lines_added, lines_removed, 0::bigint as active_ms from (
@@ -796,6 +797,28 @@ def _oracle() -> dict[str, str]:
         from sig_all left join sig_p using (project, period) group by 1, 2""",
     )
     o("multi_period_rollup", "select * from rollup")
+    CTES["lang_list"] = """
+        select project, period, string_agg(language || ':' || lines, ',' order by lines desc, language) as languages
+        from live_langs group by 1, 2"""
+    CTES["file_list"] = """
+        select project, period, string_agg(file || ':' || a, ',' order by n desc, first) filter (place <= 20) as files from (
+          select *, row_number() over (partition by project, period order by n desc, first) as place from (
+            select project, period, file, sum(lines_added) as a, sum(lines_added + lines_removed) as n, min(seq) as first
+            from signal_log, {0} where ts >= since and type = 'file_edit' group by 1, 2, 3)) group by 1, 2""".format(PERIODS)
+    CTES["agent_list"] = """
+        select project, period, string_agg(agent, ',' order by agent) as agents,
+          max(total_tokens) filter (agent = 'claude') as claude_tokens from agent_totals group by 1, 2"""
+    CTES["model_list"] = """
+        select project, period, string_agg(model, ',' order by place) as codex_models from models where agent = 'codex' group by 1, 2"""
+    o(
+        "rollup_nested",
+        """select r.project, r.period, duration_ms, median_session_ms, files_edited, commits, last_errors, test_runs, languages, files,
+          agents, claude_tokens, array_to_string(pricing_versions, ',') as claude_versions, codex_models,
+          duration_ms as worked_ms, 24::int as hours
+        from rollup r left join lang_list using (project, period) left join file_list using (project, period)
+        left join agent_list using (project, period) left join model_list using (project, period)
+        left join (select * from versions where agent = 'claude') v using (project, period)""",
+    )
     csv = {
         "durationMs": "duration_ms", "interactionMs": "interaction_ms", "agentPresentMs": "agent_present_ms",
         "agentOnlyMs": "agent_only_ms", "idleMs": "idle_ms", "sessions": "sessions", "longestSessionMs": "longest_session_ms",

@@ -425,6 +425,11 @@ def lines_by_language(spark, sf):
     return rollup.lines_by_language(S.signal_log(spark, sf), S.NOW)
 
 
+@query
+def language_lines(spark, sf):
+    return reports.language_lines(rollup.lines_by_language(S.signal_log(spark, sf), S.NOW))
+
+
 @query
 def top_files(spark, sf):
     return rollup.top_files(S.signal_log(spark, sf), S.NOW).select(
@@ -459,7 +464,26 @@ def multi_period_rollup(spark, sf):
 
 @query
 def rollup_nested(spark, sf):
-    return reports.rollup_nested(S.event_log(spark, sf), S.NOW)
+    """The nested export, read back field by field."""
+    nested = reports.rollup_nested(S.event_log(spark, sf), S.NOW)
+    return nested.selectExpr(
+        "project",
+        "period",
+        "time.duration_ms",
+        "time.median_session_ms",
+        "editor.files_edited",
+        "git.commits",
+        "quality.last_errors",
+        "counts.test_runs",
+        "array_join(transform(editor.by_language, l -> concat(l.language, ':', l.lines)), ',') as languages",
+        "array_join(transform(editor.top_files, f -> concat(f.file, ':', f.lines_added)), ',') as files",
+        "array_join(array_sort(map_keys(agents)), ',') as agents",
+        "agents['claude'].total_tokens as claude_tokens",
+        "array_join(agents['claude'].pricing_versions, ',') as claude_versions",
+        "array_join(transform(agents['codex'].by_model, m -> m.model), ',') as codex_models",
+        "cast(round(aggregate(heatmap_by_hour, 0D, (a, x) -> a + x) * 60000) as bigint) as worked_ms",
+        "size(heatmap_by_hour) as hours",
+    )
 
 
 def _rollup_and_agents(spark, sf):

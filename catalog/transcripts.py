@@ -11,7 +11,7 @@ from daybook.operators.usage import read_usage, session_metas, usage_rows
 from daybook.schema import union_log
 from daybook.session import stage
 from daybook.sources.event_log import encode_events
-from daybook.sources.transcripts import locate_lines
+from daybook.sources.transcripts import line_bytes, locate_lines
 
 FILE_TIME = "2024-02-01 00:00:00"
 
@@ -89,7 +89,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return locate_lines(lines(spark, sf_dir), ["place"])
+    sized = lines(spark, sf_dir).withColumn("bytes", line_bytes()).drop("line")
+    return locate_lines(sized, ["place"])
 
 
 def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,10 +177,10 @@ def day_segments(series: DataFrame) -> DataFrame:
 
 def intensity_levels(cells: DataFrame) -> DataFrame:
     """Level 0 to 4 of each day against the project's longest day."""
-    longest = cells.groupBy("project").agg(F.greatest(F.max("duration_ms"), F.lit(1)).alias("_max"))
+    longest = F.greatest(F.max("duration_ms").over(W.partitionBy("project")), F.lit(1))
     share = F.least(F.lit(1.0), F.sqrt(F.col("duration_ms") / F.col("_max")))
     level = F.lit(1) + F.least(F.lit(LEVELS - 1), F.floor(share * LEVELS))
-    return cells.join(longest, "project").select(
+    return cells.withColumn("_max", longest).select(
         "project",
         "date",
         "duration_ms",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions.paths import language_of
 from daybook.functions.tokens import zero_if_null
-from daybook.operators.rollup import with_share
+from daybook.operators.rollup import first_languages, with_share
 from daybook.session import small_side
 from daybook.sources.commits import newest_commits
 
@@ -52,13 +52,14 @@ def git_language_stats(changes: DataFrame) -> DataFrame:
 
 
 def top_file_languages(files: DataFrame, k: int = SHOWN_LANGUAGES) -> DataFrame:
-    """Share of each language among listed files (project, language, lines_added, lines_removed)."""
+    """Share of each language among listed files (project, language, lines_added, lines_removed);
+    nothing for a project without any line."""
     totals = files.groupBy("project", "language").agg(
         F.sum(F.col("lines_added") + F.col("lines_removed")).alias("lines")
     )
-    shares = with_share(totals, ["project"])
-    whole = F.sum("lines").over(W.partitionBy("project"))
-    return shares.withColumn("_whole", whole).where((F.col("_whole") > 0) & (F.col("place") <= k)).drop("_whole")
+    everything = totals.groupBy("project").agg(F.sum("lines").alias("_all")).where("_all > 0")
+    shares = with_share(totals.join(everything.drop("_all"), "project"), ["project"])
+    return first_languages(shares, ["project"], k)
 
 
 def first_choice(history: DataFrame, live: DataFrame) -> DataFrame:
@@ -69,9 +70,9 @@ def first_choice(history: DataFrame, live: DataFrame) -> DataFrame:
 
 def language_composition(git_languages: DataFrame, live_languages: DataFrame, k: int = SHOWN_LANGUAGES) -> DataFrame:
     """Languages from the commit history, or from live edits where a project has no history."""
-    columns = ["project", "language", "lines", "pct", "place"]
+    columns = ["project", "language", "lines", "pct"]
     chosen = first_choice(
         git_languages.select(*columns, F.lit("history").alias("source")),
         live_languages.where("period = 'all'").select(*columns, F.lit("live").alias("source")),
     )
-    return chosen.where(F.col("place") <= k)
+    return first_languages(chosen, ["project"], k)

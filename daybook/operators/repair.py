@@ -79,7 +79,7 @@ def _envelopes(log: DataFrame) -> DataFrame:
 
 def _reparsed_turns(log: DataFrame, reparsed: Reparsed, prices: DataFrame) -> DataFrame:
     envelopes = _envelopes(log)
-    rows = reparsed.turns.join(small_side(envelopes), SESSION).withColumns(
+    rows = reparsed.turns.join(envelopes, SESSION).withColumns(
         {
             "event_id": turn_event_id(
                 F.col("agent"), F.col("session_uuid"), F.col("message_id"), F.col("byte_offset")
@@ -98,7 +98,7 @@ def migrate_turns(log: DataFrame, reparsed: Reparsed, prices: DataFrame, chunks:
     """Every agent turn after the repair: exact ones where the source exists, upgraded ones elsewhere."""
     exact = _reparsed_turns(log, reparsed, prices)
     sources = reparsed.files.select(*SESSION)
-    stored = log.where(F.col("type") == "agent_turn").join(small_side(sources), SESSION, "left_anti")
+    stored = log.where(F.col("type") == "agent_turn").join(sources, SESSION, "left_anti")
     fixed = reprice(upgrade_stored_turns(stored, chunks), prices)
     return as_log(exact).unionByName(as_log(fixed)).withColumn("_offset", offset_in(F.col("event_id")))
 

@@ -213,12 +213,17 @@ def lines_by_language(log: DataFrame, now) -> DataFrame:
 
 
 def with_share(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Percentage of lines within keys, and the place by lines, then language."""
-    everything = F.sum("lines").over(W.partitionBy(*keys))
+    """Percentage of lines within keys."""
+    everything = lines.groupBy(*keys).agg(F.sum("lines").alias("_all"))
+    pct = F.when(F.col("_all") > 0, F.col("lines") / F.col("_all") * 100).otherwise(F.lit(0.0))
+    return lines.join(everything, keys).withColumn("pct", pct).drop("_all")
+
+
+def first_languages(shares: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k languages with most lines within keys, by place; Spark keeps k per key and task before
+    the shuffle."""
     ranked = W.partitionBy(*keys).orderBy(F.desc("lines"), "language")
-    return lines.withColumn(
-        "pct", F.when(everything > 0, F.col("lines") / everything * 100).otherwise(F.lit(0.0))
-    ).withColumn("place", F.row_number().over(ranked))
+    return shares.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
 
 
 def top_files(log: DataFrame, now, k: int = TOP_FILES) -> DataFrame:

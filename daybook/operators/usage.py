@@ -10,7 +10,7 @@ from daybook.functions.tokens import BILLED, TOKENS, any_tokens, zero_if_null
 from daybook.operators.dedup import last_by
 from daybook.operators.ordered import OrderedRows, latest
 from daybook.schema import CLAUDE, CODEX, DEFAULT_CODEX_MODEL, UNKNOWN_MODEL
-from daybook.session import present, small_side
+from daybook.session import present
 
 # Fixed value: model name of messages made locally, without an API call.
 LOCAL_MODEL = "<synthetic>"
@@ -149,7 +149,7 @@ def usage_rows(read: DataFrame) -> DataFrame:
     named = F.when(
         F.col("agent") == CODEX, F.coalesce("_meta_model", F.lit(DEFAULT_CODEX_MODEL))
     ).otherwise(F.col("model"))
-    return rows.join(small_side(metas), "source_file", "left").withColumn("model", named).drop("_meta_model")
+    return rows.join(metas, "source_file", "left").withColumn("model", named).drop("_meta_model")
 
 
 def session_metas(read: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from daybook.operators.pricing import price_turns
 from daybook.operators.usage import file_quality, read_usage, session_metas, to_deltas, usage_rows
 from daybook.schema import CALC_VERSION, CLAUDE, CODEX, as_log
 from daybook.session import small_side, stage
-from daybook.sources.transcripts import grown_files, list_transcripts, read_transcript_lines
+from daybook.sources.transcripts import grown_files, list_transcripts, names_to_open, read_transcript_lines
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ def ingest(
     Only turns past the cursor become rows, and ids are deterministic, so a repeated pass is harmless.
     """
     grown = stage(grown_files(list_transcripts(spark, path), cursors), "grown")
-    names = [r.source_file for r in grown.select("source_file").collect()]
+    names = names_to_open(grown, path)
     if not names:
         return None
     found = read_transcripts(spark, names, agent)
@@ -104,6 +104,8 @@ def ingest(
     turns = stage(turn_events(found, owners, prices), "turns")
     start = grown.select("source_file", "from_offset")
     fresh = turns.join(small_side(start), "source_file").where("byte_offset >= from_offset")
-    sessions = session_events(turns, found, owners, prices)
+    grown_turns = turns.join(small_side(start.select("source_file")), "source_file", "left_semi")
+    sessions = session_events(grown_turns, found, owners, prices)
     rows = as_log(fresh).unionByName(as_log(sessions)).withColumn("session_id", F.lit(session_id))
-    return rows, found.quality.select("source_file", "next_offset")
+    after = found.quality.join(start.select("source_file"), "source_file", "left_semi")
+    return rows, after.select("source_file", "next_offset")

@@ -220,7 +220,7 @@ def model_lines(models: DataFrame) -> DataFrame:
 
 
 def language_lines(languages: DataFrame, k: int = REPORT_LANGUAGES) -> DataFrame:
-    return languages.where(F.col("place") <= k)
+    return R.first_languages(languages, ["project", "period"], k)
 
 
 def rollup_nested(log: DataFrame, now) -> DataFrame:
@@ -256,11 +256,14 @@ def rollup_nested(log: DataFrame, now) -> DataFrame:
         rest = [c for c in df.columns if c not in (*keys, order)]
         return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias(name))
 
+    # Most lines first.
+    languages = listed(R.lines_by_language(log, now).withColumn("_less", -F.col("lines")), "_less", "by_language")
+    by_language = languages.withColumn("by_language", F.transform("by_language", lambda s: s.dropFields("_less")))
     hours = listed(R.hours_of_day(log, now), "hour", "hours")
     out = flat
     for part in (
         agents,
-        listed(R.lines_by_language(log, now), "place", "by_language"),
+        by_language,
         listed(R.top_files(log, now), "place", "top_files"),
         hours.withColumn("hours", F.transform("hours", lambda h: h["minutes"])),
     ):

@@ -50,5 +50,6 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count proves it small; otherwise df, left to a shuffle join
-    whose hot partitions adaptive execution splits."""
+    whose hot partitions adaptive execution splits. For inputs that are cheap to count: where the side
+    is itself a large aggregate, a plain join lets adaptive execution decide by its measured size."""
     return F.broadcast(df) if is_small(df, rows) else df

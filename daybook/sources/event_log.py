@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions import jsonval as J
+from daybook.operators.ordered import OrderedRows, total
 from daybook.schema import FIELDS, PAYLOADS, as_log
 from daybook.session import present
 
@@ -23,23 +24,25 @@ EVENT_JSON = (
 )
 
 
-def decode_events(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Log rows from JSON lines with ingest_seq; blank or broken lines and lines without a textual
-    event id and type are dropped."""
+def decode_events(lines: DataFrame, line: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Log rows from JSON lines with ingest_seq (or with the columns to keep instead); blank or broken
+    lines and lines without a textual event id and type are dropped."""
+    beside = keep or ["ingest_seq"]
     J.accept_repeated_keys(lines.sparkSession)
-    read = lines.selectExpr("ingest_seq", f"from_json({J.listed(f'trim({line})')}, '{EVENT_JSON}') as _all")
-    one = read.selectExpr("ingest_seq", "if(size(_all) = 1, _all[0], null) as _e")
+    read = lines.selectExpr(*beside, f"from_json({J.listed(f'trim({line})')}, '{EVENT_JSON}') as _all")
+    one = read.selectExpr(*beside, "if(size(_all) = 1, _all[0], null) as _e")
     event_id, kind = J.text("_e.eventId"), J.text("_e.type")
-    named = one.selectExpr("ingest_seq", "_e", f"named_struct('event_id', {event_id}, 'type', {kind}) as _id")
+    named = one.selectExpr(*beside, "_e", f"named_struct('event_id', {event_id}, 'type', {kind}) as _id")
     known = F.expr("if(_id.event_id is not null and _id.type is not null, _id, null)")
-    events = present(named.select("ingest_seq", "_e", known.alias("_known")), F.col("_known"))
+    events = present(named.select(*beside, "_e", known.alias("_known")), F.col("_known"))
     values = {"string": "{}", "timestamp": "try_to_timestamp({})"}
     payload = [
         values.get(kind, "try_cast({} as " + kind + ")").format(f"_e.payload.{key}") + f" as {name}"
         for name, (key, kind) in FIELDS.items()
     ]
     head = ["try_to_timestamp(_e.ts) as ts", "_e.project", "_e.branch", "_e.sessionId as session_id"]
-    return as_log(events.selectExpr("event_id", "type", "ingest_seq", *head, *payload))
+    rows = events.selectExpr("event_id", "type", *beside, *head, *payload)
+    return rows if keep else as_log(rows)
 
 
 def iso_text(ts: Column) -> Column:
@@ -75,10 +78,20 @@ def encode_events(log: DataFrame, *keep: str) -> DataFrame:
     return log.select(*keep, line.alias("value"))
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their order in the log: by file, then by place in the file."""
+def read_log(spark: SparkSession, path: str, chunks: int | None = None) -> DataFrame:
+    """The log decoded and numbered in log order: older files first, then by place in the file."""
     raw = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
-    return raw.select("value", F.monotonically_increasing_id().alias("ingest_seq"))
+    order = ["_mtime", "_file", "_block", "_place"]
+    lines = raw.select(
+        "value",
+        F.col("_metadata.file_modification_time").alias("_mtime"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"),
+    )
+    rows = decode_events(lines, keep=order).withColumn("_log", F.lit(0))
+    numbered = OrderedRows(rows, ["_log"], order, chunks, "log").carry(_n=total(F.lit(1).cast("bigint")))
+    return as_log(numbered.withColumn("ingest_seq", F.col("_n")))
 
 
 def append_events(log: DataFrame, path: str) -> None:

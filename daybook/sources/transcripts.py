@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,9 @@ from daybook.functions.paths import transcript_uuid
 from daybook.operators.ordered import OrderedRows, total
 from daybook.session import small_side
 
+# Most files a scan names one by one; beyond that it reads the folder.
+NAMED_FILES = 10_000
+
 
 def list_transcripts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """source_file, size, mtime of every *.jsonl below path; contents are not read."""
@@ -69,7 +72,7 @@ def read_transcript_lines(
             F.col("_metadata.file_block_start").alias("_block"),
             F.col("_metadata.file_block_length").alias("_block_length"),
         )
-        .withColumn("_bytes", F.octet_length("line").cast("bigint") + 1)
+        .withColumn("_bytes", line_bytes())
     )
     block_starts = (
         raw.where("_block_length < _size")
@@ -92,7 +95,7 @@ def read_transcript_lines(
     )
     located = (
         numbered.withColumn("_in_block", F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)))
-        .join(small_side(block_starts), ["source_file", "_block"], "left")
+        .join(block_starts, ["source_file", "_block"], "left")
         .withColumn("byte_offset", F.col("_in_block") + F.coalesce("_before_block", F.lit(0)))
         .withColumn("next_offset", F.col("byte_offset") + F.col("_bytes"))
         .where("next_offset <= _size")
@@ -113,20 +116,30 @@ def read_new_lines(
     cursors: DataFrame,
     extract: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame | None:
-    """Lines past the cursors, opening only files that grew; None if none did. Only the names of grown
-    files reach the driver, where Spark plans the scan."""
-    grown = [r.source_file for r in grown_files(list_transcripts(spark, path), cursors).collect()]
-    return read_transcript_lines(spark, grown, cursors, extract) if grown else None
+    """Lines past the cursors, opening only files that grew; None if none did."""
+    names = names_to_open(grown_files(list_transcripts(spark, path), cursors), path)
+    return read_transcript_lines(spark, names, cursors, extract) if names else None
+
+
+def names_to_open(files: DataFrame, path: str | list[str]) -> str | list[str]:
+    """The files by name where they are few enough to name in a scan, else the folder they are in."""
+    names = [r.source_file for r in files.select("source_file").limit(NAMED_FILES + 1).collect()]
+    return names if len(names) <= NAMED_FILES else path
 
 
-def locate_lines(lines: DataFrame, order: list[str], chunks: int | None = None) -> DataFrame:
-    """Byte offsets of lines already held in a table, in the given order within source_file."""
-    sized = lines.withColumn("_bytes", F.octet_length("line").cast("bigint") + 1)
+def line_bytes(line: str = "line") -> Column:
+    """Bytes a line takes in its file, with its line break."""
+    return F.octet_length(line).cast("bigint") + 1
+
+
+def locate_lines(sized: DataFrame, order: list[str], chunks: int | None = None) -> DataFrame:
+    """Byte offsets of lines already held in a table, in the given order within source_file. Column
+    bytes is their line_bytes; the texts themselves need not come along."""
     ordered = OrderedRows(sized, ["source_file"], order, chunks, "lines")
     return (
-        ordered.carry(byte_offset=total(F.col("_bytes")))
-        .withColumn("next_offset", F.col("byte_offset") + F.col("_bytes"))
-        .drop("_bytes", "_chunk")
+        ordered.carry(byte_offset=total(F.col("bytes")))
+        .withColumn("next_offset", F.col("byte_offset") + F.col("bytes"))
+        .drop("bytes", "_chunk")
     )
 
 

@@ -9,7 +9,7 @@ from daybook.functions.tokens import TOKENS
 from daybook.operators.usage import file_quality, read_usage, session_metas, to_deltas, usage_rows
 from daybook.operators.dedup import one_per_response
 from daybook.plans.ingest import ingest, read_transcripts
-from daybook.sources.event_log import decode_events, encode_events, first_per_event
+from daybook.sources.event_log import append_events, decode_events, encode_events, first_per_event, read_log
 from daybook.sources.prices import shipped_prices
 from daybook.sources.transcripts import (
     advance_cursors,
@@ -111,6 +111,7 @@ def test_claude_usage_of_lines(spark):
         json.dumps({"message": {"usage": "text"}, "usage": {"input_tokens": 9}}),
         json.dumps({"message": {"usage": {"input_tokens": 4}, "id": 12}, "timestamp": 5}),
         "[1]",
+        usage_line(input_tokens=1) + usage_line(input_tokens=2),
     ]
     got = read(spark, "claude", lines)
     rows = {r.byte_offset: r for r in usage_rows(got).collect()}
@@ -120,7 +121,7 @@ def test_claude_usage_of_lines(spark):
     assert (rows[6].input, rows[6].output, rows[6].model) == (5, 0, "m")
     assert rows[7].input == 3 and rows[7].model == "unknown"
     assert str(rows[7].ts) == MTIME and str(rows[9].ts) == MTIME and rows[9].message_id is None
-    assert file_quality(got).first()["unparsed_lines"] == 1
+    assert file_quality(got).first()["unparsed_lines"] == 2
 
 
 def test_a_response_on_several_lines_counts_once(spark):
@@ -241,6 +242,11 @@ def test_log_round_trip_and_first_row_per_event(spark):
     turn = first["agent_turn", "claude:u:100"]
     assert (turn.input, turn.output, turn.cost_usd, str(turn.ts)) == (5, None, 0.5, "2026-08-30 10:00:00")
     assert first["diagnostics", "d"].by_language["ts"].warnings == 1 and first["diagnostics", "d"].ts is None
+    folder = tempfile.mkdtemp(prefix="daybook-test-")
+    append_events(log.where("ingest_seq <= 2").orderBy("ingest_seq").coalesce(1), folder)
+    append_events(log.where("ingest_seq > 2").orderBy("ingest_seq").coalesce(1), folder)
+    stored = [(r.ingest_seq, r.event_id) for r in read_log(spark, folder, chunks=3).orderBy("ingest_seq").collect()]
+    assert stored == list(enumerate(["claude:u:100", "claude:u:100", "claude:u:100", "x", "d"]))
     back = decode_events(encode_events(log, "ingest_seq"))
     assert sorted(map(tuple, back.drop("by_language").collect()), key=repr) == sorted(
         map(tuple, log.drop("by_language").collect()), key=repr
