@@ -256,6 +256,9 @@ def sessionize_ticks(
     last tick has is_closed false and ends there, never later."""
     rows, states = tick_states(ticks, writes, idle_ms, grace_ms, reopen_on_focus, chunks)
     split = rows.split_keys()
+    if split is None:
+        whole = states.withColumns({"in_t": F.lit(_NONE).cast("bigint"), "in_id": F.lit(_NONE).cast("bigint")})
+        return _sessions(whole, idle_ms, min_session_ms)
     columns = ["project", CHUNK, "t", "id", "can_open", "dead", "stale"]
     tables = (
         states.join(F.broadcast(split), "project", "left_semi")
@@ -265,12 +268,13 @@ def sessionize_ticks(
     )
     # One row per chunk of a split project: small, and safe to broadcast.
     incoming = tables.groupBy("project").applyInPandas(_chain, _INCOMING)
-    pieces = (
-        states.join(F.broadcast(incoming), ["project", CHUNK], "left")
-        .fillna(_NONE, ["in_t", "in_id"])
-        .groupBy("project", CHUNK)
-        .applyInPandas(_cut(idle_ms), _PIECES)
-    )
+    continued = states.join(F.broadcast(incoming), ["project", CHUNK], "left").fillna(_NONE, ["in_t", "in_id"])
+    return _sessions(continued, idle_ms, min_session_ms)
+
+
+def _sessions(states: DataFrame, idle_ms: int, min_session_ms: int) -> DataFrame:
+    """Sessions from tick states that know the session their chunk begins with."""
+    pieces = states.groupBy("project", CHUNK).applyInPandas(_cut(idle_ms), _PIECES)
     whole = pieces.groupBy("project", "start_t", "start_id").agg(
         F.max("end_t").alias("end_t"),
         F.max("last_t").alias("last_t"),

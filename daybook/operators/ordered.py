@@ -61,28 +61,30 @@ class OrderedRows:
         spread = df.repartitionByRange(chunks, *by) if chunks else df.repartitionByRange(*by)
         # The chunk number is only stable once written, hence the staged table.
         self.rows = stage(spread.withColumn(CHUNK, F.spark_partition_id()), label)
+        self._split: list | None = None
 
     def derived(self, rows: DataFrame, order: Sequence[str] | None = None) -> OrderedRows:
         """The same chunks over a staged table made from these rows (it keeps the chunk column)."""
         same = object.__new__(OrderedRows)
         same.keys, same.order, same.rows = self.keys, list(order or self.order), rows
+        same._split = self._split
         return same
 
-    def split_keys(self) -> DataFrame:
-        """Keys present in more than one chunk. Such a key is the first or last key of each of its
-        chunks, so there are at most two candidates per chunk and the result is safe to broadcast."""
-        key = F.struct(*self.keys)
-        ends = self.rows.groupBy(CHUNK).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-        return (
-            ends.select(CHUNK, F.explode(F.array("lo", "hi")).alias("k"))
-            .distinct()
-            .groupBy("k")
-            .agg(F.count("*").alias("n"))
-            .where("n > 1")
-            .select("k.*")
-        )
-
-    def _per_chunk(self, carries: dict[str, Carry]) -> DataFrame:
+    def split_keys(self) -> DataFrame | None:
+        """Keys present in more than one chunk, None if there are none. Such a key is the first or last
+        key of each of its chunks, so there are fewer of them than chunks: a list the driver can hold,
+        looked up once for all carries, and safe to broadcast."""
+        if self._split is None:
+            key = F.struct(*self.keys)
+            ends = self.rows.groupBy(CHUNK).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+            chunks_of = ends.select(CHUNK, F.explode(F.array("lo", "hi")).alias("k")).distinct().groupBy("k")
+            self._split = chunks_of.agg(F.count("*").alias("n")).where("n > 1").select("k.*").collect()
+        if not self._split:
+            return None
+        schema = self.rows.select(*self.keys).schema
+        return self.rows.sparkSession.createDataFrame(self._split, schema)
+
+    def _per_chunk(self, carries: dict[str, Carry], split: DataFrame) -> DataFrame:
         at = F.struct(*self.order)
         summaries = []
         for name, c in carries.items():
@@ -95,8 +97,8 @@ class OrderedRows:
             else:
                 summary = F.max(c.value)
             summaries.append(summary.alias(name))
-        split = self.rows.join(F.broadcast(self.split_keys()), self.keys, "left_semi")
-        return split.groupBy(*self.keys, CHUNK).agg(*summaries)
+        continued = self.rows.join(F.broadcast(split), self.keys, "left_semi")
+        return continued.groupBy(*self.keys, CHUNK).agg(*summaries)
 
     def carry(self, rows: DataFrame | None = None, **carries: Carry) -> DataFrame:
         """rows (default: all) with one column per carry, computed from the rows before each row."""
@@ -121,25 +123,28 @@ class OrderedRows:
                 handed.append(F.max(name).over(earlier).alias(f"_in_{name}"))
                 local[f"_own_{name}"] = F.max(c.value).over(before)
 
-        # At most one row per chunk: only its first key can continue from an earlier chunk.
-        incoming = (
-            self._per_chunk(carries)
-            .select(*self.keys, CHUNK, F.row_number().over(across).alias("_nth"), *handed)
-            .where("_nth > 1")
-            .drop("_nth")
-        )
-        out = rows.select("*", *[col.alias(n) for n, col in local.items()]).join(
-            F.broadcast(incoming), [*self.keys, CHUNK], "left"
-        )
+        out = rows.select("*", *[col.alias(n) for n, col in local.items()])
+        split = self.split_keys()
+        if split is not None:
+            # At most one row per chunk: only its first key can continue from an earlier chunk.
+            incoming = (
+                self._per_chunk(carries, split)
+                .select(*self.keys, CHUNK, F.row_number().over(across).alias("_nth"), *handed)
+                .where("_nth > 1")
+                .drop("_nth")
+            )
+            out = out.join(F.broadcast(incoming), [*self.keys, CHUNK], "left")
         results = {}
         for name, c in carries.items():
-            own, from_before = F.col(f"_own_{name}"), F.col(f"_in_{name}")
+            own = F.col(f"_own_{name}")
+            from_before = F.col(f"_in_{name}") if split is not None else own
             if c.kind == "previous":
                 results[name] = F.coalesce(own, from_before)["v"]
             elif c.kind == "latest":
                 results[name] = F.coalesce(own, from_before)
             elif c.kind == "total":
-                results[name] = F.coalesce(own, F.lit(0)) + F.coalesce(from_before, F.lit(0))
+                both = F.coalesce(own, F.lit(0)) + F.coalesce(from_before, F.lit(0))
+                results[name] = both if split is not None else F.coalesce(own, F.lit(0))
             else:
                 results[name] = F.greatest(own, from_before)
         helpers = [f"_{side}_{n}" for n in carries for side in ("own", "in")]
