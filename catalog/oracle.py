@@ -243,7 +243,8 @@ CTES = {
       coalesce(arg_max(errors, seq) filter (type = 'diagnostics'), 0) as last_errors,
       coalesce(arg_max(warnings, seq) filter (type = 'diagnostics'), 0) as last_warnings,
       count(distinct file) filter (type = 'file_edit') as files_edited,
-      coalesce(floor(median(duration_ms) filter (type = 'session') + 0.5), 0)::bigint as median_session_ms
+      coalesce(floor(median(duration_ms) filter (type = 'session') + 0.5), 0)::bigint as median_session_ms,
+      max(epoch_us(since) // 1000) as since_ms
     from scoped group by project, period""",
     "rollup": """
     select a.project, a.period, r.* exclude (project, period) from all_periods a
@@ -592,6 +593,14 @@ def _oracle() -> dict[str, str]:
         f"""select page_id, project, root from folders join roots on {comparable('cwd')} = lower(root)
         or starts_with({comparable('cwd')}, lower(root) || '/')""",
     )
+    CTES["repo_pairs"] = f"""
+        select page_id as repository, project, {comparable('cwd')} as f, lower(r.root) as root from folders,
+          (select root, project from roots union all select root || '/deep', project from roots) r"""
+    o(
+        "repository_match",
+        """select distinct repository, project from repo_pairs
+        where f = root or starts_with(f, root || '/') or starts_with(root, f || '/')""",
+    )
     o(
         "slug_attribution",
         f"""select f.page_id, 'w' || r.page_id as project, f.slug as folder from (select page_id, {slug('cwd')} as slug from folders) f

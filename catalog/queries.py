@@ -249,6 +249,15 @@ def cwd_attribution(spark, sf):
     return found.select("page_id", "project", "root")
 
 
+@query
+def repository_match(spark, sf):
+    """Folders as repositories against the roots, in either direction."""
+    repositories = S.folders(spark, sf).select(F.col("page_id").alias("repository"), F.col("cwd").alias("folder"))
+    deep = S.folder_roots(spark, sf).withColumn("root", F.concat("root", F.lit("/deep")))
+    projects = S.folder_roots(spark, sf).union(deep.select("root", "project"))
+    return attribution.match_repositories(repositories, projects)
+
+
 @query
 def slug_attribution(spark, sf):
     files = S.folders(spark, sf).select("page_id", paths.path_slug(F.col("cwd")).alias("folder"))

@@ -27,6 +27,20 @@ def attribute_by_folder(sessions: DataFrame, projects: DataFrame) -> DataFrame:
     return sessions.join(places.drop("_folder"), "cwd")
 
 
+def match_repositories(repositories: DataFrame, projects: DataFrame) -> DataFrame:
+    """repositories (repository, folder) with the projects (project, root) that contain them or lie in
+    them: both directions are equi-joins over the folders above one side."""
+    inside = attribute_by_folder(repositories.withColumnRenamed("folder", "cwd"), projects).select(
+        "repository", "project"
+    )
+    holders = repositories.select(F.col("repository").alias("project"), F.col("folder").alias("root"))
+    members = projects.select(F.col("project").alias("_member"), F.col("root").alias("cwd"))
+    around = attribute_by_folder(members, holders).select(
+        F.col("project").alias("repository"), F.col("_member").alias("project")
+    )
+    return inside.union(around).distinct()
+
+
 def attribute_by_slug(files: DataFrame, projects: DataFrame) -> DataFrame:
     """files (…, folder) with the project whose root has that folder name as its slug."""
     slugs = projects.select("project", "root", path_slug(F.col("root")).alias("folder"))

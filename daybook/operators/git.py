@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from daybook.functions.paths import language_of
 from daybook.functions.tokens import zero_if_null
 from daybook.operators.rollup import first_languages, with_share
-from daybook.session import small_side
 from daybook.sources.commits import newest_commits
 
 # Files kept from the history, languages shown.
@@ -65,7 +64,7 @@ def top_file_languages(files: DataFrame, k: int = SHOWN_LANGUAGES) -> DataFrame:
 def first_choice(history: DataFrame, live: DataFrame) -> DataFrame:
     """Rows from history for projects that have any there, else the live rows."""
     known = history.select("project").distinct()
-    return history.unionByName(live.join(small_side(known), "project", "left_anti"))
+    return history.unionByName(live.join(known, "project", "left_anti"))
 
 
 def language_composition(git_languages: DataFrame, live_languages: DataFrame, k: int = SHOWN_LANGUAGES) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.functions.when import instant
+from daybook.functions.when import DAY_MS, epoch_ms, instant
 
 # Periods with their days, from narrow to wide; "all" starts at the epoch.
 PERIODS = ("day", "week", "month", "all")
@@ -26,6 +26,15 @@ def band_of(ts: Column, now) -> Column:
     return band.when(ts >= F.timestamp_seconds(F.lit(0)), F.lit(len(PERIODS) - 1))
 
 
+def since_ms(period: Column, now) -> Column:
+    """Start of a period; 0, the epoch, for all time."""
+    end = epoch_ms(instant(now))
+    start = F.lit(0).cast("bigint")
+    for name, days in PERIOD_DAYS.items():
+        start = F.when(period == name, end - F.lit(days * DAY_MS)).otherwise(start)
+    return start
+
+
 def in_scope(log: DataFrame, now) -> DataFrame:
     return log.withColumn(BAND, band_of(F.col("ts"), now)).where(F.col(BAND).isNotNull())
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from daybook.functions.paths import OTHER_LANGUAGE
 from daybook.functions.tokens import TOKENS, billed_tokens, cache_hit_ratio, zero_if_null
 from daybook.operators.median import median_of_counts
-from daybook.operators.periods import BAND, in_scope, per_period
+from daybook.operators.periods import BAND, in_scope, per_period, since_ms
 from daybook.schema import UNKNOWN_MODEL, as_log
 
 TIME = (
@@ -272,4 +272,5 @@ def rollup_periods(log: DataFrame, now) -> DataFrame:
         .join(edited_files(log, now), ["project", "period"], "left")
         .join(median_sessions(log, now), ["project", "period"], "left")
         .fillna(0, ["files_edited", "median_session_ms"])
+        .withColumn("since_ms", since_ms(F.col("period"), now))
     )

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from daybook.functions.ids import commit_event_id
 from daybook.functions.text import first_line
 from daybook.functions.tokens import zero_if_null
-from daybook.session import small_side
 
 # How many newest commits a live pass, the statistics and a backfill look at.
 LIVE_COMMITS, STATS_COMMITS, BACKFILL_COMMITS = 100, 2000, 5000
@@ -30,10 +29,10 @@ def fresh_commits(commits: DataFrame, cursors: DataFrame, limit: int = LIVE_COMM
     commit is unknown or further back. Column place numbers them from oldest to newest."""
     recent = newest_commits(commits, limit)
     seen = cursors.select("project", F.col("last_hash").alias("hash"))
-    cut = recent.join(small_side(seen), ["project", "hash"]).select(
+    cut = recent.join(seen, ["project", "hash"]).select(
         "project", F.struct("ts", "hash").alias("_cut")
     )
-    fresh = recent.join(small_side(cut), "project", "left").where(
+    fresh = recent.join(cut, "project", "left").where(
         F.col("_cut").isNull() | (F.struct("ts", "hash") > F.col("_cut"))
     )
     oldest_first = W.partitionBy("project").orderBy("ts", "hash")

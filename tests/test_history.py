@@ -7,6 +7,7 @@ from daybook.operators import backfill, calendar, repair, rollup
 from daybook.operators.dedup import agent_sessions_in, latest_agent_session
 from daybook.operators.git import diffed_files, git_file_stats, git_language_stats
 from daybook.plans import reports
+from daybook.plans.refresh import refresh_daily_cells
 from daybook.schema import LOG_COLUMNS, log_schema
 from daybook.sources import event_log
 from daybook.sources.commits import commit_events, commit_stats, fresh_commits
@@ -56,6 +57,7 @@ def test_rollup_of_a_small_log(spark):
     )
     got = {r.period: r for r in rollup.rollup_periods(events, NOW).collect()}
     week, whole = got["week"], got["all"]
+    assert week.since_ms == 1_787_515_200_000 and whole.since_ms == 0
     assert (week.sessions, week.duration_ms, week.agent_only_ms) == (1, 3_600_000, 1_800_000)
     assert (week.commits, week.insertions, week.tests_passed, week.tests_failed) == (1, 40, 47, 1)
     assert (week.lines_added, week.files_edited, week.fs_create, week.fs_change) == (30, 1, 1, 1)
@@ -115,6 +117,16 @@ def test_daily_cells_and_series(spark):
     ]
 
 
+def test_corrections_replace_only_the_days_they_touch(spark, tmp_path):
+    target = str(tmp_path / "cells")
+    events = calendar_log(spark)
+    refresh_daily_cells(events, events, target)
+    late = log(spark, session("2026-08-29 23:00:00", 5))
+    refresh_daily_cells(events.unionByName(late), late, target)
+    cells = spark.read.parquet(target).where("project = 'quests'").collect()
+    assert {str(r.date): (r.duration_ms // 60_000, r.sessions) for r in cells} == {"2026-08-28": (90, 2), "2026-08-29": (20, 2)}
+
+
 def test_calendar_grids(spark):
     cells = calendar.daily_cells(calendar_log(spark)).where("project = 'quests'")
     grid = calendar.calendar_grid(cells, "2026-08-30 12:00:00").orderBy("week", "weekday").collect()
