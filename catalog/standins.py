@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.functions.ids import commit_event_id, sequence_event_id, turn_event_id
+from daybook.functions.ids import sequence_event_id, turn_event_id
 from daybook.operators.ordered import OrderedRows, latest, previous, total
 from daybook.operators.pricing import price_turns
 from daybook.schema import CALC_VERSION, union_log

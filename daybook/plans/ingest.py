@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from daybook.functions.ids import offset_event_id, turn_event_id
 from daybook.functions.paths import file_name, transcript_uuid
-from daybook.operators.agents import SESSION, price_sessions, summarize_agent_sessions
+from daybook.operators.agents import price_sessions, summarize_agent_sessions
 from daybook.operators.attribution import attribute_by_folder, attribute_by_slug
 from daybook.operators.dedup import one_per_response
 from daybook.operators.pricing import price_turns
 from daybook.operators.usage import file_quality, read_usage, session_metas, to_deltas, usage_rows
-from daybook.schema import CALC_VERSION, CLAUDE, CODEX, as_log
+from daybook.schema import CALC_VERSION, CODEX, as_log
 from daybook.session import small_side, stage
 from daybook.sources.transcripts import grown_files, list_transcripts, names_to_open, read_transcript_lines
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from daybook.functions.tokens import TOKENS
 from daybook.operators.usage import file_quality, read_usage, session_metas, to_deltas, usage_rows
 from daybook.operators.dedup import one_per_response
-from daybook.plans.ingest import ingest, read_transcripts
+from daybook.plans.ingest import ingest
 from daybook.sources.event_log import append_events, decode_events, encode_events, first_per_event, read_log
 from daybook.sources.prices import shipped_prices
 from daybook.sources.transcripts import (
