@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import exact, mixing, rules, secrets
+from daybook.llm import chat, exact, mixing, quality, rules, secrets
 from daybook.llm.text import whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,21 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    # A conversation whose texts look like the template.
+    said = F.lit(f"{chat.END}{chat.START}assistant ok")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
+    return chat.digests(chat.format_paths(chat.as_trees(rows.unionByName(own))))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.scored(docs, model)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir))
 
@@ -54,6 +69,8 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing_sources": op10_mixing_sources,
