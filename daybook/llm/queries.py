@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import chat, exact, mixing, quality, rules, secrets
+from daybook.llm import chat, exact, lines, mixing, pieces, quality, rules, secrets
 from daybook.llm.text import whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,15 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_paths(chat.as_trees(rows.unionByName(own))))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.deduplicated(_documents(spark, sf_dir))
+    return rows.withColumn("text_sha256", F.sha2("text", 256)).withColumn("n_chars", F.length("text").cast("long")).drop("text")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(_documents(spark, sf_dir))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -70,6 +79,8 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
