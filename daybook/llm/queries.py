@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import chat, exact, lines, mixing, pieces, quality, rules, secrets
+from daybook.llm import chat, exact, hmm, lines, mixing, pieces, quality, rules, secrets
 from daybook.llm.text import whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("text_sha256", F.sha2("text", 256)).withColumn("n_chars", F.length("text").cast("long")).drop("text")
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_scores(_documents(spark, sf_dir))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(_documents(spark, sf_dir))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_line_dedup": op3_line_dedup,
+    "op4_language_model": op4_language_model,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
