@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import chat, exact, hmm, lines, mixing, pieces, quality, rules, secrets
+from daybook.llm import chat, exact, hmm, lines, mixing, neardup, pieces, quality, rules, secrets
 from daybook.llm.text import whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model)
 
 
+def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_copies(_documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op4_language_model": op4_language_model,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_near_copies": op7_near_copies,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing_sources": op10_mixing_sources,
