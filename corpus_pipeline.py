@@ -1,31 +1,64 @@
-"""The corpus pipeline: rejected documents go, then copies, then near copies; sources are mixed, texts encoded."""
+"""The corpus pipeline: documents of low quality go, then copies, then near copies; sources are mixed to their target
+weights, and the mix is encoded."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybook.llm import exact, mixing
+from daybook.llm import exact, mixing, neardup, pieces, quality
+from daybook.llm.text import Tables
 from daybook.shipping import ship
 
+# The classifier and the search for near copies are beyond SQL.
 ORACLE_SQL = None
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that a classifier learnt from labels.quality does not reject."""
+    ship(spark)
+    return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the one with most characters."""
     ship(spark)
     return exact.exact_unique(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 over five-word shingles, the one with the smallest id."""
+    ship(spark)
+    return neardup.without_near_copies(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as their source's target asks for; a document taken twice is two rows."""
     ship(spark)
     return mixing.mixture(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("source mix", source_mix)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_ids, round_trip and ids of every row."""
+    ship(spark)
+    return pieces.encoded(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("source mix", source_mix),
+    ("encoding", encoding),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents, each in memory of the plan rather than through a table."""
+    """All stages applied to documents, each written as Parquet and read again by the next."""
+    tables = Tables(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for n, (_, stage) in enumerate(STAGES):
+        done = tables.write(stage(spark, docs, sf_dir), f"stage{n}")
+        if n:
+            tables.drop(docs)
+        docs = done
     return docs
