@@ -15,6 +15,7 @@ MAX_EPOCHS = 2
 SEED = 20
 # A draw orders the documents of a source by a seeded hash. Its first bits cut a source into this many bins, so that
 # only the bin in which the draw ends is ordered row by row.
+_DRAW_BITS = 60
 _BIN_BITS = 12
 # Each further round draws what the last left open from smaller documents.
 ROUNDS = 4
@@ -58,7 +59,7 @@ def _draw_round(rows: DataFrame) -> DataFrame:
     drawn = rows.groupBy("name").agg(
         (F.first("want") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("open")
     )
-    rows = rows.join(drawn, "name").withColumn("bin", F.shiftrightunsigned("draw", 64 - _BIN_BITS))
+    rows = rows.join(drawn, "name").withColumn("bin", F.shiftright("draw", _DRAW_BITS - _BIN_BITS))
     fits = ~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("open"))
     held = rows.filter(fits).groupBy("name", "bin").agg(F.sum("size").alias("held"), F.first("open").alias("room"))
     upto = F.sum("held").over(Window.partitionBy("name").orderBy("bin"))
@@ -99,7 +100,7 @@ def mix(
         F.concat(F.when(name.isNull(), "0").otherwise("1"), F.coalesce(name, F.lit(""))).alias("name"),
         _key(doc_id, text).alias("key"),
         word_count(whole_text(text)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id)).alias("draw"),
+        _draw(seed, F.col(doc_id)).alias("draw"),
     )
     sized = tables.write(rows, "sizes")
     known = F.when(F.col("name").startswith("1"), F.substring("name", 2, 1 << 30))
@@ -134,5 +135,11 @@ def mixture(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **setti
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _draw(seed: int, doc_id: Column) -> Column:
+    """60 bits of a hash; a null id counts as the empty text."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, _DRAW_BITS // 4), 16, 10).cast("long")
+
+
 def _key(doc_id: str, text: str) -> Column:
     return F.concat_ws(":", F.col(doc_id).cast("string"), F.xxhash64(whole_text(text)).cast("string"))

@@ -2,6 +2,45 @@
 
 from __future__ import annotations
 
+import re
+
+from daybook.llm.mixing import ROUNDS, SEED
+from daybook.llm.rules import LEAST_DOCUMENTS, SLACK
+from daybook.llm.secrets import BASE, RULES
+
+
+def _plain(pattern: str) -> str:
+    """(?i:...) spelt out, so that only letters of ASCII match in either case."""
+
+    def either(m: re.Match) -> str:
+        return "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")"
+
+    return re.sub(r"\(\?i:([^()]*)\)", either, pattern).replace("'", "''")
+
+
+def _secrets() -> str:
+    found = "\nUNION ALL ".join(
+        f"""SELECT r, {place} AS place, '{rule.kind}' AS kind, least, n, sum(gap + hit) OVER (PARTITION BY r ORDER BY n) AS "end", hit, val FROM (
+  SELECT r, {rule.least} AS least, unnest(list_transform(string_split_regex(w, '{_plain(rule.pattern)}')[:-2], lambda x: length(x))) AS gap,
+         unnest(list_transform(regexp_extract_all(w, '{_plain(rule.pattern)}', 0), lambda x: length(x))) AS hit,
+         unnest(list_transform(regexp_extract_all(w, '{_plain(rule.pattern)}', {rule.group}), lambda x: length(x))) AS val,
+         unnest(range(1, 1 + len(regexp_extract_all(w, '{_plain(rule.pattern)}', 0)))) AS n
+  FROM t WHERE regexp_matches(w, '{_plain(rule.pattern)}'))"""
+        for place, rule in enumerate(RULES)
+    )
+    span = "kind || ':' || (\"end\" - hit)::BIGINT || ':' || \"end\"::BIGINT"
+    order = '("end" - hit), place, "end"'
+    counted = ", ".join(f"count(m.r) FILTER (kind = '{rule.kind}') AS n_{rule.kind}" for rule in BASE)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS w FROM documents),
+m AS (SELECT * FROM ({found}) WHERE val >= least)
+SELECT doc_id, {counted},
+  sha256(coalesce(string_agg({span}, ',' ORDER BY {order}) FILTER (place < {len(BASE)}), '')) AS base_sha256,
+  coalesce(string_agg({span}, ',' ORDER BY {order}) FILTER (m.r IS NOT NULL), '') AS spans
+FROM t LEFT JOIN m ON t.r = m.r GROUP BY t.r, doc_id
+"""
+
+
 _EXACT = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS w FROM documents),
 c AS (SELECT doc_id, length(w) AS chars, regexp_replace(w, '[\x20\x09-\x0D]', '', 'g') AS content FROM t),
@@ -10,4 +49,96 @@ g AS (SELECT *, count(*) OVER (PARTITION BY content) AS group_size,
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM g
 """
 
-ORACLE: dict[str, str] = {"op8_exact_dedup": _EXACT}
+_COUNTS = r"""
+t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS w FROM documents),
+words AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i
+          FROM (SELECT r, regexp_extract_all(w, '[^\x20\x09-\x0D]+') AS ws FROM t)),
+wins AS (SELECT r, i, word || ' ' || lead(word) OVER p || ' ' || lead(word, 2) OVER p AS win
+         FROM words WINDOW p AS (PARTITION BY r ORDER BY i)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM wins WHERE win IS NOT NULL) WHERE n > 1),
+covered AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + d.d AS i FROM again, (VALUES (0), (1), (2)) d(d)) GROUP BY r),
+rows_of AS (SELECT r, unnest(string_split(w, chr(10))) AS line FROM t),
+lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dups
+          FROM rows_of WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+counts AS (
+  SELECT t.r, doc_id, lang, source, len(regexp_extract_all(w, '[^\x20\x09-\x0D]+')) AS n_words,
+    length(regexp_replace(w, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(w, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(w, '[^A-Z]', '', 'g')) AS n_upper,
+    coalesce(lines.n, 0) AS n_lines, coalesce(dups, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN lines ON lines.r = t.r LEFT JOIN covered ON covered.r = t.r)"""
+
+
+def _rules() -> str:
+    measures = {
+        "symbols": ("n_symbols", 10_000, "word_chars"),
+        "upper": ("n_upper", 10_000, "word_chars"),
+        "dup_lines": ("n_dup_lines", 10_000, "n_lines"),
+        "repeats": ("n_repeat_words", 10_000, "n_words"),
+        "word_length": ("word_chars", 100, "n_words"),
+    }
+    listed = ", ".join(f"CASE WHEN {of} > 0 THEN ({n} * {scale}) // {of} ELSE 0 END AS {name}" for name, (n, scale, of) in measures.items())
+    long = "\nUNION ALL ".join(f"SELECT lang, source, '{name}' AS measure, {name} AS x FROM judged WHERE NOT base_failed" for name in measures)
+    slack = " ".join(f"WHEN '{name}' THEN {least}" for name, least in SLACK.items())
+
+    def level(name: str, columns: str) -> str:
+        by = f"{columns}, " if columns else ""
+        return f"""
+{name} AS (SELECT {by}measure, max(total) AS docs, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3
+  FROM (SELECT {by}measure, bucket, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}measure) AS total
+        FROM (SELECT {by}measure, bucket, count(*) AS n FROM buckets GROUP BY ALL)) GROUP BY {by}measure)"""
+
+    def quartile(q: str) -> str:
+        return f"CASE WHEN s.docs >= {LEAST_DOCUMENTS} THEN s.{q} WHEN l.docs >= {LEAST_DOCUMENTS} THEN l.{q} ELSE a.{q} END"
+
+    inside = " AND ".join(f"c.{name} <= max(f.hi) FILTER (f.measure = '{name}')" for name in measures)
+    return f"""
+WITH {_COUNTS},
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {listed} FROM counts),
+measured AS ({long}),
+buckets AS (SELECT lang, source, measure, CASE WHEN length(bin(x)) > 7 THEN (x >> (length(bin(x)) - 7)) << (length(bin(x)) - 7) ELSE x END AS bucket
+            FROM measured),{level("by_source", "lang, source")},{level("by_lang", "lang")},{level("overall", "")},
+chosen AS (SELECT s.lang, s.source, s.measure, {quartile("q1")} AS q1, {quartile("q3")} AS q3, CASE s.measure {slack} END AS slack
+  FROM by_source s JOIN by_lang l ON l.lang IS NOT DISTINCT FROM s.lang AND l.measure = s.measure JOIN overall a ON a.measure = s.measure),
+fences AS (SELECT lang, source, measure, q3 + greatest(3 * (q3 - q1), slack) AS hi, q1 - greatest(3 * (q3 - q1), slack) AS lo FROM chosen)
+SELECT c.doc_id, c.n_words::BIGINT AS n_words, c.word_chars::BIGINT AS word_chars, c.n_symbols::BIGINT AS n_symbols,
+  c.n_dup_lines::BIGINT AS n_dup_lines, c.n_repeat_words::BIGINT AS n_repeat_words, c.base_failed,
+  coalesce(NOT c.base_failed AND {inside} AND c.word_length >= max(f.lo) FILTER (f.measure = 'word_length'), false) AS kept
+FROM judged c LEFT JOIN fences f ON f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source
+GROUP BY ALL
+""".replace("GROUP BY ALL\n", "GROUP BY c.r, c.doc_id, c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, c.base_failed, "
+            + ", ".join(f"c.{name}" for name in measures) + "\n")
+
+
+def _mix() -> str:
+    rounds = "".join(
+        f""",
+open{k} AS (SELECT name, max(want) - sum(CASE WHEN extra THEN size ELSE 0 END) AS open FROM drawn{k} GROUP BY name),
+fits{k} AS (SELECT d.r, sum(size) OVER (PARTITION BY d.name ORDER BY draw, doc_id, size, r) <= open AS take
+  FROM drawn{k} d JOIN open{k} o ON o.name = d.name WHERE NOT extra AND size > 0 AND size <= open),
+drawn{k + 1} AS (SELECT d.* REPLACE (extra OR coalesce(take, false) AS extra) FROM drawn{k} d LEFT JOIN fits{k} f ON f.r = d.r)"""
+        for k in range(ROUNDS)
+    )
+    return rf"""
+WITH sized AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce('1' || source, '0') AS name,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS draw FROM documents),
+sources AS (SELECT name, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY name = '0', encode(name)) - 1) % 3]::DOUBLE AS weight
+  FROM sized GROUP BY name),
+ranked AS (SELECT *, 2 * source_size AS cap, row_number() OVER (ORDER BY 2 * source_size / weight, name = '0', encode(name)) AS place FROM sources),
+levels AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked),
+targets AS (SELECT name, source_size, least(cap::DOUBLE, coalesce((SELECT arg_min(level, place) FROM levels WHERE level <= cap / weight) * weight, 'inf'::DOUBLE)) AS target
+  FROM levels),
+wants AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::INTEGER AS whole FROM targets),
+drawn0 AS (SELECT s.*, source_size, target, whole, round(target - whole * source_size)::BIGINT AS want, false AS extra
+  FROM sized s JOIN wants w ON w.name = s.name){rounds}
+SELECT doc_id, size, source_size, target, (whole + extra::INTEGER) * size AS taken, source, (whole + extra::INTEGER)::INTEGER AS copies FROM drawn{ROUNDS}
+"""
+
+
+ORACLE: dict[str, str] = {
+    "op1_secret_scans": _secrets(),
+    "op8_exact_dedup": _EXACT,
+    "op9_quality_rules": _rules(),
+    "op10_mixing_sources": _mix(),
+}
