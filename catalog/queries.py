@@ -282,15 +282,15 @@ def commit_events(spark, sf):
 
 @query
 def newest_commits(spark, sf):
-    return C.newest_commits(S.commits(spark, sf), C.STATS_COMMITS).select("project", "hash", ms("ts"))
+    return C.newest_commits(S.commits(spark, sf)).select("project", "hash", ms("ts"), "place")
 
 
 @query
 def fresh_commits(spark, sf):
-    """Cursors: the 50th newest commit for p0 and p1, an old one for p2, none for the others."""
+    """Cursors: the 50th newest commit for p0 and p1, the oldest for p2, none for the others."""
     rows = S.commits(spark, sf)
-    newest = C.newest_commits(rows.where("project in ('p0', 'p1')"), 50).groupBy("project").agg(
-        F.min_by("hash", F.struct("ts", "hash")).alias("last_hash")
+    newest = C.newest_commits(rows.where("project in ('p0', 'p1')"), 50).where("place = 50").select(
+        "project", F.col("hash").alias("last_hash")
     )
     old = rows.where("project = 'p2'").groupBy("project").agg(F.min_by("hash", F.struct("ts", "hash")).alias("last_hash"))
     return C.fresh_commits(rows, newest.union(old)).select("project", "hash", "place")
@@ -318,9 +318,11 @@ def top_file_language_share(spark, sf):
 
 @query
 def language_composition(spark, sf):
-    """History where a project has some; p3 and p4 stand for projects without."""
-    changes = git.diffed_files(S.commits(spark, sf), S.commit_files(spark, sf)).where("project < 'p3'")
-    live = rollup.lines_by_language(S.signal_log(spark, sf), S.NOW)
+    """Live edits fall into seven projects, of which p5 and p6 have no history."""
+    changes = git.diffed_files(S.commits(spark, sf), S.commit_files(spark, sf))
+    user = F.substring("session_id", 2, 20).cast("bigint")
+    live_log = S.signal_log(spark, sf).withColumn("project", F.concat(F.lit("p"), user % 7))
+    live = rollup.lines_by_language(live_log, S.NOW)
     return git.language_composition(git.git_language_stats(changes), live)
 
 
@@ -357,7 +359,7 @@ def debug_sessions(spark, sf):
 
 @query
 def event_session_attribution(spark, sf):
-    sessions = S.gap_sessions(spark, sf).where("duration_ms > 0")
+    sessions = S.gap_sessions(spark, sf)
     events = S.signals(spark, sf).select("project", "ts", "id")
     return attribution.attribute_events(events, sessions).select("project", "id", "session_id")
 
@@ -567,11 +569,8 @@ def daily_series(spark, sf):
 
 @query
 def daily_series_nonlinear(spark, sf):
-    """Work on three days out of five, so that days without work occur."""
-    log = S.event_log(spark, sf)
-    busy = (F.col("type") != "session") | (F.dayofmonth("ts") % 5 < 3)
-    cells = calendar.daily_cells(log.withColumn("duration_ms", F.when(busy, F.col("duration_ms"))))
-    points = calendar.collapse_gaps(calendar.daily_series(cells, S.NOW, SERIES_DAYS))
+    """Two months, of which the first has no work yet."""
+    points = calendar.collapse_gaps(calendar.daily_series(_cells(spark, sf), S.NOW, 2 * SERIES_DAYS))
     return points.select("project", "date", "is_gap", "span_days", "duration_ms", "commits")
 
 

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from daybook.functions.tokens import round_half_up
 
-# Longest stored commit message and test command, kept end of a terminal capture.
-MESSAGE_CHARS = 500
-COMMAND_CHARS = 300
-CAPTURE_CHARS = 1_000_000
 NOT_AVAILABLE = "—"
 
 
@@ -49,15 +45,10 @@ def share_label(part: Column, whole: Column) -> Column:
     ).otherwise(F.lit(NOT_AVAILABLE))
 
 
-def first_line(text: Column, chars: int = MESSAGE_CHARS) -> Column:
-    return F.substring(F.substring_index(text, "\n", 1), 1, chars)
+def first_line(text: Column) -> Column:
+    return F.substring_index(text, "\n", 1)
 
 
 def line_breaks(text: Column) -> Column:
     """Lines an inserted text adds."""
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
-def capture_end(text: Column, chars: int = CAPTURE_CHARS) -> Column:
-    """The kept end of a long terminal capture."""
-    return F.when(F.length(text) > chars, F.right(text, F.lit(chars))).otherwise(text)

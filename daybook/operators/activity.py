@@ -33,8 +33,6 @@ DIMENSIONS = (
     "duration_ms", "focus_ms", "interaction_ms", "agent_present_ms", "agent_only_ms", "focus_only_ms", "idle_ms",
 )
 _NONE = -1
-# Ticks of a chunk, which a task holds as columns of numbers.
-CHUNK_TICKS = 1_000_000
 
 
 class _Chunk:
@@ -215,7 +213,6 @@ def tick_states(
     source = source.withColumn("t", epoch_ms(F.col("ts"))).withColumn("_write", write)
     source = source.fillna(False, ["interaction", "focused"])
     keep = ["project", "t", "_side", "id", "_is_tick", "_write", "interaction", "focused"]
-    chunks = chunks or max(1, -(-source.count() // CHUNK_TICKS))
     # Order by the millisecond, so that ties here are ties of the machine.
     rows = OrderedRows(source.select(*keep), ["project"], ["t", "_side", "id"], chunks, "ticks")
     if writes is not None:

@@ -22,9 +22,10 @@ def attribute_by_folder(sessions: DataFrame, projects: DataFrame) -> DataFrame:
     folder = F.explode(ancestors(F.col("cwd")))
     if is_small(roots):
         found = sessions.withColumn("_folder", folder).join(F.broadcast(roots), "_folder")
-        return found.drop("_folder")
-    places = sessions.select("cwd").distinct().withColumn("_folder", folder).join(roots, "_folder")
-    return sessions.join(places.drop("_folder"), "cwd")
+    else:
+        places = sessions.select("cwd").distinct().withColumn("_folder", folder).join(roots, "_folder")
+        found = sessions.join(places, "cwd")
+    return found.select(*sessions.columns, "project", "root")
 
 
 def match_repositories(repositories: DataFrame, projects: DataFrame) -> DataFrame:

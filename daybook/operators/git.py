@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daybook.functions.paths import language_of
 from daybook.functions.tokens import zero_if_null
+from daybook.operators.ordered import placed
 from daybook.operators.rollup import first_languages, with_share
 from daybook.sources.commits import newest_commits
 
-# Files kept from the history, languages shown.
-HISTORY_FILES, SHOWN_LANGUAGES = 100, 14
-
 
 def diffed_files(commits: DataFrame, files: DataFrame, max_commits: int | None = None) -> DataFrame:
     """File changes of commits that have a parent, with their project."""
@@ -27,19 +24,16 @@ def commits_scanned(commits: DataFrame, max_commits: int | None = None) -> DataF
     return scanned.groupBy("project").agg(F.count("parent").alias("commits_scanned"))
 
 
-def git_file_stats(changes: DataFrame, k: int = HISTORY_FILES) -> DataFrame:
-    """The k files with most lines touched per project; equal files by name."""
+def git_file_stats(changes: DataFrame, k: int | None = None) -> DataFrame:
+    """Files by place within their project, those with most lines touched first, equal ones by name; with k the first
+    k only."""
     totals = changes.groupBy("project", "file").agg(
         F.count("*").alias("commits"),
         F.sum(zero_if_null("insertions")).alias("insertions"),
         F.sum(zero_if_null("deletions")).alias("deletions"),
     )
-    ranked = W.partitionBy("project").orderBy(F.desc(F.col("insertions") + F.col("deletions")), "file")
-    return (
-        totals.withColumn("place", F.row_number().over(ranked))
-        .where(F.col("place") <= k)
-        .withColumn("language", language_of(F.col("file")))
-    )
+    ranked = placed(totals, ["project"], [-(F.col("insertions") + F.col("deletions")), F.col("file")], k)
+    return ranked.withColumn("language", language_of(F.col("file")))
 
 
 def git_language_stats(changes: DataFrame) -> DataFrame:
@@ -50,7 +44,7 @@ def git_language_stats(changes: DataFrame) -> DataFrame:
     return with_share(totals, ["project"])
 
 
-def top_file_languages(files: DataFrame, k: int = SHOWN_LANGUAGES) -> DataFrame:
+def top_file_languages(files: DataFrame, k: int | None = None) -> DataFrame:
     """Share of each language among listed files (project, language, lines_added, lines_removed);
     nothing for a project without any line."""
     totals = files.groupBy("project", "language").agg(
@@ -67,7 +61,7 @@ def first_choice(history: DataFrame, live: DataFrame) -> DataFrame:
     return history.unionByName(live.join(known, "project", "left_anti"))
 
 
-def language_composition(git_languages: DataFrame, live_languages: DataFrame, k: int = SHOWN_LANGUAGES) -> DataFrame:
+def language_composition(git_languages: DataFrame, live_languages: DataFrame, k: int | None = None) -> DataFrame:
     """Languages from the commit history, or from live edits where a project has no history."""
     columns = ["project", "language", "lines", "pct"]
     chosen = first_choice(

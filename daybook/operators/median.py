@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daybook.functions.tokens import round_half_up
-from daybook.session import small_side
 
 
 def median_of_counts(counts: DataFrame, keys: Sequence[str], value: str, n: str, width: int) -> DataFrame:
@@ -32,7 +31,7 @@ def median_of_counts(counts: DataFrame, keys: Sequence[str], value: str, n: str,
         .select(*keys, "_bucket", "_below", "_low", "_high")
     )
     within = W.partitionBy(*keys, "_bucket").orderBy(value)
-    ranked = bucketed.join(small_side(middle), [*keys, "_bucket"]).withColumn(
+    ranked = bucketed.join(middle, [*keys, "_bucket"]).withColumn(
         "_to", F.col("_below") + F.sum(n).over(within.rowsBetween(W.unboundedPreceding, 0))
     )
 

@@ -45,6 +45,18 @@ def highest(value: Column) -> Carry:
     return Carry("highest", value)
 
 
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None = None) -> DataFrame:
+    """df with `place`, from 1 on within keys, by ascending order (total within keys, not NULL); with k the first k only,
+    of which Spark keeps k per key and task before the shuffle."""
+    if k is not None:
+        ranked = W.partitionBy(*keys).orderBy(*order)
+        return df.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
+    names = [f"_by{n}" for n in range(len(order))]
+    rows = OrderedRows(df.withColumns(dict(zip(names, order, strict=True))), keys, names, label="places")
+    numbered = rows.carry(place=total(F.lit(1).cast("bigint")))
+    return numbered.withColumn("place", (F.col("place") + 1).cast("int")).drop(CHUNK, *names)
+
+
 class OrderedRows:
     """df laid out in (keys, order) sequence; order must be total within keys and not NULL."""
 

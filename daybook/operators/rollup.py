@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from daybook.functions.paths import OTHER_LANGUAGE
 from daybook.functions.tokens import TOKENS, billed_tokens, cache_hit_ratio, zero_if_null
 from daybook.operators.median import median_of_counts
+from daybook.operators.ordered import placed
 from daybook.operators.periods import BAND, in_scope, per_period, since_ms
 from daybook.schema import UNKNOWN_MODEL, as_log
 
@@ -16,7 +17,6 @@ TIME = (
     "duration_ms", "focus_ms", "interaction_ms", "agent_present_ms", "agent_only_ms", "focus_only_ms", "idle_ms",
 )
 MINUTE_MS = 60_000
-TOP_FILES = 20  # Fixed value: files listed in a rollup.
 
 
 def _of(event_type: str):
@@ -219,15 +219,16 @@ def with_share(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.join(everything, keys).withColumn("pct", pct).drop("_all")
 
 
-def first_languages(shares: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The k languages with most lines within keys, by place; Spark keeps k per key and task before
-    the shuffle."""
+def first_languages(shares: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
+    """Languages by place within keys, those with most lines first; with k the first k only."""
     ranked = W.partitionBy(*keys).orderBy(F.desc("lines"), "language")
-    return shares.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
+    places = shares.withColumn("place", F.row_number().over(ranked))
+    return places if k is None else places.where(F.col("place") <= k)
 
 
-def top_files(log: DataFrame, now, k: int = TOP_FILES) -> DataFrame:
-    """The k files with most lines touched; equal files in order of first appearance."""
+def top_files(log: DataFrame, now, k: int | None = None) -> DataFrame:
+    """Files by place within project and period, those with most lines touched first, equal ones in order of first
+    appearance; with k the first k only."""
     bands = (
         in_scope(log.where(_of("file_edit")), now)
         .groupBy("project", "file", BAND)
@@ -238,16 +239,9 @@ def top_files(log: DataFrame, now, k: int = TOP_FILES) -> DataFrame:
         )
     )
     files = per_period(bands, ["project", "file"], ["lines_added", "lines_removed"], minima=["first_seen"])
-    ranked = W.partitionBy("project", "period").orderBy(
-        F.desc(F.col("lines_added") + F.col("lines_removed")), "first_seen"
-    )
-    return (
-        files.where("_bands > 0")
-        .withColumn("place", F.row_number().over(ranked))
-        .where(F.col("place") <= k)
-        .withColumn("active_ms", F.lit(0).cast("bigint"))
-        .drop("_bands", "first_seen")
-    )
+    order = [-(F.col("lines_added") + F.col("lines_removed")), F.coalesce("first_seen", F.lit(2**63 - 1)), F.col("file")]
+    ranked = placed(files.where("_bands > 0"), ["project", "period"], order, k)
+    return ranked.withColumn("active_ms", F.lit(0).cast("bigint")).drop("_bands", "first_seen")
 
 
 def hours_of_day(log: DataFrame, now) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from daybook.functions.paths import disk_language_of, is_noise
 from daybook.functions.testlog import is_test_command, test_summaries
-from daybook.functions.text import COMMAND_CHARS, capture_end
 from daybook.functions.tokens import zero_if_null
 from daybook.functions.when import epoch_ms
 from daybook.operators.ordered import OrderedRows, previous
@@ -82,10 +81,5 @@ def filter_fs_events(fs: DataFrame) -> DataFrame:
 
 def extract_test_runs(terminal: DataFrame) -> DataFrame:
     """terminal (…, command, output) to test runs: test commands whose output ends in a known summary."""
-    tests = terminal.where(is_test_command(F.col("command"))).withColumn("output", capture_end(F.col("output")))
-    return (
-        test_summaries(tests, "output")
-        .withColumn("command", F.substring("command", 1, COMMAND_CHARS))
-        .withColumn("source", F.lit("terminal"))
-        .drop("output")
-    )
+    tests = terminal.where(is_test_command(F.col("command")))
+    return test_summaries(tests, "output").withColumn("source", F.lit("terminal")).drop("output")

@@ -96,7 +96,7 @@ def ingest(
     Only turns past the cursor become rows, and ids are deterministic, so a repeated pass is harmless.
     """
     grown = stage(grown_files(list_transcripts(spark, path), cursors), "grown")
-    names = names_to_open(grown, path)
+    names = names_to_open(grown)
     if not names:
         return None
     found = read_transcripts(spark, names, agent)

@@ -33,7 +33,6 @@ CSV_COLUMNS = {
     "taskRuns": "task_runs",
     "debugSessions": "debug_sessions",
 }
-REPORT_LANGUAGES = 12  # Fixed value: languages listed in the summary report.
 
 
 def money_label(usd: Column) -> Column:
@@ -219,13 +218,13 @@ def model_lines(models: DataFrame) -> DataFrame:
     )
 
 
-def language_lines(languages: DataFrame, k: int = REPORT_LANGUAGES) -> DataFrame:
+def language_lines(languages: DataFrame, k: int | None = None) -> DataFrame:
     return R.first_languages(languages, ["project", "period"], k)
 
 
-def rollup_nested(log: DataFrame, now) -> DataFrame:
-    """The JSON export: one nested row per project and period. Arrays hold models, languages, 20 files
-    and 24 hours, all short lists per project."""
+def rollup_nested(log: DataFrame, now, files: int | None = None) -> DataFrame:
+    """The JSON export: one nested row per project and period. Arrays hold its models, languages and hours, and its
+    files, with `files` only the first of them: a nested row is as long as what it lists."""
     keys = ["project", "period"]
     flat = R.rollup_periods(log, now)
     totals = R.agent_totals(log, now).join(R.pricing_versions(log, now), ["project", "agent", "period"], "left")
@@ -264,7 +263,7 @@ def rollup_nested(log: DataFrame, now) -> DataFrame:
     for part in (
         agents,
         by_language,
-        listed(R.top_files(log, now), "place", "top_files"),
+        listed(R.top_files(log, now, files), "place", "top_files"),
         hours.withColumn("hours", F.transform("hours", lambda h: h["minutes"])),
     ):
         out = out.join(part, keys, "left")

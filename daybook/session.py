@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when a count has shown it to be at most this long.
-BROADCAST_ROWS = 100_000
+# A side is broadcast only when it has been read and found to be at most this long, in rows and in bytes of its JSON.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 _own_folder: dict[str, str] = {}
 
@@ -22,12 +24,56 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _own_folder.setdefault(context.applicationId, tempfile.mkdtemp(prefix="daybook-"))
+    app = context.applicationId
+    if app not in _own_folder:
+        _own_folder[app] = tempfile.mkdtemp(prefix="daybook-")
+    return _own_folder[app]
+
+
+# The tables written since each open `staging` block began, innermost last.
+_owned: list[list[str]] = []
+_goes_at_exit: set[str] = set()
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/daybook/{app}/{label}-{uuid.uuid4().hex}"
+    """A new path for a staged table. All of an application's tables go when it ends, those of a `staging` block earlier."""
+    folder = f"{shared_folder(spark)}/daybook/{spark.sparkContext.applicationId}"
+    if folder not in _goes_at_exit:
+        path, files = _files(spark, folder)
+        files.deleteOnExit(path)
+        _goes_at_exit.add(folder)
+    staged = f"{folder}/{label}-{uuid.uuid4().hex}"
+    if _owned:
+        _owned[-1].append(staged)
+    return staged
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in any store that Spark reaches."""
+    place, files = _files(spark, path)
+    files.delete(place, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it doesn't exist."""
+    place, files = _files(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables staged inside: they are deleted at the end, so results must be written before."""
+    _owned.append([])
+    try:
+        yield
+    finally:
+        for path in _owned.pop():
+            remove(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -45,11 +91,13 @@ def present(df: DataFrame, row: Column) -> DataFrame:
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    n, length = df.limit(rows + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return n <= rows and length <= BROADCAST_BYTES
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves it small; otherwise df, left to a shuffle join
+    """df with a broadcast hint if its rows and bytes are counted and few; otherwise df, left to a shuffle join
     whose hot partitions adaptive execution splits. For inputs that are cheap to count: where the side
     is itself a large aggregate, a plain join lets adaptive execution decide by its measured size."""
     return F.broadcast(df) if is_small(df, rows) else df

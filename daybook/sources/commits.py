@@ -7,36 +7,29 @@ files:   project, hash, file, insertions, deletions
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daybook.functions.ids import commit_event_id
 from daybook.functions.text import first_line
 from daybook.functions.tokens import zero_if_null
+from daybook.operators.ordered import placed
+from daybook.session import small_side
 
-# How many newest commits a live pass, the statistics and a backfill look at.
-LIVE_COMMITS, STATS_COMMITS, BACKFILL_COMMITS = 100, 2000, 5000
 
+def newest_commits(commits: DataFrame, n: int | None = None) -> DataFrame:
+    """Commits by place within their project, the newest first; with n only the n newest."""
+    return placed(commits, ["project"], [-F.unix_micros("ts"), F.col("hash")], n)
 
-def newest_commits(commits: DataFrame, n: int) -> DataFrame:
-    """The n newest commits of each project. Spark keeps n per project and task before the shuffle."""
-    newest = W.partitionBy("project").orderBy(F.desc("ts"), F.desc("hash"))
-    return commits.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")
 
-
-def fresh_commits(commits: DataFrame, cursors: DataFrame, limit: int = LIVE_COMMITS) -> DataFrame:
-    """Commits newer than the last seen one, at most limit per project; all of these if the last seen
-    commit is unknown or further back. Column place numbers them from oldest to newest."""
-    recent = newest_commits(commits, limit)
+def fresh_commits(commits: DataFrame, cursors: DataFrame) -> DataFrame:
+    """All commits newer than the last seen one of their project; all of a project whose last seen commit is unknown.
+    Column place numbers them from oldest to newest."""
     seen = cursors.select("project", F.col("last_hash").alias("hash"))
-    cut = recent.join(seen, ["project", "hash"]).select(
-        "project", F.struct("ts", "hash").alias("_cut")
-    )
-    fresh = recent.join(cut, "project", "left").where(
+    cut = commits.join(small_side(seen), ["project", "hash"]).select("project", F.struct("ts", "hash").alias("_cut"))
+    fresh = commits.join(small_side(cut), "project", "left").where(
         F.col("_cut").isNull() | (F.struct("ts", "hash") > F.col("_cut"))
     )
-    oldest_first = W.partitionBy("project").orderBy("ts", "hash")
-    return fresh.drop("_cut").withColumn("place", F.row_number().over(oldest_first))
+    return placed(fresh.drop("_cut"), ["project"], [F.unix_micros("ts"), F.col("hash")])
 
 
 def commit_stats(commits: DataFrame, files: DataFrame) -> DataFrame:

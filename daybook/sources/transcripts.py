@@ -12,9 +12,6 @@ from daybook.functions.paths import transcript_uuid
 from daybook.operators.ordered import OrderedRows, total
 from daybook.session import small_side
 
-# Most files a scan names one by one; beyond that it reads the folder.
-NAMED_FILES = 10_000
-
 
 def list_transcripts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """source_file, size, mtime of every *.jsonl below path; contents are not read."""
@@ -117,14 +114,13 @@ def read_new_lines(
     extract: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame | None:
     """Lines past the cursors, opening only files that grew; None if none did."""
-    names = names_to_open(grown_files(list_transcripts(spark, path), cursors), path)
+    names = names_to_open(grown_files(list_transcripts(spark, path), cursors))
     return read_transcript_lines(spark, names, cursors, extract) if names else None
 
 
-def names_to_open(files: DataFrame, path: str | list[str]) -> str | list[str]:
-    """The files by name where they are few enough to name in a scan, else the folder they are in."""
-    names = [r.source_file for r in files.select("source_file").limit(NAMED_FILES + 1).collect()]
-    return names if len(names) <= NAMED_FILES else path
+def names_to_open(files: DataFrame) -> list[str]:
+    """Names of the files a scan opens. The driver holds the names of a scan's files in any case."""
+    return [r.source_file for r in files.select("source_file").toLocalIterator()]
 
 
 def line_bytes(line: str = "line") -> Column:
