@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from daybook.functions import jsonval as J
 from daybook.operators.ordered import OrderedRows, total
-from daybook.schema import FIELDS, PAYLOADS, as_log
+from daybook.schema import FIELDS, LOG_COLUMNS, PAYLOADS, as_log
 from daybook.session import present
 
+_AFTER_ALL = 2**63 - 1
+
 
 def _payload_ddl() -> str:
     fields = {}
@@ -78,20 +80,55 @@ def encode_events(log: DataFrame, *keep: str) -> DataFrame:
     return log.select(*keep, line.alias("value"))
 
 
-def read_log(spark: SparkSession, path: str, chunks: int | None = None) -> DataFrame:
-    """The log decoded and numbered in log order: older files first, then by place in the file."""
-    raw = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
-    order = ["_mtime", "_file", "_block", "_place"]
-    lines = raw.select(
+# Where a line stands in the log: older files first, then by place in the file.
+LOG_ORDER = ["_mtime", "_file", "_block", "_place"]
+
+
+def placed_lines(raw: DataFrame) -> DataFrame:
+    """Lines of a text scan with the file and block they stand in."""
+    return raw.select(
         "value",
         F.col("_metadata.file_modification_time").alias("_mtime"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_place"),
     )
-    rows = decode_events(lines, keep=order).withColumn("_log", F.lit(0))
-    numbered = OrderedRows(rows, ["_log"], order, chunks, "log").carry(_n=total(F.lit(1).cast("bigint")))
-    return as_log(numbered.withColumn("ingest_seq", F.col("_n")))
+
+
+def decode_placed(lines: DataFrame, after: int = -1, chunks: int | None = None) -> DataFrame:
+    """Log rows of `placed_lines` in a batch, numbered in log order from after + 1 on."""
+    lines = lines.withColumn("_place", F.monotonically_increasing_id())
+    rows = decode_events(lines, keep=LOG_ORDER).withColumn("_log", F.lit(0))
+    numbered = OrderedRows(rows, ["_log"], LOG_ORDER, chunks, "log").carry(_n=total(F.lit(1).cast("bigint")))
+    return as_log(numbered.withColumn("ingest_seq", F.col("_n") + F.lit(after + 1)))
+
+
+def read_log(spark: SparkSession, path: str, chunks: int | None = None) -> DataFrame:
+    """The log decoded and numbered in log order: older files first, then by place in the file."""
+    raw = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    return decode_placed(placed_lines(raw), chunks=chunks)
+
+
+def last_number(log: DataFrame) -> int:
+    """The greatest ingest_seq, -1 without rows."""
+    return log.agg(F.coalesce(F.max("ingest_seq"), F.lit(-1))).first()[0]
+
+
+def numbered(rows: DataFrame, after: int | None = None) -> DataFrame:
+    """Log rows of which those without ingest_seq get one, from after + 1 on (default: after the greatest there is), by
+    time, type and id. For rows that the library makes itself, when they enter the log."""
+    rows = as_log(rows)
+    known, new = rows.where("ingest_seq IS NOT NULL"), rows.where("ingest_seq IS NULL")
+    after = last_number(known) if after is None else after
+    whole = F.xxhash64(*_comparable(rows, ()))
+    new = new.withColumns({"_log": F.lit(0), "_whole": whole})
+    ordered = OrderedRows(new, ["_log"], ["ts", "type", "event_id", "_whole"], label="numbered")
+    placed = ordered.carry(_n=total(F.lit(1).cast("bigint")))
+    return known.unionByName(as_log(placed.withColumn("ingest_seq", F.col("_n") + F.lit(after + 1))))
+
+
+def _comparable(log: DataFrame, without: tuple[str, ...]) -> list[str]:
+    """Columns that can be hashed: maps cannot."""
+    return [c for c in log.columns if c not in without and not LOG_COLUMNS.get(c, "").startswith("map")]
 
 
 def append_events(log: DataFrame, path: str) -> None:
@@ -99,10 +136,11 @@ def append_events(log: DataFrame, path: str) -> None:
 
 
 def first_per_event(log: DataFrame) -> DataFrame:
-    """First row in log order per (type, event id). Copies fold into one row before the shuffle, so a
-    group of copies of any size is never gathered."""
+    """First row in log order per (type, event id); rows without a number come after those with one, and equal ones by
+    their content. Copies fold into one row before the shuffle, so a group of copies of any size is never gathered."""
     rest = [c for c in log.columns if c not in ("type", "event_id")]
-    best = F.min_by(F.struct(*rest), F.col("ingest_seq"))
+    order = F.struct(F.coalesce("ingest_seq", F.lit(_AFTER_ALL)), F.xxhash64(*_comparable(log, ("type", "event_id"))))
+    best = F.min_by(F.struct(*rest), order)
     return (
         log.groupBy("type", "event_id").agg(best.alias("_first")).select("type", "event_id", "_first.*")
     ).select(*log.columns)
@@ -112,10 +150,3 @@ def compact_log(log: DataFrame, compacted: DataFrame, snapshot_seq: Column | int
     """The compacted rows plus every row appended after the snapshot they were made from."""
     tail = log.where(F.col("ingest_seq") > snapshot_seq)
     return as_log(compacted).unionByName(as_log(tail))
-
-
-def replace_log(rows: DataFrame, root: str, version: int) -> str:
-    """Write a new version folder; readers move over once the version is complete."""
-    path = f"{root}/v{version:06d}"
-    rows.write.partitionBy("type").parquet(path)
-    return path

@@ -3,44 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from daybook.schema import as_log
-from daybook.sources.event_log import decode_events
+from daybook.session import staging
+from daybook.sources.event_log import decode_placed, first_per_event, placed_lines
+from daybook.sources.log_table import read_days, write_days
 
-# A batch's rows follow those of earlier batches in log order.
-BATCH_SHIFT = 1 << 45
+# A batch's rows follow those of earlier batches; a batch has fewer rows than this.
+BATCH_ROWS = 1 << 40
 
 
 def stream_log_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Lines of log files as they land. Landed files do not change; grown files are for read_new_lines."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).text(path)
+    """Lines of log files as they land, with the file and block they stand in. Landed files do not change; grown files
+    are for read_new_lines."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True)
+    return placed_lines(reader.option("lineSep", "\n").text(path))
 
 
-def once_per_event(log: DataFrame, delay: str) -> DataFrame:
-    """The first row of each (type, event id); ids repeated within `delay` of event time are dropped,
-    also across restarts. The batch first_per_event covers copies that come later than that."""
-    return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["type", "event_id"])
+def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Decode landed lines, number them in log order and append them to the table `target`.
 
-
-def stream_ingest(
-    spark: SparkSession, source: str, target: str, checkpoint: str, delay: str = "1 day"
-) -> StreamingQuery:
-    """Decode landed lines, drop repeats and append to the log table, partitioned by type."""
-    lines = stream_log_lines(spark, source).withColumn("ingest_seq", F.lit(None).cast("bigint"))
-    events = once_per_event(decode_events(lines), delay)
+    Every event is appended, however old its time: nothing waits for a watermark and there is no state to grow. An event
+    that lands again is appended again; `read_ingested` and compaction keep the first. A batch run again after a failure
+    replaces itself.
+    """
 
     def append(batch: DataFrame, number: int) -> None:
-        placed = batch.withColumn(
-            "ingest_seq", F.lit(number) * F.lit(BATCH_SHIFT) + F.monotonically_increasing_id() % BATCH_SHIFT
-        )
-        # One folder per batch: a batch run again after a failure replaces itself.
-        as_log(placed).write.mode("overwrite").partitionBy("type").parquet(f"{target}/batch={number}")
+        with staging(spark):
+            rows = decode_placed(batch, after=number * BATCH_ROWS - 1)
+            write_days(rows, f"{target}/batch={number}", "overwrite")
 
     return (
-        events.writeStream.foreachBatch(append)
+        stream_log_lines(spark, source)
+        .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_ingested(spark: SparkSession, target: str) -> DataFrame:
+    """The streamed log: the first row of each event."""
+    return first_per_event(as_log(read_days(spark, target)))

@@ -1,5 +1,9 @@
+import os
 import random
+import subprocess
+import sys
 import tempfile
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -7,10 +11,11 @@ from daybook.functions.tokens import TOKENS
 from daybook.operators.activity import DIMENSIONS, sessionize_ticks
 from daybook.operators.signals import aggregate_edits
 from daybook.operators.usage import to_deltas
-from daybook.sources.event_log import append_events, first_per_event
 from daybook.schema import as_log
-from daybook.streaming import stateful
-from daybook.streaming.ingest import stream_ingest
+from daybook.session import names_in
+from daybook.sources.event_log import append_events, first_per_event, read_log
+from daybook.streaming import tables
+from daybook.streaming.ingest import read_ingested, stream_ingest, stream_log_lines
 
 
 def folder():
@@ -31,97 +36,161 @@ def rows(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
 
-def test_repeated_events_are_dropped_also_after_a_restart(spark):
+def changes(spark, days):
+    """One diagnostics row per (number, day or None), its text telling the number."""
+    data = [(f"diagnostics:d:{n}", d and f"2024-{d} 08:00:00", n) for n, d in days]
+    df = spark.createDataFrame(data, "event_id string, at string, errors long").withColumn("ts", F.try_to_timestamp("at"))
+    return as_log(df.withColumns({"project": F.lit("p"), "session_id": F.lit("d"), "type": F.lit("diagnostics")}))
+
+
+def test_streamed_log_equals_the_batch_log(spark):
+    """Old, late, repeated and unreadable times over three passes: nothing is lost, and the order is that of the log."""
     source, target, checkpoint = folder(), folder() + "/log", folder()
-    base = spark.range(6).select(
-        F.concat(F.lit("commit:"), "id").alias("event_id"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("ts"),
-        F.lit("p").alias("project"),
-        F.lit("s").alias("session_id"),
-        F.lit("commit").alias("type"),
-        F.col("id").alias("ingest_seq"),
-        F.concat(F.lit("h"), "id").alias("hash"),
-    )
-    log = as_log(base)
-    append_events(log.where("ingest_seq < 4"), source)
-    stream_ingest(spark, source, target, checkpoint).awaitTermination()
-    append_events(log.where("ingest_seq >= 2"), source)
-    stream_ingest(spark, source, target, checkpoint).awaitTermination()
-    stored = spark.read.option("recursiveFileLookup", False).parquet(target)
-    assert rows(stored, "event_id", "hash") == [(f"commit:{i}", f"h{i}") for i in range(6)]
-    assert first_per_event(as_log(stored)).count() == 6
-
-
-def test_deltas_across_restarts_equal_the_batch_deltas(spark):
-    stateful.use_rocksdb(spark)
-    rng = random.Random(3)
+    passes = [
+        [(n, "06-11") for n in range(40)],
+        [(50, "01-02"), (51, "02-03"), (3, "01-01"), (52, "06-30"), (53, None)],
+        [(60, "01-01"), (50, "12-31"), (53, "05-05"), (61, "06-11")],
+    ]
+    for number, days in enumerate(passes):
+        append_events(changes(spark, days).coalesce(1), source)
+        with open(f"{source}/broken-{number}", "w") as f:
+            f.write("{ not json\n")
+        stream_ingest(spark, source, target, checkpoint).awaitTermination()
+    batch = first_per_event(read_log(spark, source))
+    streamed = read_ingested(spark, target)
+    shown = ["event_id", "ts", "errors"]
+    assert rows(streamed, *shown) == rows(batch, *shown) and streamed.count() == 40 + 5 - 1 + 2
+    in_order = [r.event_id for r in streamed.orderBy("ingest_seq").collect()]
+    assert in_order == [r.event_id for r in batch.orderBy("ingest_seq").collect()]
+    assert in_order[:40] == [f"diagnostics:d:{n}" for n in range(40)]
+
+
+def test_a_batch_that_runs_again_replaces_itself(spark):
+    source, target = folder(), folder() + "/log"
+    append_events(changes(spark, [(1, "03-03"), (2, "03-04")]), source)
+    for _ in range(2):
+        stream_ingest(spark, source, target, folder()).awaitTermination()
+    assert names_in(spark, target) == ["batch=0"]
+    assert spark.read.parquet(f"{target}/batch=0").count() == 2
+
+
+def passes(df, key, seed, source, start):
+    """Write df in shuffled parts, some rows twice, and run the stream after each."""
+    parts = df.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(3)))
+    for part in range(3):
+        now = parts.where((F.col("_part") == part) | (F.col("_part") == part - 1) & (F.xxhash64(key) % 5 == 0))
+        now.drop("_part").write.mode("append").parquet(source)
+        start().awaitTermination()
+
+
+def test_deltas_in_any_order_equal_the_batch_deltas(spark):
+    rng = random.Random(31)
     data, total = [], 0
-    for i in range(60):
-        total = 0 if i % 17 == 16 else total + rng.randint(0, 50)
-        data.append(("codex", f"u{i % 3}", i, i % 5 != 0, total, total // 2, 0, 0, total, 0))
+    for i in range(90):
+        total = 0 if i % 23 == 22 else total + rng.randint(0, 70)
+        data.append(("codex", f"run{i % 2}", i, i % 4 != 1, total, total // 3, 0, 0, 2 * total, 0))
     schema = "agent string, session_uuid string, byte_offset long, is_cumulative boolean, " + ", ".join(f"{t} long" for t in TOKENS)
     whole = spark.createDataFrame(data, schema)
-    source, target, checkpoint = folder(), folder() + "/out", folder()
-    for low, high in ((0, 20), (20, 45), (45, 60)):
-        whole.where(f"byte_offset >= {low} and byte_offset < {high}").write.mode("append").parquet(source)
-        run(stateful.stream_deltas(spark.readStream.schema(whole.schema).parquet(source)), target, checkpoint)
+    source, target, checkpoint = folder(), folder(), folder()
+
+    def start():
+        return tables.stream_deltas(spark.readStream.schema(whole.schema).parquet(source), target, checkpoint)
+
+    passes(whole, "byte_offset", 1, source, start)
     columns = ["session_uuid", "byte_offset", *TOKENS]
-    assert rows(spark.read.parquet(target), *columns) == rows(to_deltas(whole, chunks=5), *columns)
+    assert rows(tables.read_deltas(spark, target), *columns) == rows(to_deltas(whole, chunks=5), *columns)
 
 
-def signals(spark, n=400, seed=5):
+def signals(spark, n=400, seed=8):
     rng = random.Random(seed)
-    data, t = [], 1_704_067_200_000
+    data, t = [], 1_711_000_000_000
     for i in range(n):
-        t += rng.choice([15_000, 15_000, 60_000, 200_000, 700_000])
-        is_write = rng.random() < 0.15
-        data.append((f"p{i % 2}", t, i, rng.random() < 0.25, rng.random() < 0.7, is_write))
+        t += rng.choice([0, 20_000, 20_000, 90_000, 240_000, 800_000])
+        is_write = rng.random() < 0.2
+        data.append((f"site{i % 2}", t, i, rng.random() < 0.3, rng.random() < 0.6, is_write))
     df = spark.createDataFrame(data, "project string, ms long, id long, interaction boolean, focused boolean, is_write boolean")
     return df.withColumn("ts", F.timestamp_millis("ms"))
 
 
-def test_streamed_sessions_equal_the_batch_sessions(spark):
-    stateful.use_rocksdb(spark)
+def batch_sessions(whole):
+    ticks, writes = whole.where("not is_write").drop("is_write"), whole.where("is_write").select("project", "ts")
+    return sessionize_ticks(ticks, writes, chunks=6)
+
+
+SHOWN = ["session_id", "started_at", "ended_at", "is_closed", *DIMENSIONS]
+
+
+def test_late_ticks_give_the_batch_sessions(spark):
     whole = signals(spark)
-    source, target, checkpoint = folder(), folder() + "/out", folder()
-    for low, high in ((0, 130), (130, 131), (131, 400)):
+    source, target, checkpoint = folder(), folder(), folder()
+
+    def start():
+        return tables.stream_sessions(spark.readStream.schema(whole.schema).parquet(source), target, checkpoint)
+
+    passes(whole, "id", 2, source, start)
+    assert rows(tables.read_sessions(spark, target), *SHOWN) == rows(batch_sessions(whole), *SHOWN)
+
+
+def test_sessions_in_order_and_an_open_one(spark):
+    """After each pass the sessions are those of the rows so far; the last one is kept as it was at its last tick."""
+    whole = signals(spark, 120, 4)
+    source, target, checkpoint = folder(), folder(), folder()
+    for low, high in ((0, 50), (50, 51), (51, 120)):
         whole.where(f"id >= {low} and id < {high}").write.mode("append").parquet(source)
-        run(stateful.stream_sessions(spark.readStream.schema(whole.schema).parquet(source)), target, checkpoint)
-    ticks, writes = whole.where("not is_write").drop("is_write"), whole.where("is_write").select("project", "ts")
-    batch = sessionize_ticks(ticks, writes, chunks=6).where("is_closed")
-    columns = ["session_id", "started_at", "ended_at", *DIMENSIONS]
-    assert rows(spark.read.parquet(target), *columns) == rows(batch, *columns)
+        tables.stream_sessions(spark.readStream.schema(whole.schema).parquet(source), target, checkpoint).awaitTermination()
+        assert rows(tables.read_sessions(spark, target), *SHOWN) == rows(batch_sessions(whole.where(f"id < {high}")), *SHOWN)
 
 
-def test_session_without_further_ticks_is_recorded_as_it_was(spark):
-    stateful.use_rocksdb(spark)
-    base = 1_704_067_200_000
-    data = [("a", base + i * 60_000, i, True, True, False) for i in range(5)]
-    data += [("b", base + 7_200_000, 9, False, False, False)]
-    late = [("b", base + 14_400_000, 10, False, False, False)]
+def test_a_tick_between_two_earlier_ones(spark):
+    base = 1_711_000_000_000
     schema = "project string, ms long, id long, interaction boolean, focused boolean, is_write boolean"
-    source, target, checkpoint = folder(), folder() + "/out", folder()
-    for part in (data, late, late):
-        df = spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_millis("ms"))
-        df.write.mode("append").parquet(source)
-        stream = stateful.stream_sessions(spark.readStream.schema(df.schema).parquet(source), absent_ms=600_000)
-        run(stream, target, checkpoint)
-    [found] = spark.read.parquet(target).collect()
-    assert found.project == "a" and not found.is_closed
-    assert found.duration_ms == 240_000
-    assert (found.ended_at - found.started_at).total_seconds() == 240
+    source, target, checkpoint = folder(), folder(), folder()
+    for seconds in ([0, 100, 200], [150], [300]):
+        part = spark.createDataFrame([("p", base + s * 1000, s, True, True, False) for s in seconds], schema)
+        part.withColumn("ts", F.timestamp_millis("ms")).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+        tables.stream_sessions(stream, target, checkpoint).awaitTermination()
+    [found] = tables.read_sessions(spark, target).collect()
+    assert found.duration_ms == 300_000 and not found.is_closed
 
 
 def test_streamed_edit_windows_equal_the_batch_windows(spark):
-    base = 1_704_067_200
-    data = [("p", base + i * 25, i, f"f{i % 2}", "python", i % 4, i % 3) for i in range(40)]
-    data.append(("p", base + 100_000, 99, "f0", "python", 1, 1))
+    base = 1_711_000_000
+    data = [("p", base + i * 35, i, f"m{i % 3}", "rust", i % 5, i % 2) for i in range(30)]
+    data.append(("p", base + 200_000, 99, "m0", "rust", 1, 1))
     schema = "project string, s long, id long, file string, language string, lines_added long, lines_removed long"
     df = spark.createDataFrame(data, schema).withColumn("ts", F.timestamp_seconds("s"))
     source, target, checkpoint = folder(), folder() + "/out", folder()
     df.write.mode("append").parquet(source)
     for _ in range(2):
-        run(stateful.stream_edits(spark.readStream.schema(df.schema).parquet(source)), target, checkpoint)
+        run(tables.stream_edits(spark.readStream.schema(df.schema).parquet(source)), target, checkpoint)
     columns = ["window.start", "file", "language", "lines_added", "lines_removed"]
     closed = aggregate_edits(df.where("id < 99"))
     assert rows(spark.read.parquet(target), *columns) == rows(closed, *columns)
+
+
+def test_lines_are_read_with_their_place(spark):
+    assert stream_log_lines(spark, folder()).columns == ["value", "_mtime", "_file", "_block"]
+
+
+def test_streams_run_from_any_folder():
+    """After ship() Python workers find the package although the session was started elsewhere."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+        import sys
+        sys.path.insert(0, {root!r})
+        from pyspark.sql import SparkSession, functions as F
+        from daybook.shipping import ship
+        from daybook.streaming import tables
+        spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+        ship(spark)
+        rows = [("p", 1711000000000 + 60000 * k, k, True, True, False) for k in range(5)]
+        df = spark.createDataFrame(rows, "project string, ms long, id long, interaction boolean, focused boolean, is_write boolean")
+        df = df.withColumn("ts", F.timestamp_millis("ms"))
+        df.write.parquet("in")
+        tables.stream_sessions(spark.readStream.schema(df.schema).parquet("in"), "out", "check").awaitTermination()
+        assert tables.read_sessions(spark, "out").first().duration_ms == 240000
+    """
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", textwrap.dedent(script)], cwd=folder(), env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
