@@ -1,0 +1,123 @@
+"""Registered jobs that run in several passes: streams, appended logs, versions, refreshed cells, a second repair."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalog import standins as S
+from catalog import transcripts as X
+from catalog.queries import ms, query
+from daybook.functions.tokens import TOKENS
+from daybook.operators import activity, agents, calendar, repair
+from daybook.plans.refresh import refresh_daily_cells
+from daybook.session import staging_path
+from daybook.sources import event_log, log_table
+from daybook.sources.prices import shipped_prices
+from daybook.streaming import tables
+from daybook.streaming.ingest import read_ingested, stream_ingest
+
+PASSES = 3
+
+
+def _pass_of(key: Column) -> Column:
+    """Passes that do not follow the order of the rows."""
+    return F.pmod(F.xxhash64(key), F.lit(PASSES))
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, key: str, start: Callable[[DataFrame, str, str], object]) -> str:
+    """Land rows in passes, every fifth again in the next one, and run the stream after each; its target."""
+    source, target, checkpoint = (staging_path(spark, part) for part in ("landed", "target", "offsets"))
+    parts = rows.withColumn("_pass", _pass_of(F.col(key)))
+    for n in range(PASSES):
+        again = (F.col("_pass") == n - 1) & (F.xxhash64(key) % 5 == 0)
+        parts.where((F.col("_pass") == n) | again).drop("_pass").write.mode("append").parquet(source)
+        start(spark.readStream.schema(rows.schema).parquet(source), target, checkpoint).awaitTermination()
+    return target
+
+
+@query
+def stream_log(spark, sf):
+    """Log lines that land in passes out of order, some again later with another project: the first stays."""
+    source, target, checkpoint = (staging_path(spark, part) for part in ("lines", "log", "offsets"))
+    lines = X.log_lines(spark, sf).withColumn("_pass", F.pmod(F.floor(F.col("ingest_seq") / 10), F.lit(PASSES)))
+    for n in range(PASSES):
+        now = lines.where(F.col("_pass") == n).select("value")
+        if n == PASSES - 1:
+            late = lines.where(F.col("_pass") < n).select(F.regexp_replace("value", '"project":"p', '"project":"late ').alias("value"))
+            now.write.mode("append").text(source)
+            stream_ingest(spark, source, target, checkpoint).awaitTermination()
+            now = late
+        now.write.mode("append").text(source)
+        stream_ingest(spark, source, target, checkpoint).awaitTermination()
+    return read_ingested(spark, target).select("type", "event_id", "project", ms("ts"))
+
+
+@query
+def stream_sessions(spark, sf):
+    writes = S.signals(spark, sf).where("event_type = 'purchase'").select("project", "ts", "id").withColumn("is_write", F.lit(True))
+    rows = S.ticks(spark, sf).withColumn("is_write", F.lit(False)).unionByName(writes, allowMissingColumns=True)
+    target = _streamed(spark, rows, "id", tables.stream_sessions)
+    found = tables.read_sessions(spark, target)
+    return found.select("project", ms("started_at"), ms("ended_at"), "is_closed", *activity.DIMENSIONS)
+
+
+@query
+def stream_deltas(spark, sf):
+    target = _streamed(spark, S.running_usage(spark, sf), "byte_offset", tables.stream_deltas)
+    return tables.read_deltas(spark, target).select(*agents.SESSION, "byte_offset", "is_cumulative", *TOKENS)
+
+
+@query
+def append_log(spark, sf):
+    """The signal log appended as JSON lines in two parts and read back."""
+    path = staging_path(spark, "appended")
+    log = S.union_log(S.signal_log(spark, sf))
+    for odd in (0, 1):
+        event_log.append_events(log.where(F.col("ingest_seq") % 2 == odd), path)
+    rows = event_log.read_log(spark, path)
+    return rows.select("type", "event_id", "project", ms("ts"), "file", "lines_added", "errors", "passed", "name", "ok")
+
+
+@query
+def log_versions(spark, sf):
+    """Repaired history becomes a version of the log, signals are appended twice, and compaction makes the next version."""
+    root = staging_path(spark, "versions")
+    repaired = repair.migrate_history(X.stored_log(spark, sf), X.reparsed(spark, sf), shipped_prices(spark))
+    log_table.write_version(repaired, root)
+    signals = S.signal_log(spark, sf)
+    log_table.append_rows(signals, root)
+    log_table.append_rows(signals.withColumn("project", F.lit("again")), root)
+    log_table.compact(spark, root)
+    rows = event_log.first_per_event(S.union_log(log_table.read_current(spark, root)))
+    return rows.select("type", "event_id", "project", ms("ts"), F.col("ingest_seq").isNotNull().alias("numbered"))
+
+
+@query
+def refreshed_cells(spark, sf):
+    """Daily cells of an older log, which lacks some events and has one on a day of its own, brought up to date."""
+    root, target = staging_path(spark, "days"), staging_path(spark, "cells")
+    log = S.event_log(spark, sf)
+    missing = F.pmod(F.xxhash64("event_id"), F.lit(7)) == 0
+    stray = log.where("type = 'session'").orderBy("event_id").limit(1).withColumn("ts", F.lit("2024-03-09 12:00:00").cast("timestamp"))
+    older = log.where(~missing).unionByName(stray)
+    calendar.daily_cells(older).write.partitionBy("date").parquet(target)
+    log_table.write_version(log, root)
+    changed = log.where(missing).unionByName(stray)
+    refresh_daily_cells(log_table.read_current(spark, root), changed, target)
+    cells = calendar.daily_cells(log.limit(0))
+    return spark.read.schema(cells.schema).parquet(target).select(*cells.columns)
+
+
+@query
+def migrate_twice(spark, sf):
+    """The repair of repaired history changes nothing more."""
+    log, again, prices = X.stored_log(spark, sf), X.reparsed(spark, sf), shipped_prices(spark)
+    once = event_log.numbered(repair.migrate_history(log, again, prices))
+    rows = repair.migrate_history(S.stage(once, "once"), again, prices)
+    return rows.select(
+        "event_id", ms("ts"), "project", "session_id", "type", "agent", "session_uuid", "model", "turns", *TOKENS,
+        "cost_usd", "pricing_version", "calc_version", "unparsed_lines",
+    )

@@ -1071,6 +1071,23 @@ def _oracle() -> dict[str, str]:
           greatest(0, (select count(*) from stored) - (select count(*) from new_turns) - (select count(*) from new_sessions))::bigint as dropped_events
         from stored_sessions where copy = 1""",
     )
+
+    # ---- jobs in several passes ----
+    for job, same in (
+        ("stream_sessions", "sessionize_ticks"), ("stream_deltas", "cumulative_delta"), ("refreshed_cells", "daily_cells"),
+        ("migrate_twice", "migrate_history"),
+    ):
+        o(job, out[same])
+    o("stream_log", "select type, event_id, project, (epoch_us(ts) // 1000) as ts from signal_log")
+    o(
+        "append_log",
+        "select type, event_id, project, (epoch_us(ts) // 1000) as ts, file, lines_added, errors, passed, name, ok from signal_log",
+    )
+    o(
+        "log_versions",
+        f"""select type, event_id, project, (epoch_us(ts) // 1000) as ts, true as numbered from signal_log
+        union all select type, event_id, project, ts, true from ({out['migrate_history']})""",
+    )
     return {name: sql(select) for name, select in out.items()}
 
 
