@@ -42,7 +42,7 @@ def ms(column: str, name: str | None = None) -> Column:
 
 @query
 def agent_rollup(spark, sf):
-    return rollup.agent_totals(S.event_log(spark, sf), S.NOW)
+    return rollup.agent_totals(S.agent_log(spark, sf), S.NOW)
 
 
 @query
@@ -529,7 +529,7 @@ def summary_rows(spark, sf):
 
 @query
 def agent_lines(spark, sf):
-    log = S.event_log(spark, sf)
+    log = S.agent_log(spark, sf)
     return reports.agent_lines(rollup.agent_totals(log, S.NOW), rollup.pricing_versions(log, S.NOW))
 
 

@@ -374,15 +374,14 @@ def signal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole log as a table; reports read the columns and types they need."""
-    whole = union_log(
-        work_log(spark, sf_dir),
-        turn_log(spark, sf_dir),
-        session_log(spark, sf_dir),
-        commit_log(spark, sf_dir),
-        signal_log(spark, sf_dir),
-    )
-    return stage(whole, "log")
+    """The whole log as a table by type; reports read the columns and types they need."""
+    parts = (work_log, turn_log, session_log, commit_log, signal_log)
+    return stage(union_log(*(part(spark, sf_dir) for part in parts)), "log", "type")
+
+
+def agent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agents' part of the log, for reports that read nothing else."""
+    return stage(union_log(turn_log(spark, sf_dir), session_log(spark, sf_dir)), "agent-log", "type")
 
 
 def terminal_log(spark: SparkSession, sf_dir: str) -> DataFrame:

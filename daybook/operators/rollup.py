@@ -10,7 +10,7 @@ from daybook.functions.paths import OTHER_LANGUAGE
 from daybook.functions.tokens import TOKENS, billed_tokens, cache_hit_ratio, zero_if_null
 from daybook.operators.median import median_of_counts
 from daybook.operators.ordered import placed
-from daybook.operators.periods import BAND, in_scope, per_period, since_ms
+from daybook.operators.periods import BAND, PERIODS, in_scope, per_period, since_ms
 from daybook.schema import UNKNOWN_MODEL, as_log
 
 TIME = (
@@ -136,21 +136,31 @@ def agent_totals(log: DataFrame, now) -> DataFrame:
             F.sum(F.col("cost_usd").cast("decimal(18,4)")).alias("cost_usd"),
         )
     )
+    # A session counts in its narrowest band; its unparsed lines count in each band it has a summary in.
+    per_band = F.array(
+        *(
+            F.struct(
+                F.lit(i).alias(BAND),
+                (F.col("_first") == i).cast("bigint").alias("sessions"),
+                F.col(f"_unparsed{i}").alias("unparsed_lines"),
+            )
+            for i in range(len(PERIODS))
+        )
+    )
     per_session = (
         in_scope(log.where(_of("agent_session")), now)
         .groupBy("project", "agent", "session_uuid")
-        .agg(F.min(BAND).alias(BAND))
-        .groupBy("project", "agent", BAND)
-        .agg(F.count("*").alias("sessions"))
-    )
-    unparsed = (
-        in_scope(log.where(_of("agent_session")), now)
+        .agg(
+            F.min(BAND).alias("_first"),
+            *(F.max(F.when(F.col(BAND) == i, F.coalesce("unparsed_lines", F.lit(-1)))).alias(f"_unparsed{i}") for i in range(len(PERIODS))),
+        )
+        .select("project", "agent", F.inline(per_band))
+        .where("sessions > 0 OR unparsed_lines IS NOT NULL")
         .groupBy("project", "agent", BAND)
-        .agg(F.max("unparsed_lines").alias("unparsed_lines"))
-    )
-    bands = turns.unionByName(per_session, allowMissingColumns=True).unionByName(
-        unparsed, allowMissingColumns=True
+        .agg(F.sum("sessions").alias("sessions"), F.max("unparsed_lines").alias("unparsed_lines"))
+        .withColumn("unparsed_lines", F.when(F.col("unparsed_lines") >= 0, F.col("unparsed_lines")))
     )
+    bands = turns.unionByName(per_session, allowMissingColumns=True)
     sums = ["turns", *TOKENS, "sessions", "cost_usd"]
     out = per_period(bands, ["project", "agent"], sums, maxima=["unparsed_lines"]).where("_bands > 0")
     out = _no_nulls(out, "turns", *TOKENS, "sessions", "unparsed_lines").withColumn(

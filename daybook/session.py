@@ -76,12 +76,13 @@ def staging(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, *by: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors,
-    and fixes values that a recomputation could change (such as partition numbers)."""
+    and fixes values that a recomputation could change (such as partition numbers). Filters on the columns `by` then
+    choose folders."""
     path = staging_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def present(df: DataFrame, row: Column) -> DataFrame:
