@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions.paths import transcript_uuid
 from daybook.operators.ordered import OrderedRows, total
-from daybook.session import small_side
+from daybook.session import small_side, stage
 
 
 def list_transcripts(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -55,7 +55,7 @@ def read_transcript_lines(
 
     Spark cuts a large file into blocks. A line's offset is the bytes of earlier lines in its block
     plus the bytes of earlier blocks, so no task holds more than one block. extract may replace the
-    column line by narrow columns before rows are shuffled.
+    column line by narrow columns; these are staged, so that texts are scanned once and never shuffled.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
     raw = (
@@ -71,6 +71,10 @@ def read_transcript_lines(
         )
         .withColumn("_bytes", line_bytes())
     )
+    numbered = raw.withColumn("_place", F.monotonically_increasing_id())
+    numbered = numbered.withColumn("line", F.regexp_replace("line", r"\r$", ""))
+    if extract:
+        numbered = raw = stage(extract(numbered), "lines")
     block_starts = (
         raw.where("_block_length < _size")
         .groupBy("source_file", "_block")
@@ -83,10 +87,6 @@ def read_transcript_lines(
             .alias("_before_block"),
         )
     )
-    numbered = raw.withColumn("_place", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("line", F.regexp_replace("line", r"\r$", ""))
-    if extract:
-        numbered = extract(numbered)
     earlier = (
         W.partitionBy("source_file", "_block").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
     )
