@@ -6,40 +6,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from daybook.llm import exact, mixing, neardup, pieces, quality
-from daybook.llm.text import Tables
+from daybook.llm.text import Tables, small_batches
 from daybook.shipping import ship
 
 # The classifier and the search for near copies are beyond SQL.
 ORACLE_SQL = None
 
 
+def _ready(spark: SparkSession) -> None:
+    ship(spark)
+    small_batches(spark)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that a classifier learnt from labels.quality does not reject."""
-    ship(spark)
+    _ready(spark)
     return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the one with most characters."""
-    ship(spark)
+    _ready(spark)
     return exact.exact_unique(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 over five-word shingles, the one with the smallest id."""
-    ship(spark)
+    _ready(spark)
     return neardup.without_near_copies(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as their source's target asks for; a document taken twice is two rows."""
-    ship(spark)
+    _ready(spark)
     return mixing.mixture(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, round_trip and ids of every row."""
-    ship(spark)
+    _ready(spark)
     return pieces.encoded(docs)
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.text import Tables, training_part, whole_text
@@ -29,17 +29,20 @@ PASSES = 3
 ADDED = 0.1
 SEED = 4
 # A block is closed when it has so many distinct words or tokens, so that it fits a task at any partition size.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 600_000
 BLOCK_TOKENS = 6_000_000
-# The passes start from values learnt from a few whole training texts (those with the least hash of the id), at most so
-# many and with at most so many tokens. Every pass that counts reads all training texts.
+# A word of its own class stands at least so often in training texts.
+LEAST_FREQUENT = 50
+# The passes start from values learnt from a few whole training texts, chosen by hash: about so many at most, and with at
+# most so many tokens. Every pass that counts reads all training texts.
 START_TEXTS = 1_000
 START_TOKENS = 300_000
 START_PASSES = 12
 # Tokens whose forward and backward values are held at a time.
-HELD_TOKENS = 500_000
+HELD_TOKENS = 300_000
 # The end of a text; no word has a space.
 END = b" "
+_CODEC = "zstd"
 
 
 def tokens_of(raw: bytes) -> list[bytes]:
@@ -58,7 +61,8 @@ class Block:
         self.learnt: list[np.ndarray] = []
         self.tokens = 0
 
-    def add(self, raw: bytes, held_out: bool) -> bytes:
+    def add(self, raw: bytes, held_out: bool) -> tuple[int, bytes]:
+        """The number of tokens, and their numbers."""
         words, numbers = tokens_of(raw), self.numbers
         for word in words:
             if word not in numbers:
@@ -67,7 +71,7 @@ class Block:
         self.tokens += len(ids)
         if not held_out:
             self.learnt.append(ids)
-        return ids.tobytes()
+        return len(ids), pa.compress(ids.tobytes(), _CODEC, asbytes=True)
 
     def full(self) -> bool:
         return len(self.numbers) >= BLOCK_WORDS or self.tokens >= BLOCK_TOKENS
@@ -80,9 +84,9 @@ class Block:
 
 
 def _block_rows(block: int, n: int, texts: list[pa.Array] | None = None, words: list[pa.Array] | None = None) -> pa.RecordBatch:
-    texts = texts or [pa.nulls(n, kind) for kind in (pa.int64(), pa.bool_(), pa.binary())]
+    texts = texts or [pa.nulls(n, kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.binary())]
     words = words or [pa.nulls(n, kind) for kind in (pa.binary(), pa.int32(), pa.int64())]
-    names = ["block", "doc_id", "held_out", "sequence", "word", "number", "seen"]
+    names = ["block", "doc_id", "held_out", "n_tokens", "sequence", "word", "number", "seen"]
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), *texts, *words], names=names)
 
 
@@ -93,7 +97,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 256)
             held = part.column("held_out").to_pylist()
             sequences = [block.add(raw, h) for raw, h in zip(part.column("raw").to_pylist(), held, strict=True)]
-            texts = [part.column("doc_id"), part.column("held_out"), pa.array(sequences, pa.binary())]
+            sizes, packed = zip(*sequences, strict=True)
+            texts = [part.column("doc_id"), part.column("held_out"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())]
             yield _block_rows(block.name, part.num_rows, texts=texts)
             if block.full():
                 yield block.words()
@@ -234,8 +239,12 @@ def expected_counts(sequences: DataFrame, model: Model) -> Counts:
 
 
 def _start(sequences: DataFrame, shares: np.ndarray, states: int) -> Model:
-    some = sequences.filter(f"n_tokens <= {START_TOKENS // 10}").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "sequence")
-    some = [np.frombuffer(bytes(r.sequence), "<u2") for r in some.select("sequence").limit(START_TEXTS).collect()]
+    some = sequences.filter(f"n_tokens <= {START_TOKENS // 10}")
+    size = 1 << 31
+    cut = size if (n := some.count()) <= START_TEXTS else size * START_TEXTS // n
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "sequence"), F.lit(size))
+    some = some.filter(drawn < cut).select("sequence").limit(2 * START_TEXTS).collect()
+    some = [np.frombuffer(s, "<u2") for s in sorted(bytes(r.sequence) for r in some)]
     sizes = np.cumsum([len(s) for s in some])
     some = some[: int(np.searchsorted(sizes, START_TOKENS, "right"))]
     model = Model.start(shares, states, SEED)
@@ -246,6 +255,20 @@ def _start(sequences: DataFrame, shares: np.ndarray, states: int) -> Model:
     return model
 
 
+def _frequent(words: DataFrame, most: int) -> list[bytes]:
+    """The `most` words (word, n) with greatest n, of equal ones the smallest. Counts by size first, so that little more
+    than these come to the driver."""
+    size = F.floor(F.log2("n") * 8)
+    by_size = words.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect()
+    least, total = 0, 0
+    for row in by_size:
+        least, total = row["size"], total + row["count"]
+        if total >= most:
+            break
+    top = words.filter(size >= least).collect()
+    return [bytes(r.word) for r in sorted(top, key=lambda r: (-r.n, bytes(r.word)))[:most]]
+
+
 def language_scores(
     docs: DataFrame, states: int = STATES, frequent: int = FREQUENT, endings: int = ENDINGS, passes: int = PASSES,
     text: str = "text", doc_id: str = "doc_id",
@@ -262,18 +285,28 @@ def language_scores(
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), (training_part(doc_id, 10) == 0).alias("held_out"), whole_text(text).cast("binary").alias("raw")
     )
-    schema = "block long, doc_id long, held_out boolean, sequence binary, word binary, number int, seen long"
+    schema = "block long, doc_id long, held_out boolean, n_tokens long, sequence binary, word binary, number int, seen long"
     blocks = tables.write(rows.mapInArrow(_blocks, schema), "blocks")
-    own = blocks.filter("word IS NOT NULL").select("block", "word", "number", "seen")
-    counts = tables.write(own.groupBy("word").agg(F.sum("seen").alias("n")), "counts")
-    # Classes: 0 is the end, then the frequent words, then the endings.
-    top = counts.filter((F.col("word") != F.lit(END)) & (F.col("n") > 0)).orderBy(F.desc("n"), "word").limit(frequent)
-    top = [bytes(r.word) for r in top.collect()]
+    # A word's rows, one per block that has it, get the sum of their counts. Classes: 0 is the end, then the frequent words,
+    # then the endings.
+    by_word = Window.partitionBy("word")
+    words = blocks.filter("word IS NOT NULL").select("block", "word", "number", "seen").select(
+        F.col("block").alias("of"),
+        "number",
+        F.sum("seen").over(by_word).alias("n"),
+        (F.col("block") == F.min("block").over(by_word)).alias("once"),
+        "word",
+        ((F.crc32(F.expr("substring(word, -3)")) % endings).cast("int") + 1 + frequent).alias("ending"),
+    )
+    known = (F.col("n") >= LEAST_FREQUENT) | (F.col("word") == F.lit(END))
+    words = tables.write(words.withColumn("word", F.when(known, F.col("word"))), "words")
+    candidates = words.filter(F.col("once") & F.col("word").isNotNull() & (F.col("word") != F.lit(END))).select("word", "n")
+    top = _frequent(candidates, frequent)
     listed = docs.sparkSession.createDataFrame([(END, 0), *((w, k + 1) for k, w in enumerate(top))], "word binary, own int")
-    ending = (F.crc32(F.expr("substring(word, -3)")) % endings).cast("int") + 1 + frequent
-    counts = counts.join(F.broadcast(listed), "word", "left").select("word", "n", F.coalesce("own", ending).alias("class"))
+    words = words.join(F.broadcast(listed), "word", "left").withColumn("class", F.coalesce("own", "ending"))
     size = 1 + frequent + endings
-    per_class = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("words")).toPandas()
+    counted = words.filter("once").groupBy("class").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("words"))
+    per_class = counted.toPandas()
     n_of, words_of = np.zeros(size), np.zeros(size)
     n_of[per_class["class"]], words_of[per_class["class"]] = per_class["n"], per_class["words"]
     total = float(n_of.sum())
@@ -289,22 +322,18 @@ def language_scores(
         base = np.log10(n + ADDED)
         inside = np.where(np.isnan(shared[kind]), 0.0, base - shared[kind])
         base -= np.log10(room)
-        ids = [np.frombuffer(s.as_py(), "<i4") for s in texts.column("sequence")]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat, owner = np.concatenate([*ids, np.zeros(0, np.int32)]), np.repeat(np.arange(len(ids)), sizes)
-        sums = [np.bincount(owner, v[flat], len(ids)) for v in ((n > 0).astype(float), base, inside)]
-        kinds = kind.astype("<u2")
-        columns = {
-            "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": sizes,
-            "n_known": sums[0].astype(np.int64), "base_score": sums[1], "inside": sums[2],
-            "sequence": pa.array([kinds[x].tobytes() for x in ids], pa.binary()),
-        }
-        return pa.table(columns)
+        kinds, found, known = kind.astype("<u2"), n > 0, []
+        for packed, size in zip(texts.column("sequence"), texts.column("n_tokens").to_pylist(), strict=True):
+            ids = np.frombuffer(pa.decompress(packed.as_py(), 4 * size, _CODEC, asbytes=True), "<i4")
+            known.append((int(found[ids].sum()), float(base[ids].sum()), float(inside[ids].sum()), kinds[ids].tobytes()))
+        columns = dict(zip(("n_known", "base_score", "inside", "sequence"), zip(*known, strict=True), strict=True))
+        kept = {name: texts.column(name) for name in ("doc_id", "held_out", "n_tokens")}
+        return pa.table({**kept, **columns})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, sequence binary"
-    known = own.select("block", "word", "number").join(counts, "word").select(F.col("block").alias("of"), "number", "n", "class")
-    texts = blocks.filter("sequence IS NOT NULL").select("block", "doc_id", "held_out", "sequence")
-    sequences = tables.write(texts.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(number, schema), "sequences")
+    texts = blocks.filter("sequence IS NOT NULL").select("block", "doc_id", "held_out", "n_tokens", "sequence")
+    of_block = words.select("of", "number", "n", "class").groupBy("of")
+    sequences = tables.write(texts.groupBy("block").cogroup(of_block).applyInArrow(number, schema), "sequences")
     tables.drop(blocks)
 
     learnt = sequences.filter(~F.col("held_out"))

@@ -11,6 +11,7 @@ from daybook.session import staging_path
 # bytes.split() separates at exactly these, and bytes.lower() changes A-Z only.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
 def whole_text(column: str = "text") -> Column:
@@ -27,6 +28,36 @@ def training_part(doc_id: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+class Memory(dict):
+    """A dict that computes what it lacks and forgets what has not been asked for in the last `room` new entries or so:
+    entries are kept in two generations of that size, and a use moves one to the newer."""
+
+    room = 100_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict = {}
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        out = self.older.get(key)
+        if out is None:
+            out = self.compute(key)
+        if len(self) >= self.room:
+            self.older = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts: unless the session says otherwise, send fewer of them to Python at a time than by default."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 class Tables:
     """Tables that one call writes to the shared folder and reads back: they cut lineage, survive lost
     executors and fix what a recomputation could change. `drop` removes those that no result reads."""
