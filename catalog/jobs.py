@@ -13,8 +13,8 @@ from catalog.queries import ms, query
 from daybook.functions.tokens import TOKENS
 from daybook.operators import activity, agents, calendar, repair
 from daybook.plans.refresh import refresh_daily_cells
-from daybook.session import staging_path
-from daybook.sources import event_log, log_table
+from daybook.session import names_in, rename, staging_path
+from daybook.sources import event_log, log_table, transcripts
 from daybook.sources.prices import shipped_prices
 from daybook.streaming import tables
 from daybook.streaming.ingest import read_ingested, stream_ingest
@@ -121,3 +121,47 @@ def migrate_twice(spark, sf):
         "event_id", ms("ts"), "project", "session_id", "type", "agent", "session_uuid", "model", "turns", *TOKENS,
         "cost_usd", "pricing_version", "calc_version", "unparsed_lines",
     )
+
+
+@query
+def fallback_time(spark, sf):
+    """Usage rows by agent, and those that take their file's time because their line has none."""
+    rows = X.usage(spark, sf, "claude").withColumn("agent", F.lit("claude")).unionByName(
+        X.usage(spark, sf, "codex").withColumn("agent", F.lit("codex"))
+    )
+    without = F.col("ts") == F.lit(X.FILE_TIME).cast("timestamp")
+    return rows.groupBy("agent").agg(F.count("*").alias("rows"), F.count_if(without).alias("without_time"))
+
+
+# Transcript files of the job below, and the lines of their first state.
+FILES, FIRST_LINES = 8, 40
+
+
+@query
+def transcript_passes(spark, sf):
+    """Transcripts in nested folders, found and read, then read on from their cursors after they have grown."""
+    lines = X.lines(spark, sf).withColumn("_n", F.regexp_extract("source_file", r"c(\d+)\.jsonl$", 1).cast("bigint"))
+    lines = lines.select(
+        (F.col("_n") % FILES).cast("int").alias("bucket"), (F.col("place") >= FIRST_LINES).alias("later"), "source_file", "place", "line"
+    )
+
+    def land(rows: DataFrame) -> str:
+        root = staging_path(spark, "transcripts")
+        ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "later", "source_file", "place")
+        ordered.select("bucket", "line").write.partitionBy("bucket").text(root)
+        for folder in (name for name in names_in(spark, root) if name.startswith("bucket=")):
+            for name in names_in(spark, f"{root}/{folder}"):
+                rename(spark, f"{root}/{folder}/{name}", f"{root}/{folder}/b{folder.split('=')[1]}.jsonl")
+        return root
+
+    def counted(rows: DataFrame, number: int) -> DataFrame:
+        name = F.regexp_extract("source_file", r"(b\d+)\.jsonl$", 1)
+        return rows.groupBy(name.alias("file"), F.lit(number).alias("pass")).agg(
+            F.count("*").alias("lines"), F.min("byte_offset").alias("from_offset"), F.max("next_offset").alias("next_offset")
+        )
+
+    first, grown = land(lines.where("not later")), land(lines)
+    before = transcripts.read_transcript_lines(spark, first)
+    cursors = transcripts.advance_cursors(before).withColumn("source_file", F.replace("source_file", F.lit(first), F.lit(grown)))
+    after = transcripts.read_new_lines(spark, grown, cursors)
+    return counted(before, 1).unionByName(counted(after, 2))

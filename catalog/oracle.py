@@ -1078,6 +1078,18 @@ def _oracle() -> dict[str, str]:
         ("migrate_twice", "migrate_history"),
     ):
         o(job, out[same])
+    o(
+        "fallback_time",
+        """select 'claude' as agent, count(*) as rows, 0::bigint as without_time from a_lines
+        union all select 'codex', count(*), count(*) filter (ts = timestamp '2024-02-01') from b_lines""",
+    )
+    CTES["f"] = "select 'b' || (conv_id % 8) as file, place >= 40 as later, strlen(line) + 1 as n from all_lines"
+    o(
+        "transcript_passes",
+        """select file, 1::int as pass, count(*) as lines, 0::bigint as from_offset, sum(n)::bigint as next_offset from f where not later group by 1
+        union all select file, 2::int, count(*) filter (later), coalesce(sum(n) filter (not later), 0)::bigint, sum(n)::bigint from f group by 1
+          having bool_or(later)""",
+    )
     o("stream_log", "select type, event_id, project, (epoch_us(ts) // 1000) as ts from signal_log")
     o(
         "append_log",

@@ -59,6 +59,11 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    place, files = _files(spark, path)
+    files.rename(place, spark._jvm.org.apache.hadoop.fs.Path(to))
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it doesn't exist."""
     place, files = _files(spark, path)
