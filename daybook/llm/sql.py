@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+from daybook.llm.lines import LEAST_WORDS
 from daybook.llm.mixing import ROUNDS, SEED
+from daybook.llm.neardup import SIMILARITY, WORDS
 from daybook.llm.rules import LEAST_DOCUMENTS, SLACK
 from daybook.llm.secrets import BASE, RULES
 
@@ -136,8 +138,64 @@ SELECT doc_id, size, source_size, target, (whole + extra::INTEGER) * size AS tak
 """
 
 
+_CHAT = r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, t, ['user', 'assistant'][t + 1], '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0), (1)) v(t)),
+p AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM c),
+e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS body,
+  regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS head FROM p)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(head) + 1 + length(body) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+_LINES = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS w FROM documents),
+l AS (SELECT doc_id, line, place, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (
+  SELECT doc_id, unnest(string_split(w, chr(10))) AS line, unnest(range(0, len(string_split(w, chr(10))))) AS place FROM d)),
+s AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS plain,
+  row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k, sum(n) OVER (PARTITION BY doc_id ORDER BY place) AS upto FROM l WHERE n > 0),
+enough AS (SELECT a.doc_id, a.k AS first, b.k AS last FROM s a JOIN s b ON b.doc_id = a.doc_id AND b.k >= a.k AND b.upto - a.upto + a.n >= {LEAST_WORDS}),
+windows AS (SELECT doc_id, first, min(last) AS last FROM enough GROUP BY 1, 2
+  UNION SELECT doc_id, max(first), last FROM enough GROUP BY doc_id, last),
+runs AS (SELECT w.doc_id, first, last, string_agg(md5(plain), ',' ORDER BY k) AS seq
+  FROM windows w JOIN s ON s.doc_id = w.doc_id AND s.k BETWEEN first AND last GROUP BY 1, 2, 3),
+again AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY seq ORDER BY doc_id, first) > 1),
+gone AS (SELECT DISTINCT r.doc_id, l.place FROM again r JOIN s a ON a.doc_id = r.doc_id AND a.k = first
+  JOIN s b ON b.doc_id = r.doc_id AND b.k = last JOIN l ON l.doc_id = r.doc_id AND l.place BETWEEN a.place AND b.place),
+spans AS (SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS deleted FROM (
+  SELECT doc_id, min(place) AS a, max(place) AS b FROM (
+    SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM gone) GROUP BY doc_id, island) GROUP BY doc_id),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.place) AS n_deleted, coalesce(sum(n) FILTER (g.place IS NOT NULL), 0)::BIGINT AS n_words_deleted,
+  coalesce(string_agg(line, chr(10) ORDER BY l.place) FILTER (g.place IS NULL), '') AS text
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.place = l.place GROUP BY 1)
+SELECT doc_id, n_lines, n_deleted, n_words_deleted, coalesce(deleted, '') AS deleted, sha256(text) AS text_sha256, length(text)::BIGINT AS n_chars
+FROM kept LEFT JOIN spans USING (doc_id)
+"""
+
+_NEAR = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {WORDS} THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - {WORDS} + 2), lambda i: array_to_string(ws[i : i + {WORDS} - 1], ' ')) END) AS s FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c.n >= {SIMILARITY} * (x.n + y.n - c.n)),
+reach AS (SELECT doc_id, doc_id AS to_id FROM w UNION SELECT r.doc_id, b FROM reach r JOIN links ON a = to_id)
+SELECT r.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(to_id) AS component_id, r.doc_id = min(to_id) AS kept
+FROM reach r LEFT JOIN sizes z ON z.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_secret_scans": _secrets(),
+    "op2_chat_formatting": _CHAT,
+    "op3_line_dedup": _LINES,
+    "op7_near_copies": _NEAR,
     "op8_exact_dedup": _EXACT,
     "op9_quality_rules": _rules(),
     "op10_mixing_sources": _mix(),
