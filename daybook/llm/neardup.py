@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.links import components
-from daybook.llm.text import Tables, whole_text
+from daybook.llm.text import Memory, Tables, whole_text
 
 WORDS = 4
 SIMILARITY = 80  # per cent of the union
@@ -37,8 +37,8 @@ NEIGHBOURS = 4
 _BITS = TREES * DEPTH
 LOOSE_BITS = 99
 BLOCK = 256
+MARKS = 1 << 20
 SEED = 7
-_REMEMBERED = 500_000
 _CHUNK = 8192
 
 _random = np.random.default_rng(SEED)
@@ -47,12 +47,9 @@ _ADD = _random.integers(0, 1 << 63, _BITS, np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
+class WordHashes(Memory):
+    def compute(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
 
 def shingles(raw: bytes, words: int, hashes: WordHashes) -> np.ndarray:
@@ -114,20 +111,21 @@ def _regions(forest: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame |
     level = forest.withColumn("region", _prefix(DEPTHS[0]))
     done = None
     for k, depth in enumerate(DEPTHS):
-        large = level.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "s1", "s2")).alias("leader"))
+        large = level.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
         large = tables.write(large.filter(F.col("n") > REGION), f"large{depth}")
         if large.isEmpty():
             break
         joined = level.join(large, "region", "left")
-        fits = joined.filter("n IS NULL").drop("n", "leader")
+        fits = joined.filter("n IS NULL").drop("n")
         done = fits if done is None else done.unionByName(fits)
         rest = tables.write(joined.filter("n IS NOT NULL"), f"rest{depth}")
-        led = rest.filter(_agree("s1", "s2", "leader.s1", "leader.s2")).select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
+        leader = rest.groupBy("region").agg(F.min(F.struct("node", "s1", "s2")).alias("leader"))
+        led = rest.join(leader, "region").filter(_agree("s1", "s2", "leader.s1", "leader.s2")).select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
         leaders = led if leaders is None else leaders.unionByName(led)
         # Beyond the last depth all keys are the same: any division will do.
         salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / REGION))
         deeper = _prefix(DEPTHS[k + 1]) if depth < DEPTH else F.xxhash64("region", salt)
-        level = rest.withColumn("region", deeper).drop("n", "leader")
+        level = rest.withColumn("region", deeper).drop("n")
     return (level if done is None else done.unionByName(level)), leaders
 
 
@@ -200,6 +198,10 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, words: int, text: str,
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = clusters.join(sizes, "component")
     rows = docs.select(F.col(doc_id).cast("long").alias("node"), whole_text(text).cast("binary").alias("raw"))
+    # Most texts are in no cluster. A table of at most MARKS numbers, whatever the input, keeps those back from the shuffle.
+    mark = F.pmod(F.xxhash64("node"), F.lit(MARKS))
+    marked = clusters.select(mark.alias("mark")).distinct()
+    rows = rows.withColumn("mark", mark).join(F.broadcast(marked), "mark", "left_semi").drop("mark")
     rows = rows.join(members, "node").select("component", "blocks", "node", "raw")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
