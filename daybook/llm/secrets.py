@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from re import _constants as op
 from re import _parser as parser
 
@@ -158,23 +159,34 @@ def trigram_candidates(postings: DataFrame, queries: dict[str, list[frozenset[st
     return whole.groupBy("key").agg(F.collect_set(F.substring_index("clause", ":", 1)).alias("kinds"))
 
 
-def _matches(texts: DataFrame, rule: Rule) -> DataFrame:
-    """(key, kind, start, end) of a rule's matches in texts(key, whole): the text is cut at the matches,
-    and the lengths of gaps and matches are summed up. Offsets are code points, ends are exclusive."""
-    gaps = F.split("whole", rule.pattern, -1)
-    hits = F.regexp_extract_all("whole", F.lit(rule.pattern), F.lit(0))
-    values = F.regexp_extract_all("whole", F.lit(rule.pattern), F.lit(rule.group))
-    lengths = F.transform(
-        F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value")),
-        lambda x: F.struct(
-            F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["value"]).alias("value")
-        ),
+def _lengths(rule: Rule) -> Column:
+    """The text cut at a rule's matches: lengths of each gap, of the match after it and of the match's group."""
+    parts = F.arrays_zip(
+        F.split("whole", rule.pattern, -1).alias("gap"),
+        F.regexp_extract_all("whole", F.lit(rule.pattern), F.lit(0)).alias("hit"),
+        F.regexp_extract_all("whole", F.lit(rule.pattern), F.lit(rule.group)).alias("value"),
     )
-    parts = texts.select("key", F.posexplode(lengths).alias("place", "x")).select("key", "place", "x.*")
-    order = Window.partitionBy("key").orderBy("place")
+    return F.transform(parts, lambda x: F.struct(*(F.length(x[n]).alias(n) for n in ("gap", "hit", "value"))))
+
+
+def _matches(texts: DataFrame, rules: Sequence[tuple[int, Rule]], chosen: bool) -> DataFrame:
+    """(key, place, kind, start, end) of the rules' matches in texts(key, whole), a rule being looked for only where it is
+    among `kinds` if that column is there. Lengths of gaps and matches are summed up, so offsets are code points and ends
+    are exclusive."""
+    found = []
+    for place, rule in rules:
+        here = F.col("whole").rlike(rule.pattern)
+        here = F.array_contains("kinds", rule.kind) & here if chosen else here
+        own = F.struct(F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least"), _lengths(rule).alias("parts"))
+        found.append(F.when(here, own))
+    rows = texts.select("key", F.inline(F.array_compact(F.array(*found))))
+    rows = rows.select("key", "place", "kind", "least", F.posexplode("parts").alias("nth", "x")).select(
+        "key", "place", "kind", "least", "nth", "x.*"
+    )
+    order = Window.partitionBy("key", "place").orderBy("nth")
     end = F.sum(F.col("gap") + F.coalesce("hit", F.lit(0))).over(order)
-    parts = parts.withColumn("end", end).filter(F.col("value") >= rule.least)
-    return parts.select("key", F.lit(rule.kind).alias("kind"), (F.col("end") - F.col("hit")).alias("start"), "end")
+    rows = rows.withColumn("end", end).filter(F.col("value") >= F.col("least"))
+    return rows.select("key", "place", "kind", (F.col("end") - F.col("hit")).alias("start"), "end")
 
 
 def secret_spans(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -188,22 +200,18 @@ def secret_spans(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "te
     whole = whole_text(text)
     texts = docs.select(text_key(doc_id, whole).alias("key"), whole.alias("whole"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    found = None
+    numbered = list(enumerate(rules))
+    found = []
     if queries:
         trigrams = sorted({t for q in queries.values() for c in q for t in c})
         chosen = trigram_candidates(trigram_postings(texts, trigrams), queries)
         chosen = tables.write(texts.join(chosen, "key").dropDuplicates(["key"]), "candidates")
-    for rule in rules:
-        if rule.kind in queries:
-            part = chosen.filter(F.array_contains("kinds", rule.kind))
-        else:
-            part = texts
-        part = part.filter(F.col("whole").rlike(rule.pattern))
-        part = _matches(part if rule.kind in queries else part.dropDuplicates(["key"]), rule)
-        found = part if found is None else found.unionByName(part)
-    places = F.create_map(*(F.lit(x) for n, r in enumerate(rules) for x in (r.kind, n)))
-    span = F.struct("start", places[F.col("kind")].alias("place"), "kind", "end")
-    return found.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+        found.append(_matches(chosen, [(n, r) for n, r in numbered if r.kind in queries], True))
+    if whole_scans := [(n, r) for n, r in numbered if r.kind not in queries]:
+        somewhere = F.greatest(*(F.col("whole").rlike(r.pattern) for _, r in whole_scans), F.lit(False))
+        found.append(_matches(texts.filter(somewhere).dropDuplicates(["key"]), whole_scans, False))
+    span = F.struct("start", "place", "kind", "end")
+    return reduce(DataFrame.unionByName, found).groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def text_key(doc_id: str, whole: Column) -> Column:
