@@ -70,6 +70,12 @@ def stream_deltas(spark, sf):
     return tables.read_deltas(spark, target).select(*agents.SESSION, "byte_offset", "is_cumulative", *TOKENS)
 
 
+@query
+def stream_diagnostics(spark, sf):
+    target = _streamed(spark, S.diagnostics(spark, sf), "id", tables.stream_diagnostics)
+    return tables.read_diagnostics(spark, target).select("project", "id", "errors", "warnings")
+
+
 @query
 def append_log(spark, sf):
     """The signal log appended as JSON lines in two parts and read back."""

@@ -1075,6 +1075,7 @@ def _oracle() -> dict[str, str]:
     # ---- jobs in several passes ----
     for job, same in (
         ("stream_sessions", "sessionize_ticks"), ("stream_deltas", "cumulative_delta"), ("refreshed_cells", "daily_cells"),
+        ("stream_diagnostics", "diagnostics_changes"),
         ("migrate_twice", "migrate_history"),
     ):
         o(job, out[same])

@@ -1,4 +1,4 @@
-"""Streams of rows whose results depend on earlier rows: work sessions and usage from running totals.
+"""Streams of rows whose results depend on earlier rows: work sessions, usage from running totals, changes of diagnostics.
 
 A row that comes late changes what follows it, and a project may hold a third of all rows. So no state is kept per key in
 one task. Each micro-batch is stored, the batch operator runs again from the last place that the new rows cannot change,
@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from daybook.functions.tokens import TOKENS, zero_if_null
 from daybook.functions.when import epoch_ms
 from daybook.operators.activity import GRACE_MS, IDLE_MS, MIN_SESSION_MS, sessionize_ticks
-from daybook.operators.signals import aggregate_edits
+from daybook.operators.signals import DIAGNOSTICS_WINDOW, aggregate_edits, detect_changes, sample_diagnostics
 from daybook.operators.usage import to_deltas
 from daybook.session import names_in, staging
 
@@ -146,3 +146,27 @@ def stream_deltas(usage: DataFrame, target: str, checkpoint: str) -> StreamingQu
 def read_deltas(spark: SparkSession, target: str) -> DataFrame | None:
     results, since = _stored(spark, target, "results"), _stored(spark, target, "since")
     return None if results is None or since is None else _newest(results, since, _KEYS, ["byte_offset"])
+
+
+def stream_diagnostics(snapshots: DataFrame, target: str, checkpoint: str, width: str = DIAGNOSTICS_WINDOW) -> StreamingQuery:
+    """Changes of diagnostics from a stream of snapshots (project, ts, id, errors, warnings): the last one of each window, if
+    its numbers differ from the one before. A batch computes again from the window of its first row."""
+    rows = snapshots.select("project", "ts", "id", "errors", "warnings")
+    begin = F.unix_millis(F.window("ts", width)["start"])
+
+    def compute(every: DataFrame, new: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+        since = new.select("project", begin.alias("window_ms")).groupBy("project").agg(F.min("window_ms").alias("window_ms"))
+        first = since.withColumnRenamed("window_ms", "_first")
+        parts = every.drop("batch").dropDuplicates(["project", "ts", "id"]).withColumn("window_ms", begin).join(first, "project")
+        earlier = parts.where("window_ms < _first").groupBy("project").agg(F.max("window_ms").alias("_from"))
+        parts = parts.join(earlier, "project", "left").where(F.col("window_ms") >= F.coalesce("_from", "_first"))
+        changed = detect_changes(sample_diagnostics(parts.select("project", "ts", "id", "errors", "warnings"), width))
+        found = changed.withColumn("window_ms", begin).join(first, "project").where("window_ms >= _first")
+        return since, found.drop("_first")
+
+    return _fold(rows, target, checkpoint, compute)
+
+
+def read_diagnostics(spark: SparkSession, target: str) -> DataFrame | None:
+    results, since = _stored(spark, target, "results"), _stored(spark, target, "since")
+    return None if results is None or since is None else _newest(results, since, ["project"], ["window_ms"]).drop("window_ms")

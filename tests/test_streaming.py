@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions.tokens import TOKENS
 from daybook.operators.activity import DIMENSIONS, sessionize_ticks
-from daybook.operators.signals import aggregate_edits
+from daybook.operators.signals import aggregate_edits, detect_changes, sample_diagnostics
 from daybook.operators.usage import to_deltas
 from daybook.schema import as_log
 from daybook.session import names_in
@@ -154,6 +154,23 @@ def test_a_tick_between_two_earlier_ones(spark):
     assert found.duration_ms == 300_000 and not found.is_closed
 
 
+def test_late_snapshots_give_the_batch_changes(spark):
+    rng, t, data = random.Random(6), 1_711_000_000, []
+    for i in range(80):
+        t += rng.choice([5, 12, 40, 90])
+        data.append((f"site{i % 2}", t, i, rng.randint(0, 2), rng.randint(0, 1)))
+    whole = spark.createDataFrame(data, "project string, s long, id long, errors long, warnings long").withColumn("ts", F.timestamp_seconds("s"))
+    source, target, checkpoint = folder(), folder(), folder()
+
+    def start():
+        return tables.stream_diagnostics(spark.readStream.schema(whole.schema).parquet(source), target, checkpoint)
+
+    passes(whole, "id", 3, source, start)
+    columns = ["project", "id", "errors", "warnings"]
+    batch = detect_changes(sample_diagnostics(whole.select("project", "ts", "id", "errors", "warnings")))
+    assert rows(tables.read_diagnostics(spark, target), *columns) == rows(batch, *columns)
+
+
 def test_streamed_edit_windows_equal_the_batch_windows(spark):
     base = 1_711_000_000
     data = [("p", base + i * 35, i, f"m{i % 3}", "rust", i % 5, i % 2) for i in range(30)]
