@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -71,33 +72,42 @@ def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
         F.min(F.struct("parent", "score")).alias("m")
     ).select("id", "m.parent", F.coalesce("m.score", F.lit(0)).cast("double").alias("score"))
     known = nodes.select(F.col("id").alias("known"))
-    linked = nodes.join(known, F.col("parent") == F.col("known"), "left")
-    level = linked.select("id", F.col("known").alias("ancestor"), F.col("id").alias("top"), "score", F.lit(1).cast("long").alias("place"))
-    # A level knows of each message: its 2^k-th ancestor, and of the messages below that one, itself included, the
-    # highest, the sum of scores and the number.
-    levels = [tables.write(level, "level0")]
-    rounds = max(1, levels[0].count()).bit_length()
-    while len(levels) <= rounds and not levels[-1].filter("ancestor IS NOT NULL").isEmpty():
-        low, high = levels[-1], levels[-1].select(*(F.col(c).alias(f"_{c}") for c in level.columns))
-        joined = low.join(high, low["ancestor"] == high["_id"], "left")
-        far = F.col("ancestor").isNotNull()
-        level = joined.select(
+    # Rows without parent would all meet in one task of the join.
+    replies = nodes.filter("parent IS NOT NULL").join(known, F.col("parent") == F.col("known"), "left")
+    linked = replies.unionByName(nodes.filter("parent IS NULL").withColumn("known", F.col("parent")))
+    state = linked.select("id", F.col("known").alias("ancestor"), F.col("id").alias("top"), "score", F.lit(1).cast("long").alias("place"))
+    # What is known of a message: its 2^k-th ancestor, and of the messages below that one, itself included, the highest, the
+    # sum of scores and the number. Without such an ancestor the message is done. Only the others are joined again.
+    done, levels = [], []
+    state = tables.write(state, "0")
+    rounds = max(1, state.count()).bit_length()
+    while True:
+        done.append(state.filter("ancestor IS NULL"))
+        level = state.filter("ancestor IS NOT NULL")
+        if len(levels) > rounds or level.isEmpty():
+            break
+        levels.append(level)
+        known = reduce(DataFrame.unionByName, done, level)
+        high = known.select(*(F.col(c).alias(f"_{c}") for c in known.columns))
+        joined = level.join(high, level["ancestor"] == high["_id"])
+        state = joined.select(
             "id",
             F.col("_ancestor").alias("ancestor"),
-            F.when(far, F.col("_top")).otherwise(F.col("top")).alias("top"),
-            (F.col("score") + F.when(far, F.col("_score")).otherwise(0)).alias("score"),
-            (F.col("place") + F.when(far, F.col("_place")).otherwise(0)).alias("place"),
+            F.col("_top").alias("top"),
+            (F.col("score") + F.col("_score")).alias("score"),
+            (F.col("place") + F.col("_place")).alias("place"),
         )
-        levels.append(tables.write(level, f"level{len(levels)}"))
-    whole = levels[-1].filter("ancestor IS NULL")
-    inner = levels[0].filter("ancestor IS NOT NULL").select(F.col("ancestor").alias("id")).distinct()
+        state = tables.write(state, f"{len(levels)}")
+    whole = reduce(DataFrame.unionByName, done)
+    inner = linked.filter("known IS NOT NULL").select(F.col("known").alias("id")).distinct()
     leaves = whole.join(inner, "id", "left_anti")
     order = Window.partitionBy("top").orderBy(F.desc("score"), "id")
     leaves = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
     paths = leaves.select(F.col("id").alias("path"), F.col("top").alias("root"), "rank", "id")
     # Each distance from the leaf is one sum of powers of two, so every ancestor is reached once.
-    for k in range(len(levels) - 2, -1, -1):
-        up = levels[k].filter("ancestor IS NOT NULL").select("id", "ancestor")
+    for k in range(len(levels) - 1, -1, -1):
+        up = levels[k].select("id", "ancestor")
+        paths = tables.write(paths, f"paths{k}")
         paths = paths.unionByName(paths.join(up, "id").drop("id").withColumnRenamed("ancestor", "id"))
     return paths.join(whole.select("id", "place"), "id").select("path", "root", "rank", "place", "id")
 
