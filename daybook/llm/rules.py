@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.text import Tables, whole_text
+from daybook.session import small_side
 
 SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -24,7 +25,7 @@ LEAST_DOCUMENTS = 100
 # Measures are whole numbers: parts of 10,000, or hundredths of a character for the word length. A fence stands three
 # times the distance of the quartiles outside of them, and at least this far.
 _REACH = 3
-SLACK = {"symbols": 300, "upper": 1500, "dup_lines": 3000, "repeats": 2000, "word_length": 200}
+SLACK = {"symbols": 300, "upper": 1500, "dup_lines": 4000, "repeats": 4000, "word_length": 200}
 _BOTH_SIDES = ("word_length",)
 _SUBBUCKET_BITS = 7
 
@@ -168,9 +169,9 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     rows = rows.withColumn("base_failed", failed)
     measures = _measures()
     sketch = tables.write(sketches(rows.filter(~F.col("base_failed")), ["lang", "source"], measures), "sketch")
-    limits = thresholds(sketch).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = tables.write(thresholds(sketch), "fences").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    rows = rows.join(limits, same, "left")
+    rows = rows.join(small_side(limits), same, "left")
     inside = [m <= F.col(f"hi_{name}") for name, m in measures.items()]
     inside += [measures[name] >= F.col(f"lo_{name}") for name in _BOTH_SIDES]
     kept = ~F.col("base_failed") & F.coalesce(reduce(Column.__and__, inside), F.lit(False))
