@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from daybook.llm.links import components
 from daybook.llm.text import Memory, Tables, whole_text
+from daybook.session import small_side
 
 WORDS = 4
 SIMILARITY = 80  # per cent of the union
@@ -115,7 +116,7 @@ def _regions(forest: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame |
         large = tables.write(large.filter(F.col("n") > REGION), f"large{depth}")
         if large.isEmpty():
             break
-        joined = level.join(large, "region", "left")
+        joined = level.join(small_side(large), "region", "left")
         fits = joined.filter("n IS NULL").drop("n")
         done = fits if done is None else done.unionByName(fits)
         rest = tables.write(joined.filter("n IS NOT NULL"), f"rest{depth}")
@@ -241,7 +242,9 @@ def near_copies(docs: DataFrame, words: int = WORDS, text: str = "text", doc_id:
     real = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     of_class = tables.write(real.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     classes = real.join(of_class, "digest").filter("doc_id = node").dropDuplicates(["digest"]).select("node", "signature", "s1", "s2")
+    classes = tables.write(classes, "signed-classes")
     clusters = tables.write(components(loose_pairs(classes)), "clusters")
+    tables.drop(classes)
     links = tables.write(confirmed_links(docs, clusters, words, text, doc_id), "links")
     # Ids that stand on several texts join their classes.
     shared = real.select("doc_id", "digest").distinct().join(of_class, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
