@@ -299,7 +299,7 @@ def language_scores(
         ((F.crc32(F.expr("substring(word, -3)")) % endings).cast("int") + 1 + frequent).alias("ending"),
     )
     known = (F.col("n") >= LEAST_FREQUENT) | (F.col("word") == F.lit(END))
-    words = tables.write(words.withColumn("word", F.when(known, F.col("word"))), "words")
+    words = located = tables.write(words.withColumn("word", F.when(known, F.col("word"))), "words")
     candidates = words.filter(F.col("once") & F.col("word").isNotNull() & (F.col("word") != F.lit(END))).select("word", "n")
     top = _frequent(candidates, frequent)
     listed = docs.sparkSession.createDataFrame([(END, 0), *((w, k + 1) for k, w in enumerate(top))], "word binary, own int")
@@ -335,6 +335,7 @@ def language_scores(
     of_block = words.select("of", "number", "n", "class").groupBy("of")
     sequences = tables.write(texts.groupBy("block").cogroup(of_block).applyInArrow(number, schema), "sequences")
     tables.drop(blocks)
+    tables.drop(located)
 
     learnt = sequences.filter(~F.col("held_out"))
     model = _start(learnt, shares, states)

@@ -60,13 +60,13 @@ def _draw_round(rows: DataFrame, tables: Tables) -> DataFrame:
     drawn = rows.groupBy("name").agg(
         (F.first("want") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("open")
     )
-    rows = rows.join(small_side(tables.write(drawn, "open")), "name").withColumn("bin", F.shiftright("draw", _DRAW_BITS - _BIN_BITS))
+    rows = rows.join(small_side(tables.write(drawn, "open", few=True)), "name").withColumn("bin", F.shiftright("draw", _DRAW_BITS - _BIN_BITS))
     fits = ~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("open"))
     held = rows.filter(fits).groupBy("name", "bin").agg(F.sum("size").alias("held"), F.first("open").alias("room"))
     upto = F.sum("held").over(Window.partitionBy("name").orderBy("bin"))
     held = held.withColumn("upto", upto).filter("upto - held < room")
     held = held.select("name", "bin", "upto", (F.col("upto") - F.col("held")).alias("earlier"))
-    rows = rows.join(small_side(tables.write(held, "bins")), ["name", "bin"], "left").withColumn("fits", fits & F.col("upto").isNotNull())
+    rows = rows.join(small_side(tables.write(held, "bins", few=True)), ["name", "bin"], "left").withColumn("fits", fits & F.col("upto").isNotNull())
     in_last = F.col("fits") & (F.col("upto") > F.col("open"))
     order = Window.partitionBy("name", "bin").orderBy("draw", "doc_id", "size")
     last = rows.filter(in_last).withColumn("extra", F.col("earlier") + F.sum("size").over(order) <= F.col("open"))
@@ -111,7 +111,7 @@ def mix(
     want = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("want", want)
     # Rows stay where they are unless there are very many sources: a source may hold a third of them.
-    rows = sized.join(small_side(tables.write(targets, "sources")), "name").withColumn("extra", F.lit(False))
+    rows = sized.join(small_side(tables.write(targets, "sources", few=True)), "name").withColumn("extra", F.lit(False))
     for k in range(ROUNDS):
         drawn = tables.write(_draw_round(rows, tables), f"round{k}")
         tables.drop(rows if k else sized)

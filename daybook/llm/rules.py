@@ -168,8 +168,8 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     measures = _measures()
-    sketch = tables.write(sketches(rows.filter(~F.col("base_failed")), ["lang", "source"], measures), "sketch")
-    limits = tables.write(thresholds(sketch), "fences").withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    sketch = tables.write(sketches(rows.filter(~F.col("base_failed")), ["lang", "source"], measures), "sketch", few=True)
+    limits = tables.write(thresholds(sketch), "fences", few=True).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     rows = rows.join(small_side(limits), same, "left")
     inside = [m <= F.col(f"hi_{name}") for name, m in measures.items()]

@@ -11,6 +11,7 @@ from daybook.session import staging_path
 # bytes.split() separates at exactly these, and bytes.lower() changes A-Z only.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
+FEW_FILES = 4
 _BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
@@ -66,7 +67,9 @@ class Tables:
         self.spark = spark
         self.label = label
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
+        """With few, in at most FEW_FILES files, and made by as many tasks: for tables of a row per source or bin."""
+        df = df.coalesce(FEW_FILES) if few else df
         path = staging_path(self.spark, f"{self.label}-{name}")
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
