@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,31 +12,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.text import whole_text
+from daybook.llm.text import Memory, whole_text
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # A character that no piece spells costs this much more than the worst piece; its UTF-8 bytes take its place.
 _UNKNOWN = 10.0
-# Stands for a space mark of the text itself while it is encoded. No piece spells it, so it is written in bytes and
-# comes back as what it was.
-_LITERAL = "\ufdd0"
-# Segments whose ids a task remembers; the memory is emptied when it is full.
-_REMEMBERED = 400_000
+# Stands for a space mark of the text itself while it is encoded: a lone surrogate, which no text holds and no piece
+# spells, so it is written in bytes and comes back as what it was.
+_LITERAL = "\ud800"
 _STEP = 64
-_NO_END = (-1, 0.0)
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """pieces: text to (id, score), and to None where a text only ends some piece; spelt: id to bytes (control pieces
-    spell nothing); byte_ids: byte to id."""
+    """pieces: text to (id, score); spelt: id to bytes (control pieces spell nothing); byte_ids: byte to id; endings: the
+    pieces from their last character backwards, a dict from a character to [score of the piece that begins there or None,
+    dict of the characters before it or None]."""
 
-    pieces: dict[str, tuple[int, float] | None]
+    pieces: dict[str, tuple[int, float]]
     spelt: list[bytes]
     byte_ids: list[int]
     unknown: float
     longest: int
+    endings: dict[str, list]
     # Whether no piece goes on after a space mark or holds a line feed beside other characters.
     splits_at_spaces: bool
 
@@ -57,11 +57,58 @@ class Vocabulary:
                 spelt.append(piece.replace(SPACE, " ").encode())
         unknown = min(score for _, score in pieces.values()) - _UNKNOWN
         splits = not any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in pieces)
-        longest = max(map(len, pieces))
-        for piece in list(pieces):
-            for at in range(1, len(piece)):
-                pieces.setdefault(piece[at:], None)
-        return Vocabulary(pieces, spelt, byte_ids, unknown, longest, splits)
+        return Vocabulary(pieces, spelt, byte_ids, unknown, max(map(len, pieces)), _endings(pieces), splits)
+
+
+def _endings(pieces: dict[str, tuple[int, float]]) -> dict[str, list]:
+    endings: dict[str, list] = {}
+    for piece, (_, score) in pieces.items():
+        before, node = endings, [None, None]
+        for char in reversed(piece):
+            if before is None:
+                before = node[1] = {}
+            node = before.setdefault(char, [None, None])
+            before = node[1]
+        node[0] = score
+    return endings
+
+
+def _extend(words: Vocabulary, text: str, scores: list[float], back: list[int]) -> None:
+    """Scores of the boundaries of `text` that have none yet, and the start of the best last piece of each; of equal paths
+    the one whose last piece is longest wins."""
+    endings, unknown = words.endings, words.unknown
+    for end in range(len(scores), len(text) + 1):
+        at = start = end - 1
+        best = scores[at] + unknown
+        # Backwards, as long as what has been passed ends some piece.
+        before = endings
+        while before is not None and start >= 0:
+            node = before.get(text[start])
+            if node is None:
+                break
+            known, before = node
+            if known is not None:
+                score = scores[start] + known
+                if score >= best:
+                    best, at = score, start
+            start -= 1
+        scores.append(best)
+        back.append(at)
+
+
+def _ids(words: Vocabulary, text: str, back: list[int], upto: int) -> list[int]:
+    """Ids of the best path to a boundary."""
+    out: list[int] = []
+    while upto > 0:
+        start = back[upto]
+        known = words.pieces.get(text[start:upto])
+        if known is not None:
+            out.append(known[0])
+        else:
+            out += (words.byte_ids[b] for b in reversed(text[start:upto].replace(_LITERAL, SPACE).encode()))
+        upto = start
+    out.reverse()
+    return out
 
 
 class StreamingViterbi:
@@ -69,7 +116,7 @@ class StreamingViterbi:
 
     Scores are kept for the last `longest` boundaries only, since no piece reaches farther back. Ids are committed up to
     the boundary at which the paths of all these boundaries meet; scores restart from 0 there. The text marks spaces by
-    SPACE; of equal paths the one whose last piece is longest wins.
+    SPACE.
     """
 
     def __init__(self, words: Vocabulary) -> None:
@@ -80,25 +127,12 @@ class StreamingViterbi:
         self.checked = 0
 
     def feed(self, part: str) -> list[int]:
-        words, pieces, longest = self.words, self.words.pieces, self.words.longest
         out: list[int] = []
         # Parts are taken in steps, so that what is held does not grow with the part.
         for at in range(0, len(part), _STEP):
-            done = len(self.text)
-            self.text = text = self.text + part[at : at + _STEP]
-            scores, back = self.scores, self.back
-            for end in range(done + 1, len(text) + 1):
-                best, start_of = scores[end - 1] + words.unknown, end - 1
-                # Backwards, as long as what has been passed ends some piece.
-                for start in range(end - 1, -1, -1):
-                    known = pieces.get(text[start:end], _NO_END)
-                    if known is _NO_END:
-                        break
-                    if known is not None and scores[start] + known[1] >= best:
-                        best, start_of = scores[start] + known[1], start
-                scores.append(best)
-                back.append(start_of)
-            if len(text) > self.checked + longest:
+            self.text += part[at : at + _STEP]
+            _extend(self.words, self.text, self.scores, self.back)
+            if len(self.text) > self.checked + self.words.longest:
                 out += self._commit(self._meeting())
                 self.checked = len(self.text)
         return out
@@ -117,19 +151,7 @@ class StreamingViterbi:
         return live.pop()
 
     def _commit(self, upto: int) -> list[int]:
-        ends, at = [], upto
-        while at > 0:
-            ends.append(at)
-            at = self.back[at]
-        out, start = [], 0
-        for end in reversed(ends):
-            piece = self.text[start:end]
-            known = self.words.pieces.get(piece)
-            if known is not None:
-                out.append(known[0])
-            else:
-                out += (self.words.byte_ids[b] for b in piece.replace(_LITERAL, SPACE).encode())
-            start = end
+        out = _ids(self.words, self.text, self.back, upto)
         offset = self.scores[upto]
         self.text = self.text[upto:]
         self.scores = [s - offset for s in self.scores[upto:]]
@@ -139,30 +161,32 @@ class StreamingViterbi:
         return out
 
 
-# A space mark that stands in the text itself: no piece spells it, so it is written in bytes and comes back.
-_LITERAL = "▁"[0]
 _SEGMENT = re.compile(" *[^ \n]+| +|\n")
 
 
-class Encoder(dict):
+class Encoder(Memory):
     """Segments of text to ids (little-endian 32-bit numbers), computed when first asked for.
 
     Where no piece goes on after a space mark, all paths meet in front of each run of spaces and around line feeds. The
     text can then be cut there, and a segment met again has the ids it had."""
 
+    room = 200_000
+
     def __init__(self, words: Vocabulary) -> None:
         super().__init__()
         self.words = words
 
+    def compute(self, segment: str) -> bytes:
+        """Ids of a segment of one step, which the stream would commit as a whole."""
+        text, scores, back = _marked(segment), [0.0], [0]
+        _extend(self.words, text, scores, back)
+        return struct.pack(f"<{len(ids := _ids(self.words, text, back, len(text)))}i", *ids)
+
     def __missing__(self, segment: str) -> bytes:
+        if len(segment) <= _STEP:
+            return super().__missing__(segment)
         stream = StreamingViterbi(self.words)
-        ids = stream.feed(_marked(segment)) + stream.finish()
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        out = np.array(ids, "<i4").tobytes()
-        if len(segment) <= 64:
-            self[segment] = out
-        return out
+        return np.array(stream.feed(_marked(segment)) + stream.finish(), "<i4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, which a space is put in front of; an empty text has none."""

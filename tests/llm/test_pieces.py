@@ -26,7 +26,7 @@ def best_score(words, text):
 
 
 def score(words, ids):
-    by_id = {n: s for n, s in filter(None, words.pieces.values())}
+    by_id = dict(words.pieces.values())
     return sum(by_id[i] for i in ids)
 
 
@@ -94,6 +94,7 @@ def test_whole_texts(docs, texts, nothing):
 
 def test_other_vocabularies_are_not_cut_at_spaces(words):
     """With a piece that goes on after a space, the text goes through one search as a whole."""
-    wide = Vocabulary({**words.pieces, "n▁the": (5, 1e3)}, words.spelt, words.byte_ids, words.unknown, words.longest, False)
+    known = {**words.pieces, "n▁the": (5, 1e3)}
+    wide = Vocabulary(known, words.spelt, words.byte_ids, words.unknown, words.longest, pieces._endings(known), False)
     assert 5 in pieces.Encoder(wide).encode("in the end").tolist()
     assert np.array_equal(pieces.Encoder(words).encode("of the end"), pieces.Encoder(wide).encode("of the end"))
