@@ -94,10 +94,14 @@ def repeated_windows(docs: DataFrame, least: int = LEAST_WORDS, text: str = "tex
     marked = (text_stands + F.col("marked")).cast("decimal(38,0)")
     windows = windows.select("key", "first", "last", "mark", "sequence", stands.alias("stands"), marked.alias("marked"))
     windows = tables.write(windows, "windows")
+    # What is joined is staged first: adaptive execution can then split a line that very many texts share.
     marks = windows.groupBy("mark").agg(F.min("marked").alias("a"), F.max("marked").alias("b")).filter("a < b").select("mark")
+    marks = tables.write(marks, "marks")
     again = tables.write(windows.join(marks, "mark", "left_semi").select("key", "first", "last", "sequence", "stands"), "again")
     tables.drop(windows)
+    tables.drop(marks)
     origin = again.groupBy("sequence").agg(F.min("stands").alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    origin = tables.write(origin, "origins")
     return again.join(origin, "sequence").filter("stands > origin").select("key", "first", "last")
 
 
