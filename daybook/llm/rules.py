@@ -23,10 +23,17 @@ LEAST_WORDS = 50
 # A group with fewer sketched documents takes its language's sketch, then that of all documents.
 LEAST_DOCUMENTS = 100
 # Measures are whole numbers: parts of 10,000, or hundredths of a character for the word length. A fence stands three
-# times the distance of the quartiles outside of them, and at least this far.
+# times the distance of the quartiles outside of them.
 _REACH = 3
-SLACK = {"symbols": 300, "upper": 1500, "dup_lines": 4000, "repeats": 4000, "word_length": 200}
+MEASURES = ("symbols", "upper", "dup_lines", "repeats", "word_length")
 _BOTH_SIDES = ("word_length",)
+# Most documents repeat nothing, so that their quartiles are 0: these have the quartiles of the documents that do.
+_OF_NONZERO = ("dup_lines", "repeats")
+# A fence stands at least so far from its quartile, for groups whose quartiles are equal: what one occurrence does in the
+# shortest document judged, of 50 words of 5 characters. That is a symbol, a capital, or a word 10 characters longer.
+FLOOR = {"symbols": 40, "upper": 40, "dup_lines": 0, "repeats": 0, "word_length": 20}
+# Not used here: the SQL of this operator still states the former fences, which stood at least this far out.
+SLACK = {"symbols": 300, "upper": 1500, "dup_lines": 4000, "repeats": 4000, "word_length": 200}
 _SUBBUCKET_BITS = 7
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -120,38 +127,40 @@ def merged(sketch: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by..., documents and per measure the highest value allowed, hi_<measure>, for some the lowest, lo_<measure>."""
+    """by..., measure, documents, hi, lo: the highest and the lowest value allowed, from so many documents."""
+    rows = sketch.filter((F.col("bucket") > 0) | ~F.col("measure").isin(*_OF_NONZERO))
     group = Window.partitionBy(*by, "measure")
-    rows = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
+    rows = rows.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
     quartile = {k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket"))) for k in (1, 3)}
     rows = rows.groupBy(*by, "measure").agg(
         quartile[1].alias("q1"), quartile[3].alias("q3"), F.first("total").alias("documents")
     )
-    reach = F.greatest(_REACH * (F.col("q3") - F.col("q1")), F.create_map(*(F.lit(x) for p in SLACK.items() for x in p))[F.col("measure")])
-    rows = rows.select(*by, "measure", "documents", (F.col("q3") + reach).alias("hi"), (F.col("q1") - reach).alias("lo"))
-    one = lambda side, name: F.max(F.when(F.col("measure") == name, F.col(side))).alias(f"{side}_{name}")
-    return rows.groupBy(*by).agg(
-        F.max("documents").alias("documents"), *(one("hi", m) for m in SLACK), *(one("lo", m) for m in _BOTH_SIDES)
-    )
+    # A bucket is named by its least value; the quartile may be its greatest.
+    width = F.expr(f"shiftleft(1L, greatest(length(bin(q3)) - {_SUBBUCKET_BITS}, 0))")
+    floor = F.create_map(*(F.lit(x) for p in FLOOR.items() for x in p))[F.col("measure")]
+    reach = F.greatest(_REACH * (F.col("q3") - F.col("q1")), floor)
+    hi = F.col("q3") + width - 1 + reach
+    return rows.select(*by, "measure", "documents", hi.alias("hi"), (F.col("q1") - reach).alias("lo"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source and fences for each group of the sketch, from the smallest level with enough documents."""
-    limits = [f"hi_{m}" for m in SLACK] + [f"lo_{m}" for m in _BOTH_SIDES]
-    own = fences(sketch, ["lang", "source"])
-    for n, by in enumerate((["lang"], [])):
+    """lang, source, hi_<measure> and for some lo_<measure> for each group of the sketch: each from the smallest level
+    with enough documents. Without any document that repeats something, nothing may be repeated."""
+    groups = sketch.select("lang", "source", "measure").distinct()
+    for n, by in enumerate((["lang", "source"], ["lang"], [])):
         level = fences(merged(sketch, by), by)
-        level = level.select(*(F.col(b).alias(f"_{b}") for b in by), *(F.col(c).alias(f"_{n}{c}") for c in ["documents", *limits]))
-        same = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by), F.lit(True))
-        own = own.join(level, same, "left") if by else own.join(F.broadcast(level), how="left")
-    levels = [("documents", ""), ("_0documents", "_0")]
-    chosen = {}
-    for c in limits:
-        pick = F.col(f"_1{c}")
-        for documents, mark in reversed(levels):
-            pick = F.when(F.col(documents) >= LEAST_DOCUMENTS, F.col(f"{mark}{c}")).otherwise(pick)
-        chosen[c] = pick
-    return own.select("lang", "source", *(v.alias(k) for k, v in chosen.items()))
+        level = level.select(*(F.col(b).alias(f"_{b}") for b in [*by, "measure"]), *(F.col(c).alias(f"{c}{n}") for c in ("documents", "hi", "lo")))
+        same = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"_{b}")) for b in [*by, "measure"]))
+        groups = groups.join(level, same, "left").drop("_lang", "_source", "_measure")
+
+    def chosen(side: str) -> Column:
+        pick = F.col(f"{side}2")
+        for n in (1, 0):
+            pick = F.when(F.col(f"documents{n}") >= LEAST_DOCUMENTS, F.col(f"{side}{n}")).otherwise(pick)
+        return F.coalesce(pick, F.lit(0))
+
+    one = lambda side, name: F.max(F.when(F.col("measure") == name, chosen(side))).alias(f"{side}_{name}")
+    return groups.groupBy("lang", "source").agg(*(one("hi", m) for m in MEASURES), *(one("lo", m) for m in _BOTH_SIDES))
 
 
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -160,7 +169,8 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
     A document fails the base rules with fewer than 50 words or with more than half of its words in repeated windows of
     three. The others are sketched per language and source (null is a value of its own) and kept if each measure is
-    within its group's fences; small groups take the fences of their language, then of all. Null and empty texts have
+    within its group's fences; small groups take the fences of their language, then of all. The fences come from the
+    quartiles of the group: of all its documents, or for repeated lines and words of those that have any. Null and empty texts have
     no words and fail. Repeated rows count as often as they stand. An empty table gives no rows.
     """
     tables = Tables(docs.sparkSession, "rules")

@@ -65,6 +65,36 @@ def test_thresholds_follow_the_group(spark):
     assert not kept[1] and kept[2] and kept[700]
 
 
+def test_every_fence_follows_its_group(spark):
+    """The quartiles of a group set each fence: tight where its documents are alike, wide where they differ."""
+    rows = spark.range(400).selectExpr("if(id < 200, 'alike', 'mixed') AS source", "id % 200 AS k")
+    spread = F.when(F.col("source") == "alike", 1).otherwise(10)
+    values = {m: (F.lit(100) + spread * (F.col("k") % 20)).cast("long") for m in rules.MEASURES}
+    for name in rules._OF_NONZERO:
+        values[name] = F.when(F.col("k") < 100, 0).otherwise(values[name]).cast("long")
+    sketch = rules.sketches(rows.withColumn("lang", F.lit("en")), ["lang", "source"], values)
+    alike, mixed = sorted(rules.thresholds(sketch).collect(), key=lambda r: r.source)
+    for name in rules.MEASURES:
+        hi = alike[f"hi_{name}"], mixed[f"hi_{name}"]
+        # Quartiles 104 and 114, 140 and 240 (to the bucket); three times their distance is added.
+        assert 144 <= hi[0] <= 175 and 530 <= hi[1] <= 560
+
+
+def test_an_outlier_of_each_measure_is_rejected(spark):
+    text = "concat_ws(' ', transform(sequence(1, 100), i -> concat('w', lpad(id * 100 + i, 6, '0'), if(i <= 2 + id % 2, 'A', ''))))"
+    plain = spark.range(300).selectExpr("id AS doc_id", "'en' AS lang", "'a' AS source", f"{text} AS text")
+    # A tenth of the letters in upper case, a quarter of the words in repeated windows, and words a character longer.
+    shouted = plain.filter("doc_id = 0").selectExpr("1000L AS doc_id", "lang", "source", "regexp_replace(text, 'w', 'W') AS text")
+    repeated = plain.filter("doc_id = 0").selectExpr("1001L AS doc_id", "lang", "source", "concat(text, ' ', substring(text, 1, 160)) AS text")
+    longer = plain.filter("doc_id = 0").selectExpr("1002L AS doc_id", "lang", "source", "regexp_replace(text, 'w', 'wx') AS text")
+    # A window of three words that stands twice is usual here.
+    usual = plain.filter("doc_id < 120").selectExpr("doc_id + 2000 AS doc_id", "lang", "source", "concat(text, ' ', substring(text, 1, 26)) AS text")
+    rows = plain.unionByName(shouted).unionByName(repeated).unionByName(longer).unionByName(usual)
+    kept = {r.doc_id: r.kept for r in rules.judged(rows).collect()}
+    assert not (kept[1000] or kept[1001] or kept[1002])
+    assert all(kept[k] for k in [*range(300), *range(2000, 2120)])
+
+
 def test_empty_table(nothing):
     assert rules.judged(nothing).count() == 0
 
