@@ -25,7 +25,8 @@ from daybook.llm.text import Tables, training_part, whole_text
 STATES = 8
 FREQUENT = 3000
 ENDINGS = 1024
-PASSES = 3
+# Passes go on until one adds at most so much to the log10 probability of a token.
+TOLERANCE = 1e-3
 ADDED = 0.1
 SEED = 4
 # A block is closed when it has so many distinct words or tokens, so that it fits a task at any partition size.
@@ -33,11 +34,6 @@ BLOCK_WORDS = 600_000
 BLOCK_TOKENS = 6_000_000
 # A word of its own class stands at least so often in training texts.
 LEAST_FREQUENT = 50
-# The passes start from values learnt from a few whole training texts, chosen by hash: about so many at most, and with at
-# most so many tokens. Every pass that counts reads all training texts.
-START_TEXTS = 1_000
-START_TOKENS = 300_000
-START_PASSES = 12
 # Tokens whose forward and backward values are held at a time.
 HELD_TOKENS = 300_000
 # The end of a text; no word has a space.
@@ -132,9 +128,12 @@ class Model:
 
 @dataclass
 class Counts:
+    """Expected counts, and the log10 probability of what was counted."""
+
     first: np.ndarray
     after: np.ndarray
     classes: np.ndarray
+    logs: float = 0.0
 
     @staticmethod
     def none(states: int, classes: int) -> Counts:
@@ -194,6 +193,7 @@ class Lattice:
             beta = np.ones((self.active[t - 1], alpha.shape[1]))
             beta[:n] = ahead @ back
         alpha[: self.active[0]] *= beta
+        counts.logs += float(np.log10(scale).sum())
         counts.first += alpha[: self.active[0]].sum(0)
         counts.after += pairs * model.after
         for state, own in enumerate(counts.classes):
@@ -226,32 +226,27 @@ def expected_counts(sequences: DataFrame, model: Model) -> Counts:
         for batch in batches:
             for _, lattice in _lattices(batch):
                 lattice.count(model, counts)
-        values = np.concatenate([counts.first, counts.after.ravel(), counts.classes.ravel()])
+        values = np.concatenate([counts.first, counts.after.ravel(), counts.classes.ravel(), [counts.logs]])
         some = np.flatnonzero(values)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(values[some])], names=["entry", "value"])
 
     rows = sequences.select("sequence").mapInArrow(count, "entry long, value double")
     rows = rows.groupBy("entry").agg(F.sum("value").alias("value")).toPandas()
-    values = np.zeros(states + states * states + states * classes)
+    values = np.zeros(states + states * states + states * classes + 1)
     values[rows["entry"].to_numpy(np.int64)] = rows["value"].to_numpy(float)
-    first, after, own = np.split(values, [states, states + states * states])
-    return Counts(first, after.reshape(states, states), own.reshape(states, classes))
-
-
-def _start(sequences: DataFrame, shares: np.ndarray, states: int) -> Model:
-    some = sequences.filter(f"n_tokens <= {START_TOKENS // 10}")
-    size = 1 << 31
-    cut = size if (n := some.count()) <= START_TEXTS else size * START_TEXTS // n
-    drawn = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "sequence"), F.lit(size))
-    some = some.filter(drawn < cut).select("sequence").limit(2 * START_TEXTS).collect()
-    some = [np.frombuffer(s, "<u2") for s in sorted(bytes(r.sequence) for r in some)]
-    sizes = np.cumsum([len(s) for s in some])
-    some = some[: int(np.searchsorted(sizes, START_TOKENS, "right"))]
-    model = Model.start(shares, states, SEED)
-    for _ in range(START_PASSES if some else 0):
-        counts = Counts.none(*model.classes.shape)
-        Lattice(some).count(model, counts)
+    first, after, own, logs = np.split(values, np.cumsum([states, states * states, states * classes]))
+    return Counts(first, after.reshape(states, states), own.reshape(states, classes), float(logs[0]))
+
+
+def learnt_from(sequences: DataFrame, shares: np.ndarray, states: int, tolerance: float) -> Model:
+    """Baum-Welch from the seeded start. Every pass reads all rows; the last adds at most `tolerance` to the log10
+    probability of a token."""
+    model, last, gain = Model.start(shares, states, SEED), -np.inf, np.inf
+    while gain > tolerance:
+        counts = expected_counts(sequences, model)
         model = Model.of_counts(counts, shares)
+        now = counts.logs / max(counts.classes.sum(), 1.0)
+        last, gain = now, now - last
     return model
 
 
@@ -270,7 +265,7 @@ def _frequent(words: DataFrame, most: int) -> list[bytes]:
 
 
 def language_scores(
-    docs: DataFrame, states: int = STATES, frequent: int = FREQUENT, endings: int = ENDINGS, passes: int = PASSES,
+    docs: DataFrame, states: int = STATES, frequent: int = FREQUENT, endings: int = ENDINGS, tolerance: float = TOLERANCE,
     text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -337,10 +332,7 @@ def language_scores(
     tables.drop(blocks)
     tables.drop(located)
 
-    learnt = sequences.filter(~F.col("held_out"))
-    model = _start(learnt, shares, states)
-    for _ in range(passes):
-        model = Model.of_counts(expected_counts(learnt, model), shares)
+    model = learnt_from(sequences.filter(~F.col("held_out")), shares, states, tolerance)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

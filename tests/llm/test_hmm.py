@@ -71,6 +71,34 @@ def test_a_pass_never_loses_likelihood():
     assert last > len(sequences) * 31 * math.log10(1 / 13)
 
 
+def test_learns_from_all_texts_to_the_tolerance(spark, monkeypatch):
+    """Every pass reads every text: long ones, and more of them than any sample that the states could start from."""
+    random = np.random.default_rng(7)
+    drawn = [np.append(random.integers(0, 6, 20) + 6 * (k % 2), 18) for k in range(2_500)]
+    drawn += [np.append(np.tile([12, 13, 14, 15, 16, 17], 6_000), 18)]
+    rows = [(k, len(s), bytearray(s.astype("<u2").tobytes())) for k, s in enumerate(drawn)]
+    rows = spark.createDataFrame(rows, "doc_id long, n_tokens long, sequence binary").repartition(4)
+    shares, read, one_pass = np.full(19, 1 / 19), [], hmm.expected_counts
+
+    def counted(sequences, model):
+        counts = one_pass(sequences, model)
+        read.append((counts.first.sum(), counts.classes.sum(), counts.logs))
+        return counts
+
+    monkeypatch.setattr(hmm, "expected_counts", counted)
+    model = hmm.learnt_from(rows, shares, 3, 1e-3)
+    tokens = sum(map(len, drawn))
+    assert all(r[:2] == pytest.approx((len(drawn), tokens)) for r in read)
+    gains = np.diff([logs / tokens for *_, logs in read])
+    assert (gains[:-1] > 1e-3).all() and gains[-1] <= 1e-3
+    alone = hmm.Model.start(shares, 3, hmm.SEED)
+    for _ in read:
+        counts = hmm.Counts.none(3, 19)
+        hmm.Lattice(drawn).count(alone, counts)
+        alone = hmm.Model.of_counts(counts, shares)
+    assert model.classes == pytest.approx(alone.classes) and model.after == pytest.approx(alone.after)
+
+
 def base_scores(texts):
     counts, tokens = Counter(), lambda t: (t or "").encode().lower().split() + [b" "]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
