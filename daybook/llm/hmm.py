@@ -251,17 +251,8 @@ def learnt_from(sequences: DataFrame, shares: np.ndarray, states: int, tolerance
 
 
 def _frequent(words: DataFrame, most: int) -> list[bytes]:
-    """The `most` words (word, n) with greatest n, of equal ones the smallest. Counts by size first, so that little more
-    than these come to the driver."""
-    size = F.floor(F.log2("n") * 8)
-    by_size = words.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect()
-    least, total = 0, 0
-    for row in by_size:
-        least, total = row["size"], total + row["count"]
-        if total >= most:
-            break
-    top = words.filter(size >= least).collect()
-    return [bytes(r.word) for r in sorted(top, key=lambda r: (-r.n, bytes(r.word)))[:most]]
+    """The `most` words (word, n) with greatest n, of equal ones the smallest; no more come to the driver."""
+    return [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def language_scores(

@@ -99,6 +99,18 @@ def test_learns_from_all_texts_to_the_tolerance(spark, monkeypatch):
     assert model.classes == pytest.approx(alone.classes) and model.after == pytest.approx(alone.after)
 
 
+def test_no_more_words_than_asked_for_come_to_the_driver(spark, monkeypatch):
+    """Also where very many words have the same count."""
+    rows = [(bytearray(b"\xff"), 60), (bytearray(b"a"), 61)] + [(bytearray(f"w{k:04}".encode()), 60) for k in range(3_000)]
+    words, sizes = spark.createDataFrame(rows, "word binary, n long").repartition(4), []
+    kind = type(words)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: sizes.append(len(rows := collect(self))) or rows)
+    assert hmm._frequent(words, 5) == [b"a", b"w0000", b"w0001", b"w0002", b"w0003"]
+    assert hmm._frequent(words, 5_000)[-1] == b"\xff"
+    assert sizes == [5, 3_002]
+
+
 def base_scores(texts):
     counts, tokens = Counter(), lambda t: (t or "").encode().lower().split() + [b" "]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
