@@ -18,7 +18,7 @@ SEED = 20
 # only the bin in which the draw ends is ordered row by row.
 _DRAW_BITS = 60
 _BIN_BITS = 12
-# Each further round draws what the last left open from smaller documents.
+# Not used here: the SQL of this operator still stops after so many rounds.
 ROUNDS = 4
 
 
@@ -74,6 +74,14 @@ def _draw_round(rows: DataFrame, tables: Tables) -> DataFrame:
     return rest.unionByName(last).drop("bin", "open", "upto", "earlier", "fits")
 
 
+def _some_fit(rows: DataFrame) -> bool:
+    """Whether a source still has a document that is not drawn and no larger than what the source still wants."""
+    taken = F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))
+    least = F.min(F.when(~F.col("extra") & (F.col("size") > 0), F.col("size")))
+    by_source = rows.groupBy("name").agg((F.first("want") - taken).alias("open"), least.alias("least"))
+    return not by_source.filter("least <= open").isEmpty()
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -89,7 +97,7 @@ def mix(
 
     A document's size is its number of words; null texts have none and are taken 0 times. Each source repeats all
     documents floor(target / source_size) times; the rest of its target is drawn without replacement, in the order of
-    a seeded hash of the id, as long as the sizes fit; further rounds fill what is left with documents that still fit.
+    a seeded hash of the id, as long as the sizes fit; further rounds fill what is left until no document fits.
     Documents are taken whole. Null sources are a source of their own. Repeated rows are documents of their own. An
     empty table gives no rows; other columns are not read.
     """
@@ -112,10 +120,12 @@ def mix(
     targets = targets.withColumn("whole", whole).withColumn("want", want)
     # Rows stay where they are unless there are very many sources: a source may hold a third of them.
     rows = sized.join(small_side(tables.write(targets, "sources", few=True)), "name").withColumn("extra", F.lit(False))
-    for k in range(ROUNDS):
+    # Each round draws what the last left open from smaller documents: of those that fit, the first always does.
+    k = 0
+    while k == 0 or _some_fit(rows):
         drawn = tables.write(_draw_round(rows, tables), f"round{k}")
         tables.drop(rows if k else sized)
-        rows = drawn
+        rows, k = drawn, k + 1
     copies = F.col("whole") + F.col("extra").cast("int")
     return rows.select(
         "doc_id", "source", "key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")

@@ -73,3 +73,14 @@ def test_mixture_repeats_whole_rows(docs):
     found = {(r.doc_id, r.text): r["count"] for r in mixed.groupBy("doc_id", "text").count().collect()}
     wanted = mixing.mix(docs).filter("copies > 0").groupBy("doc_id", "key").agg(F.sum("copies").alias("n"))
     assert sorted(found.values()) == sorted(r.n for r in wanted.filter("n > 0").collect())
+
+
+def test_rounds_go_on_until_no_document_fits(spark):
+    """Documents of falling size block one round each."""
+    order = [r.i for r in spark.range(1_000).select(F.col("id").alias("i"), mixing._draw(mixing.SEED, F.col("id")).alias("d")).orderBy("d").collect()]
+    # 1,500 words are wanted, so 500 are drawn: 260 leave 240, then each is larger than half of what is still open.
+    sizes = [260, 250, 130, 120, 66, 60, 33, 30, 17, 15, 9, 8, 2]
+    rows = [(i, " ".join(["w"] * n), "a") for i, n in zip(order, sizes, strict=False)]
+    rows = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    open_ = rows[0].target - sum(r.taken for r in rows)
+    assert open_ >= 0 and not any(r.copies == 1 and r.size <= open_ for r in rows)
