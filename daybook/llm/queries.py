@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import chat, exact, hmm, lines, mixing, neardup, pieces, quality, rules, secrets
+from daybook.llm import chat, exact, hardneg, hmm, jaccard, lines, merkle, mixing, neardup, pieces, quality, rules, secrets
 from daybook.llm.text import small_batches, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,27 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    # A copy of the table in which some texts were tampered with.
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = [F.translate(f, upper, upper.lower()) if f == "text" else F.col(f) for f in merkle.FIELDS]
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rows = merkle.manifest(docs, F.when(touched, merkle.leaf_digest(*changed)), proofs=False)
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "place", "n_siblings")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_chat_formatting": op2_chat_formatting,
@@ -97,4 +118,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing_sources": op10_mixing_sources,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }

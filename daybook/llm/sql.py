@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
+from daybook.llm import jaccard
+from daybook.llm.hardneg import HIGH, LOW, NEGATIVES, POSITIVES, SCALE
 from daybook.llm.lines import LEAST_WORDS
+from daybook.llm.merkle import FAN, FIELDS
 from daybook.llm.mixing import ROUNDS, SEED
 from daybook.llm.neardup import SIMILARITY, WORDS
 from daybook.llm.rules import LEAST_DOCUMENTS, SLACK
@@ -191,6 +194,77 @@ FROM reach r LEFT JOIN sizes z ON z.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
 
+# crc32 of an ASCII text: a table made by the reflected polynomial, then one step per character.
+_CRC_TABLE = """crc AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS of
+  FROM range(256) t(i))"""
+
+
+def _crc(text: str) -> str:
+    step = "xor(c // 256, crc.of[1 + xor(c % 256, k)])"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, k: {step}), 4294967295)"
+
+
+def _manifest() -> str:
+    def part(v: str) -> str:
+        return f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(part(text if f == 'text' else f) for f in FIELDS)})"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def tree(name: str, first: str) -> str:
+        return f"""{name} AS ({first} UNION ALL
+  SELECT tree, level + 1, place // {FAN}, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + {FAN - 1}) // {FAN}
+  FROM {name} WHERE n > 1 GROUP BY tree, level, place // {FAN})"""
+
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+l AS (SELECT row_number() OVER () AS r, doc_id, source, {leaf("text")} AS leaf,
+  CASE WHEN {_crc("doc_id::VARCHAR")} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS claim FROM documents, crc),
+s AS (SELECT *, dense_rank() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS tree,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, claim) - 1 AS place FROM l),
+{tree("low", "SELECT tree, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM s")},
+{tree("top", "SELECT -1 AS tree, 0 AS level, tree AS place, digest, count(*) OVER () AS n FROM low WHERE n = 1")},
+nodes AS (SELECT * FROM low UNION ALL SELECT * FROM top),
+sides AS (SELECT a.tree, a.level, a.place, any_value(a.n) AS n,
+    coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS lefts,
+    coalesce(string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS rights
+  FROM nodes a JOIN nodes b ON b.tree = a.tree AND b.level = a.level AND b.place // {FAN} = a.place // {FAN} GROUP BY ALL),
+walk AS (SELECT r, tree, 0 AS level, place, claim AS digest, '' AS proof, false AS done FROM s UNION ALL
+  SELECT r, CASE WHEN n > 1 THEN w.tree ELSE -1 END, CASE WHEN n > 1 THEN w.level + 1 ELSE 0 END, CASE WHEN n > 1 THEN w.place // {FAN} ELSE w.tree END,
+    CASE WHEN n > 1 THEN sha256(lefts || digest || rights) ELSE digest END, CASE WHEN n > 1 THEN proof || lefts || rights ELSE proof END, n = 1 AND w.tree = -1
+  FROM walk w JOIN sides x ON x.tree = w.tree AND x.level = w.level AND x.place = w.place WHERE NOT done)
+SELECT doc_id, leaf, d.digest AS subroot, t.digest AS root, sha256(w.proof) AS proof_sha256, w.digest AS folded_root, w.digest = t.digest AS verified,
+  s.place::BIGINT AS place, (length(w.proof) // 64)::INTEGER AS n_siblings
+FROM s JOIN walk w ON w.r = s.r AND w.done JOIN low d ON d.tree = s.tree AND d.n = 1 JOIN top t ON t.n = 1
+"""
+
+
+_HARD = f"""
+WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+    list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {POSITIVES}),
+n AS (SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)::INTEGER AS rank,
+    n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND {LOW} * p.score <= 100 * n.score AND 100 * n.score <= {HIGH} * p.score)
+SELECT * FROM n WHERE rank <= {NEGATIVES}
+"""
+
+_JACCARD = _NEAR.partition("reach AS")[0].replace(f"< {WORDS}", f"< {jaccard.WORDS}").replace(f"- {WORDS} + 2", f"- {jaccard.WORDS} + 2").replace(
+    f"i + {WORDS} - 1", f"i + {jaccard.WORDS} - 1").replace(f">= {SIMILARITY} *", f">= {jaccard.SIMILARITY} *") + """
+same AS (SELECT a, min(b) AS least FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE c.n = x.n AND c.n = y.n GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT doc_id, doc_id AS to_id FROM w UNION SELECT r.doc_id, b FROM reach r JOIN links ON a = to_id)
+SELECT r.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(to_id) AS component_id,
+  least(r.doc_id, coalesce(any_value(same.least), r.doc_id)) AS class_id, coalesce(any_value(counted.n), 0)::BIGINT AS n_links
+FROM reach r LEFT JOIN sizes z ON z.doc_id = r.doc_id LEFT JOIN same ON same.a = r.doc_id LEFT JOIN counted ON counted.a = r.doc_id GROUP BY r.doc_id
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_secret_scans": _secrets(),
     "op2_chat_formatting": _CHAT,
@@ -199,4 +273,7 @@ ORACLE: dict[str, str] = {
     "op8_exact_dedup": _EXACT,
     "op9_quality_rules": _rules(),
     "op10_mixing_sources": _mix(),
+    "op11_merkle_manifest": _manifest(),
+    "op12_hard_negatives": _HARD,
+    "op13_ngram_jaccard": _JACCARD,
 }
