@@ -126,7 +126,9 @@ def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """messages(tree, id, parent, score, role, text) -> one row per chosen path: path, tree, formatted, loss_starts,
-    loss_ends. See `reply_paths` and `format_turns`. A conversation is one value, so its turns meet in one row."""
+    loss_ends. See `reply_paths` and `format_turns`. A conversation is one value, so its turns meet in one row. Null roles and
+    texts are empty, texts are whole whatever their length; of rows with one id one counts; an empty table gives no rows; other
+    columns are not read."""
     paths = reply_paths(messages.select("id", "parent", "score"), best)
     turns = messages.select("id", "tree", "role", "text").dropDuplicates(["id"])
     rows = paths.join(turns, "id")
@@ -173,7 +175,8 @@ DIGESTS = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_ch
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from formatted conversations: conv_id and the columns of DIGESTS."""
+    """What can be read back from formatted conversations, one row per row: conv_id (the tree, null included) and the columns of
+    DIGESTS. A conversation without turns has counts of 0; an empty table gives no rows."""
     kind = dict(formatted.dtypes)["tree"]
     return formatted.mapInArrow(
         _digest, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"

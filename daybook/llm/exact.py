@@ -58,7 +58,8 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sa
         F.max("best").alias("best"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("contents")
     )
     by_digest = tables.write(by_digest, "digests")
-    narrow = rows.select("doc_id", "chars", "text_sha256")
+    # Read several times below: white space is deleted and digests are made once more, not each time.
+    narrow = tables.write(rows.select("doc_id", "chars", "text_sha256"), "narrow")
     found = narrow.join(by_digest.filter("contents = 1").drop("contents"), "text_sha256")
     shared = by_digest.filter("contents > 1").select("text_sha256")
     if not shared.isEmpty():

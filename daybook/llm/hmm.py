@@ -29,13 +29,17 @@ ENDINGS = 1024
 TOLERANCE = 1e-3
 ADDED = 0.1
 SEED = 4
-# A block is closed when it has so many distinct words or tokens, so that it fits a task at any partition size.
+# A block is closed when it has so many distinct words, bytes of them, or tokens, so that it fits a task at any partition size.
 BLOCK_WORDS = 600_000
+BLOCK_BYTES = 64 << 20
 BLOCK_TOKENS = 6_000_000
 # A word of its own class stands at least so often in training texts.
 LEAST_FREQUENT = 50
-# Tokens whose forward and backward values are held at a time.
+# Tokens whose forward and backward values are held at a time, and tokens whose texts are sorted by length together.
 HELD_TOKENS = 300_000
+GATHERED_TOKENS = 2_000_000
+# Backward values are scaled anew every so many steps.
+RESCALED = 64
 # The end of a text; no word has a space.
 END = b" "
 _CODEC = "zstd"
@@ -55,7 +59,7 @@ class Block:
         self.name = name
         self.numbers: dict[bytes, int] = {}
         self.learnt: list[np.ndarray] = []
-        self.tokens = 0
+        self.tokens = self.bytes = 0
 
     def add(self, raw: bytes, held_out: bool) -> tuple[int, bytes]:
         """The number of tokens, and their numbers."""
@@ -63,6 +67,7 @@ class Block:
         for word in words:
             if word not in numbers:
                 numbers[word] = len(numbers)
+                self.bytes += len(word)
         ids = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
         self.tokens += len(ids)
         if not held_out:
@@ -70,7 +75,7 @@ class Block:
         return len(ids), pa.compress(ids.tobytes(), _CODEC, asbytes=True)
 
     def full(self) -> bool:
-        return len(self.numbers) >= BLOCK_WORDS or self.tokens >= BLOCK_TOKENS
+        return len(self.numbers) >= BLOCK_WORDS or self.bytes >= BLOCK_BYTES or self.tokens >= BLOCK_TOKENS
 
     def words(self) -> pa.RecordBatch:
         n = len(self.numbers)
@@ -111,6 +116,9 @@ class Model:
     after: np.ndarray
     classes: np.ndarray
 
+    def single(self) -> Model:
+        return Model(*(np.ascontiguousarray(x, np.float32) for x in (self.first, self.after, self.classes)))
+
     @staticmethod
     def start(shares: np.ndarray, states: int, seed: int) -> Model:
         random = np.random.default_rng(seed)
@@ -141,96 +149,164 @@ class Counts:
 
 
 class Lattice:
-    """Some sequences side by side: all first tokens, then all second tokens, and so on, the longest in front."""
+    """Some sequences side by side: all first tokens, then all second tokens, and so on, the longest in front. Of `seen`, step t
+    has active[t] tokens. Values are held for HELD_TOKENS tokens at a time, however long the sequences are."""
+
+    def __init__(self, seen: np.ndarray, active: np.ndarray) -> None:
+        self.seen, self.active = seen, active
+        self.begin = np.concatenate([[0], np.cumsum(active)])
 
-    def __init__(self, sequences: list[np.ndarray]) -> None:
+    @staticmethod
+    def of(sequences: list[np.ndarray]) -> tuple[Lattice, np.ndarray]:
+        """The lattice, and for each of its columns which sequence it is."""
         sizes = np.array([len(s) for s in sequences])
-        self.order = np.argsort(-sizes, kind="stable")
-        sizes = sizes[self.order]
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
         place = np.concatenate([np.arange(n) for n in sizes])
-        ranks = np.repeat(np.arange(len(sizes)), sizes)
-        self.active = np.bincount(place)
-        self.begin = np.concatenate([[0], np.cumsum(self.active)])
-        spot = self.begin[place] + ranks
-        self.seen = np.empty(len(place), np.int64)
-        self.seen[spot] = np.concatenate([sequences[k] for k in self.order])
-        self.owner_of = np.empty(len(place), np.int64)
-        self.owner_of[spot] = ranks
-
-    def forward(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: the scaled forward values, their scales, and the token's probability in each state."""
-        given = np.ascontiguousarray(model.classes.T)[self.seen]
-        alpha, scale = np.empty_like(given), np.empty(len(given))
-        now = model.first * given[: self.active[0]]
-        for t, n in enumerate(self.active):
-            a, b = self.begin[t], self.begin[t] + n
-            if t:
-                now = (now[:n] @ model.after) * given[a:b]
-            sums = now.sum(1)
-            now /= sums[:, None]
-            alpha[a:b] = now
-            scale[a:b] = sums
-        return alpha, scale, given
+        active = np.bincount(place)
+        begin = np.concatenate([[0], np.cumsum(active)])
+        seen = np.empty(len(place), np.uint16)
+        seen[begin[place] + np.repeat(np.arange(len(sizes)), sizes)] = np.concatenate([sequences[k] for k in order])
+        return Lattice(seen, active), order
+
+    def parts(self) -> list[tuple[int, int]]:
+        """Runs of steps with HELD_TOKENS tokens at most, or of one step."""
+        cuts = [0]
+        while cuts[-1] < len(self.active):
+            fits = int(np.searchsorted(self.begin, self.begin[cuts[-1]] + HELD_TOKENS, "right")) - 1
+            cuts.append(max(cuts[-1] + 1, min(fits, len(self.active))))
+        return list(zip(cuts, cuts[1:], strict=False))
+
+    def steps(self, model: Model, part: tuple[int, int], now: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per step of a part: scaled forward values (states x active) and their scales; `now` are those of the step before."""
+        low = self.begin[part[0]]
+        given = model.classes[:, self.seen[low : self.begin[part[1]]]]
+        after = np.ascontiguousarray(model.after.T)
+        for t in range(*part):
+            n, a = self.active[t], self.begin[t] - low
+            now = (model.first[:, None] if now is None else after @ now[:, :n]) * given[:, a : a + n]
+            sums = np.add.reduce(now, 0)
+            now /= sums
+            yield now, sums
 
     def scores(self, model: Model) -> np.ndarray:
-        """log10 of each sequence's probability, in the order given."""
-        logs = np.bincount(self.owner_of, np.log10(self.forward(model)[1]))
-        out = np.empty(len(logs))
-        out[self.order] = logs
-        return out
+        """log10 of each column's probability."""
+        logs, now = np.zeros(self.active[0]), None
+        for part in self.parts():
+            for now, sums in self.steps(model, part, now):
+                logs[: len(sums)] += np.log10(sums)
+        return logs
 
     def count(self, model: Model, counts: Counts) -> None:
-        """Add the expected counts of the sequences."""
-        alpha, scale, given = self.forward(model)
-        beta = np.ones((self.active[-1], alpha.shape[1]))
-        back, pairs = np.ascontiguousarray(model.after.T), np.zeros_like(model.after)
-        for t in range(len(self.active) - 1, 0, -1):
-            n, a, before = self.active[t], self.begin[t], self.begin[t - 1]
-            ahead = given[a : a + n] * beta
-            ahead /= scale[a : a + n, None]
-            pairs += alpha[before : before + n].T @ ahead
-            alpha[a : a + n] *= beta
-            beta = np.ones((self.active[t - 1], alpha.shape[1]))
-            beta[:n] = ahead @ back
-        alpha[: self.active[0]] *= beta
-        counts.logs += float(np.log10(scale).sum())
-        counts.first += alpha[: self.active[0]].sum(0)
+        """Add the expected counts of the sequences. Of all parts but the one at hand only the first step's predecessor is
+        kept; its forward values are computed again."""
+        parts, entering, now = self.parts(), [], None
+        for part in parts:
+            entering.append(now)
+            if part is not parts[-1]:
+                for now, _ in self.steps(model, part, now):
+                    pass
+        pairs, beta = np.zeros(model.after.shape), None
+        for part, before in zip(reversed(parts), reversed(entering), strict=True):
+            beta = self._count_part(model, counts, part, before, beta, pairs)
         counts.after += pairs * model.after
+
+    def _count_part(self, model: Model, counts: Counts, part: tuple[int, int], before, beta, pairs: np.ndarray) -> np.ndarray:
+        low, high = self.begin[part[0]], self.begin[part[1]]
+        given = model.classes[:, self.seen[low:high]]
+        alpha, scale = np.empty_like(given), np.empty(high - low, given.dtype)
+        for t, (now, sums) in zip(range(*part), self.steps(model, part, before), strict=True):
+            a = self.begin[t] - low
+            alpha[:, a : a + len(sums)] = now
+            scale[a : a + len(sums)] = sums
+        # What a token and all after it add, seen from each state before it.
+        given /= scale
+        for t in range(part[1] - 1, part[0] - 1, -1):
+            n, a = self.active[t], self.begin[t] - low
+            own = alpha[:, a : a + n]
+            ahead = given[:, a : a + n]
+            if beta is not None:
+                wide = beta.shape[1]
+                own[:, :wide] *= beta
+                ahead[:, :wide] *= beta
+            if t:
+                earlier = before if t == part[0] else alpha[:, self.begin[t - 1] - low : a]
+                pairs += earlier[:, :n] @ ahead.T
+                beta = model.after @ ahead
+                if t % RESCALED == 0:
+                    # What single precision loses does not add up over a long text.
+                    beta /= np.add.reduce(earlier[:, :n] * beta, 0)
+        if part[0] == 0:
+            counts.first += alpha[:, : self.active[0]].sum(1)
+        counts.logs += float(np.log10(scale, dtype=np.float64).sum())
+        seen = self.seen[low:high].astype(np.int64)
         for state, own in enumerate(counts.classes):
-            own += np.bincount(self.seen, alpha[:, state], len(own))
+            own += np.bincount(seen, alpha[state], len(own))
+        return beta
 
 
-def _lattices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Lattice]]:
-    """Lattices of bounded size over the rows of a batch with a column `sequence`, and the rows of each."""
-    sequences = [np.frombuffer(s, "<u2") for s in batch.column("sequence").to_pylist()]
+def _lattices(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """Lattices over sequences of about the same length, of HELD_TOKENS tokens if several, and the sequence in each column."""
     order = np.argsort([-len(s) for s in sequences], kind="stable")
     held: list[int] = []
     tokens = 0
     for k in order:
         if held and tokens + len(sequences[k]) > HELD_TOKENS:
-            yield np.array(held), Lattice([sequences[j] for j in held])
+            lattice, columns = Lattice.of([sequences[j] for j in held])
+            yield np.array(held)[columns], lattice
             held, tokens = [], 0
         held.append(int(k))
         tokens += len(sequences[k])
     if held:
-        yield np.array(held), Lattice([sequences[j] for j in held])
+        lattice, columns = Lattice.of([sequences[j] for j in held])
+        yield np.array(held)[columns], lattice
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows with a column `sequence`, several batches at a time until they have GATHERED_TOKENS tokens."""
+    held, tokens = [], 0
+    for batch in batches:
+        held.append(batch)
+        tokens += batch.column("sequence").nbytes // 2
+        if tokens >= GATHERED_TOKENS:
+            yield pa.Table.from_batches(held)
+            held, tokens = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(s, "<u2") for s in column.to_pylist()]
+
 
+def laid_out(sequences: DataFrame) -> DataFrame:
+    """One row per lattice over the rows' sequences: seen and active. What every pass reads."""
 
-def expected_counts(sequences: DataFrame, model: Model) -> Counts:
-    """One pass of Baum-Welch over all rows with a column `sequence`: the counts of all partitions, added up. What comes
-    to the driver has the size of the model."""
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches):
+            for _, lattice in _lattices(_numbers(table.column("sequence"))):
+                columns = [pa.array([x.tobytes()], pa.binary()) for x in (lattice.seen, lattice.active.astype("<i4"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["seen", "active"])
+
+    return sequences.select("sequence").mapInArrow(lay, "seen binary, active binary")
+
+
+def expected_counts(lattices: DataFrame, model: Model) -> Counts:
+    """One pass of Baum-Welch over all rows of `laid_out`: the counts of all partitions, added up. Values of tokens are single,
+    sums are double. What comes to the driver has the size of the model."""
     states, classes = model.classes.shape
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts.none(states, classes)
+        counts, single = Counts.none(states, classes), model.single()
         for batch in batches:
-            for _, lattice in _lattices(batch):
-                lattice.count(model, counts)
+            for seen, active in zip(batch.column("seen"), batch.column("active"), strict=True):
+                lattice = Lattice(np.frombuffer(seen.as_buffer(), np.uint16), np.frombuffer(active.as_buffer(), "<i4"))
+                lattice.count(single, counts)
         values = np.concatenate([counts.first, counts.after.ravel(), counts.classes.ravel(), [counts.logs]])
         some = np.flatnonzero(values)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(values[some])], names=["entry", "value"])
 
-    rows = sequences.select("sequence").mapInArrow(count, "entry long, value double")
+    rows = lattices.mapInArrow(count, "entry long, value double")
     rows = rows.groupBy("entry").agg(F.sum("value").alias("value")).toPandas()
     values = np.zeros(states + states * states + states * classes + 1)
     values[rows["entry"].to_numpy(np.int64)] = rows["value"].to_numpy(float)
@@ -238,12 +314,12 @@ def expected_counts(sequences: DataFrame, model: Model) -> Counts:
     return Counts(first, after.reshape(states, states), own.reshape(states, classes), float(logs[0]))
 
 
-def learnt_from(sequences: DataFrame, shares: np.ndarray, states: int, tolerance: float) -> Model:
-    """Baum-Welch from the seeded start. Every pass reads all rows; the last adds at most `tolerance` to the log10
+def learnt_from(lattices: DataFrame, shares: np.ndarray, states: int, tolerance: float) -> Model:
+    """Baum-Welch from the seeded start. Every pass reads all rows of `laid_out`; the last adds at most `tolerance` to the log10
     probability of a token."""
     model, last, gain = Model.start(shares, states, SEED), -np.inf, np.inf
     while gain > tolerance:
-        counts = expected_counts(sequences, model)
+        counts = expected_counts(lattices, model)
         model = Model.of_counts(counts, shares)
         now = counts.logs / max(counts.classes.sum(), 1.0)
         last, gain = now, now - last
@@ -323,16 +399,18 @@ def language_scores(
     tables.drop(blocks)
     tables.drop(located)
 
-    model = learnt_from(sequences.filter(~F.col("held_out")), shares, states, tolerance)
+    lattices = tables.write(laid_out(sequences.filter(~F.col("held_out"))), "lattices")
+    model = learnt_from(lattices, shares, states, tolerance)
+    tables.drop(lattices)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.zeros(batch.num_rows)
-            for rows, lattice in _lattices(batch):
+        for table in _gathered(batches):
+            values = np.zeros(table.num_rows)
+            for rows, lattice in _lattices(_numbers(table.column("sequence"))):
                 values[rows] = lattice.scores(model)
-            values += batch.column("inside").to_numpy()
-            kept = batch.select(["doc_id", "held_out", "n_tokens", "n_known", "base_score"])
-            yield kept.append_column("score", pa.array(values))
+            values += table.column("inside").to_numpy()
+            kept = table.select(["doc_id", "held_out", "n_tokens", "n_known", "base_score"])
+            yield from kept.append_column("score", pa.array(values)).to_batches()
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     rows = sequences.mapInArrow(score, schema).withColumn("train_tokens", F.lit(int(total)).cast("long"))

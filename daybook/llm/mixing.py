@@ -18,8 +18,6 @@ SEED = 20
 # only the bin in which the draw ends is ordered row by row.
 _DRAW_BITS = 60
 _BIN_BITS = 12
-# Not used here: the SQL of this operator still stops after so many rounds.
-ROUNDS = 4
 
 
 def water_fill(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -74,12 +72,12 @@ def _draw_round(rows: DataFrame, tables: Tables) -> DataFrame:
     return rest.unionByName(last).drop("bin", "open", "upto", "earlier", "fits")
 
 
-def _some_fit(rows: DataFrame) -> bool:
-    """Whether a source still has a document that is not drawn and no larger than what the source still wants."""
+def _fitting(rows: DataFrame) -> DataFrame:
+    """The rows that are not drawn and no larger than what their source still wants, which becomes their `want`."""
     taken = F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))
-    least = F.min(F.when(~F.col("extra") & (F.col("size") > 0), F.col("size")))
-    by_source = rows.groupBy("name").agg((F.first("want") - taken).alias("open"), least.alias("least"))
-    return not by_source.filter("least <= open").isEmpty()
+    left = rows.groupBy("name").agg((F.first("want") - taken).alias("left")).filter("left > 0")
+    rows = rows.filter("NOT extra AND size > 0").select("row", "name", "doc_id", "size", "draw", "extra")
+    return rows.join(small_side(left), "name").filter("size <= left").withColumnRenamed("left", "want")
 
 
 def mix(
@@ -111,7 +109,7 @@ def mix(
         word_count(whole_text(text)).alias("size"),
         _draw(seed, F.col(doc_id)).alias("draw"),
     )
-    sized = tables.write(rows, "sizes")
+    sized = tables.write(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
     known = F.when(F.col("name").startswith("1"), F.substring("name", 2, 1 << 30))
     sizes = sized.groupBy("name").agg(F.sum("size").alias("source_size")).withColumn("source", known)
     targets = water_fill(sizes, weights, share, epochs)
@@ -120,12 +118,19 @@ def mix(
     targets = targets.withColumn("whole", whole).withColumn("want", want)
     # Rows stay where they are unless there are very many sources: a source may hold a third of them.
     rows = sized.join(small_side(tables.write(targets, "sources", few=True)), "name").withColumn("extra", F.lit(False))
-    # Each round draws what the last left open from smaller documents: of those that fit, the first always does.
-    k = 0
-    while k == 0 or _some_fit(rows):
-        drawn = tables.write(_draw_round(rows, tables), f"round{k}")
-        tables.drop(rows if k else sized)
-        rows, k = drawn, k + 1
+    rows = tables.write(_draw_round(rows, tables), "round0")
+    tables.drop(sized)
+    # Further rounds fill what is left from smaller documents; they carry only rows that still fit, of which the first always
+    # does.
+    rest, late, k = tables.write(_fitting(rows), "open0"), None, 0
+    while not rest.isEmpty():
+        k += 1
+        drawn = tables.write(_draw_round(rest, tables), f"round{k}")
+        now = drawn.filter("extra").select("row", F.lit(True).alias("late"))
+        late = now if late is None else late.unionByName(now)
+        rest = tables.write(_fitting(drawn), f"open{k}")
+    if late is not None:
+        rows = rows.join(small_side(late), "row", "left").withColumn("extra", F.col("extra") | F.coalesce("late", F.lit(False)))
     copies = F.col("whole") + F.col("extra").cast("int")
     return rows.select(
         "doc_id", "source", "key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")

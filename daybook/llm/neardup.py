@@ -49,9 +49,15 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(Memory):
+    # Longer words are not remembered, so that the room is bounded in bytes.
+    longest = 64
+
     def compute(self, word: bytes) -> int:
         return xxhash.xxh3_64_intdigest(word)
 
+    def __missing__(self, word: bytes) -> int:
+        return super().__missing__(word) if len(word) <= self.longest else self.compute(word)
+
 
 def shingles(raw: bytes, words: int, hashes: WordHashes) -> np.ndarray:
     """The sorted hashes of a text's distinct shingles of so many words (A-Z in lower case); of a shorter text, one hash

@@ -36,6 +36,8 @@ class Vocabulary:
     unknown: float
     longest: int
     endings: dict[str, list]
+    # What some piece goes on after.
+    prefixes: frozenset[str]
     # Whether no piece goes on after a space mark or holds a line feed beside other characters.
     splits_at_spaces: bool
 
@@ -57,7 +59,8 @@ class Vocabulary:
                 spelt.append(piece.replace(SPACE, " ").encode())
         unknown = min(score for _, score in pieces.values()) - _UNKNOWN
         splits = not any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in pieces)
-        return Vocabulary(pieces, spelt, byte_ids, unknown, max(map(len, pieces)), _endings(pieces), splits)
+        prefixes = frozenset(p[:n] for p in pieces for n in range(1, len(p)))
+        return Vocabulary(pieces, spelt, byte_ids, unknown, max(map(len, pieces)), _endings(pieces), prefixes, splits)
 
 
 def _endings(pieces: dict[str, tuple[int, float]]) -> dict[str, list]:
@@ -114,9 +117,9 @@ def _ids(words: Vocabulary, text: str, back: list[int], upto: int) -> list[int]:
 class StreamingViterbi:
     """Takes a text in parts of any length and gives ids as soon as they are certain.
 
-    Scores are kept for the last `longest` boundaries only, since no piece reaches farther back. Ids are committed up to
-    the boundary at which the paths of all these boundaries meet; scores restart from 0 there. The text marks spaces by
-    SPACE.
+    Paths survive at the end of what was read and at boundaries from which a piece can go on beyond it: `longest` boundaries at
+    most, since no piece reaches farther. Ids are committed up to the boundary at which all surviving paths meet; scores restart
+    from 0 there. The text marks spaces by SPACE.
     """
 
     def __init__(self, words: Vocabulary) -> None:
@@ -124,7 +127,6 @@ class StreamingViterbi:
         self.text = ""  # what is not committed
         self.scores = [0.0]  # of the boundaries in `text`
         self.back = [0]
-        self.checked = 0
 
     def feed(self, part: str) -> list[int]:
         out: list[int] = []
@@ -132,32 +134,42 @@ class StreamingViterbi:
         for at in range(0, len(part), _STEP):
             self.text += part[at : at + _STEP]
             _extend(self.words, self.text, self.scores, self.back)
-            if len(self.text) > self.checked + self.words.longest:
-                out += self._commit(self._meeting())
-                self.checked = len(self.text)
+            out += self._commit(self._meeting(self.text))
         return out
 
+    def settle(self, ahead: str) -> list[int]:
+        """Ids of what all paths share in front of the next character, which is looked at but not taken."""
+        text = self.text + ahead
+        _extend(self.words, text, self.scores, self.back)
+        upto = self._meeting(text)
+        while upto > len(self.text):
+            upto = self.back[upto]
+        del self.scores[-1], self.back[-1]
+        return self._commit(upto)
+
     def finish(self) -> list[int]:
         return self._commit(len(self.text))
 
-    def _meeting(self) -> int:
-        """The last boundary that the paths of all live boundaries share."""
-        last = len(self.text)
-        live = set(range(max(0, last - self.words.longest + 1), last + 1))
+    def _meeting(self, text: str) -> int:
+        """The last boundary of what was read that all surviving paths share."""
+        last, back, prefixes = len(text), self.back, self.words.prefixes
+        live = {s for s in range(max(0, last - self.words.longest + 1), last) if text[s:] in prefixes}
+        live.add(last)
         while len(live) > 1:
             high = max(live)
             live.remove(high)
-            live.add(self.back[high])
+            live.add(back[high])
         return live.pop()
 
     def _commit(self, upto: int) -> list[int]:
+        if not upto:
+            return []
         out = _ids(self.words, self.text, self.back, upto)
         offset = self.scores[upto]
         self.text = self.text[upto:]
         self.scores = [s - offset for s in self.scores[upto:]]
         self.back = [b - upto for b in self.back[upto:]]
         self.back[0] = 0
-        self.checked = max(0, self.checked - upto)
         return out
 
 
@@ -165,35 +177,41 @@ _SEGMENT = re.compile(" *[^ \n]+| +|\n")
 
 
 class Encoder(Memory):
-    """Segments of text to ids (little-endian 32-bit numbers), computed when first asked for.
+    """Remembers what the stream committed: segments of text to ids (little-endian 32-bit numbers).
 
-    Where no piece goes on after a space mark, all paths meet in front of each run of spaces and around line feeds. The
-    text can then be cut there, and a segment met again has the ids it had."""
+    A stream that has committed all it was given is as if new, so what it commits next depends on nothing before. Where no piece
+    goes on after a space mark, its paths meet in front of each run of spaces and around line feeds, as soon as the next character is
+    read; segments end there. A segment goes through the stream when it is first met, and has the ids it had when it is met
+    again."""
 
     room = 200_000
+    # Longer segments are not remembered, so that the room is bounded in bytes.
+    longest = 64
 
     def __init__(self, words: Vocabulary) -> None:
         super().__init__()
         self.words = words
 
     def compute(self, segment: str) -> bytes:
-        """Ids of a segment of one step, which the stream would commit as a whole."""
-        text, scores, back = _marked(segment), [0.0], [0]
-        _extend(self.words, text, scores, back)
-        return struct.pack(f"<{len(ids := _ids(self.words, text, back, len(text)))}i", *ids)
+        """What the stream commits of a segment when the first character after it is seen."""
+        stream = StreamingViterbi(self.words)
+        ids = stream.feed(_marked(segment))
+        ids += stream.settle("\n" if segment[-1] == " " else SPACE)
+        if stream.text:
+            raise ValueError(f"the stream does not commit at the end of {segment!r}")
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def __missing__(self, segment: str) -> bytes:
-        if len(segment) <= _STEP:
-            return super().__missing__(segment)
-        stream = StreamingViterbi(self.words)
-        return np.array(stream.feed(_marked(segment)) + stream.finish(), "<i4").tobytes()
+        return super().__missing__(segment) if len(segment) <= self.longest else self.compute(segment)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, which a space is put in front of; an empty text has none."""
         if not text:
             return np.zeros(0, "<i4")
-        segments = _SEGMENT.findall(" " + text) if self.words.splits_at_spaces else [" " + text]
-        return np.frombuffer(b"".join(map(self.__getitem__, segments)), "<i4")
+        if not self.words.splits_at_spaces:
+            stream = StreamingViterbi(self.words)
+            return np.array(stream.feed(_marked(" " + text)) + stream.finish(), "<i4")
+        return np.frombuffer(b"".join(map(self.__getitem__, _SEGMENT.findall(" " + text))), "<i4")
 
 
 def _marked(text: str) -> str:

@@ -179,14 +179,17 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> AdditiveModel:
     """Learn labels.quality from the texts of `docs`, from at most `rows` labels whose id's crc32 is not 1 modulo 3.
-    Labels without id or quality, or without a document, are left out; a repeated id counts as often as it stands."""
+    Labels without id or quality, or without a document, are left out; a repeated id counts as often as it stands. Where ids stand on
+    so many documents that there are more than `rows` of them, those with the least hash of their values are taken."""
     chosen = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(training_part("doc_id", 3) != 1)
     chosen = chosen.select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "quality").limit(rows)
     texts = docs.select(F.col("doc_id").alias("doc_id"), whole_text().cast("binary").alias("raw"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "raw")
     schema = "doc_id bigint, quality int, " + ", ".join(f"{n} double" for n in FEATURES)
-    known = joined.mapInArrow(_feature_rows, schema).toPandas().sort_values(["doc_id", "quality", *FEATURES])
+    values = joined.mapInArrow(_feature_rows, schema)
+    columns = ["doc_id", "quality", *FEATURES]
+    known = values.orderBy(F.xxhash64(F.lit(SEED), *columns), *columns).limit(rows).toPandas().sort_values(columns)
     return fit(known[list(FEATURES)].to_numpy(float), (known["quality"].to_numpy() > 0).astype(float))
 
 

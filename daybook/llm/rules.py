@@ -6,7 +6,7 @@ up, so sketches merge exactly, in any order and at any level; a rerun gives the
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -20,8 +20,9 @@ from daybook.session import small_side
 SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 LEAST_WORDS = 50
-# A group with fewer sketched documents takes its language's sketch, then that of all documents.
-LEAST_DOCUMENTS = 100
+# A group with fewer judged documents takes its language's fences, then those of all documents: ten documents lie beyond each
+# quartile of a group of this size.
+LEAST_DOCUMENTS = 40
 # Measures are whole numbers: parts of 10,000, or hundredths of a character for the word length. A fence stands three
 # times the distance of the quartiles outside of them.
 _REACH = 3
@@ -29,11 +30,10 @@ MEASURES = ("symbols", "upper", "dup_lines", "repeats", "word_length")
 _BOTH_SIDES = ("word_length",)
 # Most documents repeat nothing, so that their quartiles are 0: these have the quartiles of the documents that do.
 _OF_NONZERO = ("dup_lines", "repeats")
-# A fence stands at least so far from its quartile, for groups whose quartiles are equal: what one occurrence does in the
-# shortest document judged, of 50 words of 5 characters. That is a symbol, a capital, or a word 10 characters longer.
-FLOOR = {"symbols": 40, "upper": 40, "dup_lines": 0, "repeats": 0, "word_length": 20}
-# Not used here: the SQL of this operator still states the former fences, which stood at least this far out.
-SLACK = {"symbols": 300, "upper": 1500, "dup_lines": 4000, "repeats": 4000, "word_length": 200}
+# Where most documents of a group have no symbol or the same share of capitals, the quartiles are equal. Such a fence stands one
+# occurrence away, as a part of the shortest judged document of the group, which its sketch of sizes tells.
+_PER_LETTER = ("symbols", "upper")
+SIZE = "size"
 _SUBBUCKET_BITS = 7
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -110,6 +110,7 @@ def _measures() -> dict[str, Column]:
         "dup_lines": part("n_dup_lines", "n_lines"),
         "repeats": part("n_repeat_words", "n_words"),
         "word_length": part("word_chars", "n_words", 100),
+        SIZE: F.col("word_chars"),
     }
 
 
@@ -127,40 +128,44 @@ def merged(sketch: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by..., measure, documents, hi, lo: the highest and the lowest value allowed, from so many documents."""
-    rows = sketch.filter((F.col("bucket") > 0) | ~F.col("measure").isin(*_OF_NONZERO))
+    """by..., measure, documents, hi, lo: the highest and the lowest value allowed, from so many documents. Of a measure that
+    no document has, nothing is allowed."""
+    counts = F.when((F.col("bucket") > 0) | ~F.col("measure").isin(*_OF_NONZERO), F.col("n"))
     group = Window.partitionBy(*by, "measure")
-    rows = rows.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
-    quartile = {k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket"))) for k in (1, 3)}
-    rows = rows.groupBy(*by, "measure").agg(
-        quartile[1].alias("q1"), quartile[3].alias("q3"), F.first("total").alias("documents")
-    )
-    # A bucket is named by its least value; the quartile may be its greatest.
+    rows = sketch.withColumns({"upto": F.sum(counts).over(group.orderBy("bucket")), "total": F.sum(counts).over(group)})
+    quartile = {k: F.coalesce(F.min(F.when(counts.isNotNull() & (F.col("upto") * 4 >= F.col("total") * k), F.col("bucket"))), F.lit(0)) for k in (1, 3)}
+    rows = rows.groupBy(*by, "measure").agg(quartile[1].alias("q1"), quartile[3].alias("q3"), F.sum("n").alias("documents"), F.min("bucket").alias("least"))
+    smallest = F.max(F.when(F.col("measure") == SIZE, F.col("least"))).over(Window.partitionBy(*by))
+    rows = rows.withColumn("smallest", smallest).filter(F.col("measure") != SIZE)
+    # A bucket is named by its least value; the quartile may be its greatest. Quartiles in one bucket are up to its width apart.
     width = F.expr(f"shiftleft(1L, greatest(length(bin(q3)) - {_SUBBUCKET_BITS}, 0))")
-    floor = F.create_map(*(F.lit(x) for p in FLOOR.items() for x in p))[F.col("measure")]
-    reach = F.greatest(_REACH * (F.col("q3") - F.col("q1")), floor)
+    once = F.when(F.col("measure").isin(*_PER_LETTER) & (F.col("smallest") > 0), F.expr("10000 DIV smallest")).otherwise(0)
+    reach = F.greatest(_REACH * F.greatest(F.col("q3") - F.col("q1"), width), once)
     hi = F.col("q3") + width - 1 + reach
     return rows.select(*by, "measure", "documents", hi.alias("hi"), (F.col("q1") - reach).alias("lo"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source, hi_<measure> and for some lo_<measure> for each group of the sketch: each from the smallest level
-    with enough documents. Without any document that repeats something, nothing may be repeated."""
-    groups = sketch.select("lang", "source", "measure").distinct()
+    """lang, source, level, hi_<measure> and for some lo_<measure> for each group of the sketch: from the smallest level with enough
+    documents. Levels: 0 the group's own sketch, 1 its language's, 2 that of all documents."""
+    groups = sketch.filter(F.col("measure") != SIZE).select("lang", "source", "measure").distinct()
     for n, by in enumerate((["lang", "source"], ["lang"], [])):
         level = fences(merged(sketch, by), by)
         level = level.select(*(F.col(b).alias(f"_{b}") for b in [*by, "measure"]), *(F.col(c).alias(f"{c}{n}") for c in ("documents", "hi", "lo")))
         same = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"_{b}")) for b in [*by, "measure"]))
         groups = groups.join(level, same, "left").drop("_lang", "_source", "_measure")
 
-    def chosen(side: str) -> Column:
-        pick = F.col(f"{side}2")
+    def chosen(of: Callable[[int], Column]) -> Column:
+        pick = of(2)
         for n in (1, 0):
-            pick = F.when(F.col(f"documents{n}") >= LEAST_DOCUMENTS, F.col(f"{side}{n}")).otherwise(pick)
-        return F.coalesce(pick, F.lit(0))
+            pick = F.when(F.col(f"documents{n}") >= LEAST_DOCUMENTS, of(n)).otherwise(pick)
+        return pick
+
+    def one(side: str, name: str) -> Column:
+        return F.max(F.when(F.col("measure") == name, chosen(lambda n: F.col(f"{side}{n}")))).alias(f"{side}_{name}")
 
-    one = lambda side, name: F.max(F.when(F.col("measure") == name, chosen(side))).alias(f"{side}_{name}")
-    return groups.groupBy("lang", "source").agg(*(one("hi", m) for m in MEASURES), *(one("lo", m) for m in _BOTH_SIDES))
+    level = F.max(chosen(F.lit)).alias("level")
+    return groups.groupBy("lang", "source").agg(level, *(one("hi", m) for m in MEASURES), *(one("lo", m) for m in _BOTH_SIDES))
 
 
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -170,8 +175,8 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     A document fails the base rules with fewer than 50 words or with more than half of its words in repeated windows of
     three. The others are sketched per language and source (null is a value of its own) and kept if each measure is
     within its group's fences; small groups take the fences of their language, then of all. The fences come from the
-    quartiles of the group: of all its documents, or for repeated lines and words of those that have any. Null and empty texts have
-    no words and fail. Repeated rows count as often as they stand. An empty table gives no rows.
+    sketches of the group: the quartiles of all its documents, or for repeated lines and words of those that have any, and its smallest
+    document. Null and empty texts have no words and fail. Repeated rows count as often as they stand. An empty table gives no rows.
     """
     tables = Tables(docs.sparkSession, "rules")
     rows = tables.write(measured(docs, text, lang, source, doc_id), "counts")
@@ -182,7 +187,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     limits = tables.write(thresholds(sketch), "fences", few=True).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     rows = rows.join(small_side(limits), same, "left")
-    inside = [m <= F.col(f"hi_{name}") for name, m in measures.items()]
+    inside = [measures[name] <= F.col(f"hi_{name}") for name in MEASURES]
     inside += [measures[name] >= F.col(f"lo_{name}") for name in _BOTH_SIDES]
     kept = ~F.col("base_failed") & F.coalesce(reduce(Column.__and__, inside), F.lit(False))
     return rows.select(

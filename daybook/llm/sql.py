@@ -8,9 +8,9 @@ from daybook.llm import jaccard
 from daybook.llm.hardneg import HIGH, LOW, NEGATIVES, POSITIVES, SCALE
 from daybook.llm.lines import LEAST_WORDS
 from daybook.llm.merkle import FAN, FIELDS
-from daybook.llm.mixing import ROUNDS, SEED
+from daybook.llm.mixing import SEED
 from daybook.llm.neardup import SIMILARITY, WORDS
-from daybook.llm.rules import LEAST_DOCUMENTS, SLACK
+from daybook.llm.rules import LEAST_DOCUMENTS
 from daybook.llm.secrets import BASE, RULES
 
 
@@ -82,49 +82,49 @@ def _rules() -> str:
         "word_length": ("word_chars", 100, "n_words"),
     }
     listed = ", ".join(f"CASE WHEN {of} > 0 THEN ({n} * {scale}) // {of} ELSE 0 END AS {name}" for name, (n, scale, of) in measures.items())
-    long = "\nUNION ALL ".join(f"SELECT lang, source, '{name}' AS measure, {name} AS x FROM judged WHERE NOT base_failed" for name in measures)
-    slack = " ".join(f"WHEN '{name}' THEN {least}" for name, least in SLACK.items())
+    long = "\nUNION ALL ".join(
+        f"SELECT lang, source, '{name}' AS measure, {column} AS x FROM judged WHERE NOT base_failed" for name, column in [*((m, m) for m in measures), ("size", "word_chars")]
+    )
 
     def level(name: str, columns: str) -> str:
         by = f"{columns}, " if columns else ""
+        group = f"PARTITION BY {by}measure"
         return f"""
-{name} AS (SELECT {by}measure, max(total) AS docs, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3
-  FROM (SELECT {by}measure, bucket, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}measure) AS total
-        FROM (SELECT {by}measure, bucket, count(*) AS n FROM buckets GROUP BY ALL)) GROUP BY {by}measure)"""
+{name} AS (SELECT {by}measure, docs, q1, q3, max(least) FILTER (measure = 'size') OVER ({f"PARTITION BY {columns}" if columns else ""}) AS smallest FROM (
+  SELECT {by}measure, sum(n) AS docs, min(bucket) AS least, coalesce(min(bucket) FILTER (k > 0 AND 4 * upto >= total), 0) AS q1,
+    coalesce(min(bucket) FILTER (k > 0 AND 4 * upto >= 3 * total), 0) AS q3
+  FROM (SELECT *, sum(k) OVER ({group} ORDER BY bucket) AS upto, sum(k) OVER ({group}) AS total
+        FROM (SELECT {by}measure, bucket, count(*) AS n, CASE WHEN bucket > 0 OR measure NOT IN ('dup_lines', 'repeats') THEN count(*) ELSE 0 END AS k
+              FROM buckets GROUP BY {by}measure, bucket)) GROUP BY {by}measure))"""
 
-    def quartile(q: str) -> str:
-        return f"CASE WHEN s.docs >= {LEAST_DOCUMENTS} THEN s.{q} WHEN l.docs >= {LEAST_DOCUMENTS} THEN l.{q} ELSE a.{q} END"
+    def taken(column: str) -> str:
+        return f"CASE WHEN s.docs >= {LEAST_DOCUMENTS} THEN s.{column} WHEN l.docs >= {LEAST_DOCUMENTS} THEN l.{column} ELSE a.{column} END AS {column}"
 
     inside = " AND ".join(f"c.{name} <= max(f.hi) FILTER (f.measure = '{name}')" for name in measures)
+    shown = "c.doc_id, c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, c.base_failed"
     return f"""
 WITH {_COUNTS},
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {listed} FROM counts),
 measured AS ({long}),
 buckets AS (SELECT lang, source, measure, CASE WHEN length(bin(x)) > 7 THEN (x >> (length(bin(x)) - 7)) << (length(bin(x)) - 7) ELSE x END AS bucket
             FROM measured),{level("by_source", "lang, source")},{level("by_lang", "lang")},{level("overall", "")},
-chosen AS (SELECT s.lang, s.source, s.measure, {quartile("q1")} AS q1, {quartile("q3")} AS q3, CASE s.measure {slack} END AS slack
-  FROM by_source s JOIN by_lang l ON l.lang IS NOT DISTINCT FROM s.lang AND l.measure = s.measure JOIN overall a ON a.measure = s.measure),
-fences AS (SELECT lang, source, measure, q3 + greatest(3 * (q3 - q1), slack) AS hi, q1 - greatest(3 * (q3 - q1), slack) AS lo FROM chosen)
+chosen AS (SELECT s.lang, s.source, s.measure, {taken("q1")}, {taken("q3")}, {taken("smallest")}
+  FROM by_source s JOIN by_lang l ON l.lang IS NOT DISTINCT FROM s.lang AND l.measure = s.measure JOIN overall a ON a.measure = s.measure
+  WHERE s.measure <> 'size'),
+reaches AS (SELECT *, greatest(3 * greatest(q3 - q1, 1 << greatest(length(bin(q3)) - 7, 0)), CASE WHEN measure IN ('symbols', 'upper') THEN coalesce(10000 // nullif(smallest, 0), 0) ELSE 0 END) AS reach FROM chosen),
+fences AS (SELECT lang, source, measure, q3 + (1 << greatest(length(bin(q3)) - 7, 0)) - 1 + reach AS hi, q1 - reach AS lo FROM reaches)
 SELECT c.doc_id, c.n_words::BIGINT AS n_words, c.word_chars::BIGINT AS word_chars, c.n_symbols::BIGINT AS n_symbols,
   c.n_dup_lines::BIGINT AS n_dup_lines, c.n_repeat_words::BIGINT AS n_repeat_words, c.base_failed,
   coalesce(NOT c.base_failed AND {inside} AND c.word_length >= max(f.lo) FILTER (f.measure = 'word_length'), false) AS kept
 FROM judged c LEFT JOIN fences f ON f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source
-GROUP BY ALL
-""".replace("GROUP BY ALL\n", "GROUP BY c.r, c.doc_id, c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, c.base_failed, "
-            + ", ".join(f"c.{name}" for name in measures) + "\n")
+GROUP BY c.r, {shown}, {", ".join(f"c.{name}" for name in measures)}
+"""
 
 
 def _mix() -> str:
-    rounds = "".join(
-        f""",
-open{k} AS (SELECT name, max(want) - sum(CASE WHEN extra THEN size ELSE 0 END) AS open FROM drawn{k} GROUP BY name),
-fits{k} AS (SELECT d.r, sum(size) OVER (PARTITION BY d.name ORDER BY draw, doc_id, size, r) <= open AS take
-  FROM drawn{k} d JOIN open{k} o ON o.name = d.name WHERE NOT extra AND size > 0 AND size <= open),
-drawn{k + 1} AS (SELECT d.* REPLACE (extra OR coalesce(take, false) AS extra) FROM drawn{k} d LEFT JOIN fits{k} f ON f.r = d.r)"""
-        for k in range(ROUNDS)
-    )
+    order = "draw, doc_id, size, r"
     return rf"""
-WITH sized AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce('1' || source, '0') AS name,
+WITH RECURSIVE sized AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce('1' || source, '0') AS name,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS draw FROM documents),
 sources AS (SELECT name, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY name = '0', encode(name)) - 1) % 3]::DOUBLE AS weight
@@ -135,9 +135,17 @@ levels AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(ca
 targets AS (SELECT name, source_size, least(cap::DOUBLE, coalesce((SELECT arg_min(level, place) FROM levels WHERE level <= cap / weight) * weight, 'inf'::DOUBLE)) AS target
   FROM levels),
 wants AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::INTEGER AS whole FROM targets),
-drawn0 AS (SELECT s.*, source_size, target, whole, round(target - whole * source_size)::BIGINT AS want, false AS extra
-  FROM sized s JOIN wants w ON w.name = s.name){rounds}
-SELECT doc_id, size, source_size, target, (whole + extra::INTEGER) * size AS taken, source, (whole + extra::INTEGER)::INTEGER AS copies FROM drawn{ROUNDS}
+-- One round after the other, until no document that is not drawn fits what its source still wants.
+rounds AS (
+  SELECT 0 AS k, s.r, s.name, s.draw, s.doc_id, s.size, round(target - whole * source_size)::BIGINT AS open, false AS extra
+  FROM sized s JOIN wants w ON w.name = s.name WHERE size > 0
+  UNION ALL
+  SELECT k, r, name, draw, doc_id, size, open - coalesce(sum(size) FILTER (extra) OVER (PARTITION BY name), 0)::BIGINT, extra FROM (
+    SELECT k + 1 AS k, r, name, draw, doc_id, size, open, sum(size) OVER (PARTITION BY name ORDER BY {order}) <= open AS extra
+    FROM rounds WHERE NOT extra AND size <= open)),
+drawn AS (SELECT DISTINCT r FROM rounds WHERE extra)
+SELECT s.doc_id, size, source_size, target, (whole + (d.r IS NOT NULL)::INTEGER) * size AS taken, source, (whole + (d.r IS NOT NULL)::INTEGER)::INTEGER AS copies
+FROM sized s JOIN wants w ON w.name = s.name LEFT JOIN drawn d ON d.r = s.r
 """
 
 

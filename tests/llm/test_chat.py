@@ -94,3 +94,15 @@ def test_query_has_the_templates_own_conversation(spark):
         if r.conv_id != -1:
             whole = "".join(f"{role}\n{text}\n" for _, role, text in sorted(turns[r.conv_id]))
             assert r.turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
+
+
+def test_long_texts_and_clashing_columns(spark):
+    """A text of a million characters comes back whole; columns that the operator uses itself are not read."""
+    long = "<|im_end|> lorem é " * 55_000
+    said = [(5, 1, "user", long), (5, 2, "assistant", long + "!"), (6, 1, "assistant", "")]
+    rows = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    clash = rows.selectExpr("*", "'x' AS tree", "'y' AS id", "7 AS parent", "'p' AS path", "1 AS n", "2 AS place", "'r' AS root", "3 AS rank", "4 AS known")
+    found = {r.conv_id: r for r in chat.digests(chat.format_paths(chat.as_trees(clash))).collect()}
+    assert found[5].loss_chars == len(long) + 1 and found[5].loss_sha256 == hashlib.sha256((long + "!").encode()).hexdigest()
+    assert found[5].turns_sha256 == hashlib.sha256(f"user\n{long}\nassistant\n{long}!\n".encode()).hexdigest()
+    assert (found[6].n_turns, found[6].loss_chars) == (1, 0)

@@ -95,6 +95,36 @@ def test_whole_texts(docs, texts, nothing):
 def test_other_vocabularies_are_not_cut_at_spaces(words):
     """With a piece that goes on after a space, the text goes through one search as a whole."""
     known = {**words.pieces, "n▁the": (5, 1e3)}
-    wide = Vocabulary(known, words.spelt, words.byte_ids, words.unknown, words.longest, pieces._endings(known), False)
+    prefixes = frozenset(p[:n] for p in known for n in range(1, len(p)))
+    wide = Vocabulary(known, words.spelt, words.byte_ids, words.unknown, words.longest, pieces._endings(known), prefixes, False)
     assert 5 in pieces.Encoder(wide).encode("in the end").tolist()
     assert np.array_equal(pieces.Encoder(words).encode("of the end"), pieces.Encoder(wide).encode("of the end"))
+
+
+def test_all_ids_come_from_commits_of_the_stream(spark, monkeypatch):
+    """The texts of a given table: every segment is committed by the stream where its paths meet, before the text ends."""
+    commits, ended = [], []
+    plain = pieces.StreamingViterbi._commit
+    monkeypatch.setattr(pieces.StreamingViterbi, "_commit", lambda self, upto: commits.append(self.text[:upto]) or plain(self, upto))
+    monkeypatch.setattr(pieces.StreamingViterbi, "finish", lambda self: ended.append(1) or plain(self, len(self.text)))
+    encoder = pieces.Encoder(Vocabulary.load())
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    segments = {x for t in texts if t for x in pieces._SEGMENT.findall(" " + t)}
+    for text in texts:
+        assert pieces.decode(encoder.words, encoder.encode(text or "")) == (text or "")
+    committed = "".join(commits)
+    assert not ended and len(segments) > 1_000 and len(committed) == sum(map(len, segments))
+    # Most are committed in several steps or as a whole; none is longer than what was read of it.
+    assert len([c for c in commits if c]) >= len(segments)
+
+
+def test_the_stream_commits_as_soon_as_paths_meet(words):
+    stream = pieces.StreamingViterbi(words)
+    stream.feed(SPACE + "the")
+    assert stream.feed(SPACE) != [] and stream.text == SPACE
+    # Memory holds no more than the window while a text without spaces goes through.
+    stream, most = pieces.StreamingViterbi(words), 0
+    for k in range(2_000):
+        stream.feed("xyzzyqua"[k % 8])
+        most = max(most, len(stream.text))
+    assert most <= 2 * words.longest

@@ -68,3 +68,34 @@ def test_run_gives_the_stages_result(spark):
     rows = corpus_pipeline.run(spark, small)
     assert rows.columns == ["doc_id", "n_ids", "round_trip", "ids"]
     assert 100 < rows.count() < 400 and rows.filter("NOT round_trip").count() == 0
+
+
+def hard_table(spark, rows):
+    """Rows with the columns of documents and others whose names the stages use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, name string, size long, row long, want long, node long, digest binary"
+    return spark.createDataFrame([(i, t, la, s, 0, "k", "n", 7, 1, 2, 3, b"d") for i, t, la, s in rows], schema)
+
+
+def test_stages_on_hard_inputs(spark, texts):
+    """Nulls in any column, empty and long texts, ties, repeated rows and clashing names: every stage but the last gives the columns it
+    got and rows that it got; the last a row per row."""
+    docs = hard_table(spark, texts).repartition(3)
+    given = {(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        rows = docs.count()
+        out = stage(spark, docs, SF)
+        if name == "encoding":
+            assert out.count() == rows and out.filter("NOT round_trip").count() == 0
+            continue
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert {(r.doc_id, r.text, r.lang, r.source) for r in kept} <= given and (kept or name == "quality classifier")
+        if kept:
+            docs = spark.createDataFrame(kept, out.schema)
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = hard_table(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and (name == "encoding" or out.columns == docs.columns)

@@ -80,6 +80,42 @@ def test_every_fence_follows_its_group(spark):
         assert 144 <= hi[0] <= 175 and 530 <= hi[1] <= 560
 
 
+def sketched(spark, shifted=None):
+    """Sketches of two groups and all five measures; `shifted` has its values moved in one group."""
+    rows = spark.range(400).selectExpr("'en' AS lang", "if(id < 200, 'one', 'two') AS source", "id % 200 AS k")
+    values = {m: (F.lit(100) + F.col("k") % 20).cast("long") for m in rules.MEASURES}
+    for name in rules._OF_NONZERO:
+        # Most documents repeat nothing.
+        values[name] = F.when(F.col("k") < 150, 0).otherwise(values[name]).cast("long")
+    # No document has a symbol, all have the same length.
+    values["symbols"], values[rules.SIZE] = F.lit(0).cast("long"), F.lit(400).cast("long")
+    if shifted:
+        moved = F.when((F.col("source") == "two") & ((values[shifted] > 0) | (F.lit(shifted) == "symbols")), values[shifted] + 300)
+        values[shifted] = F.coalesce(moved, values[shifted])
+    return {r.source: r for r in rules.thresholds(rules.sketches(rows, ["lang", "source"], values)).collect()}
+
+
+def test_a_shift_in_one_group_moves_its_fence_alone(spark):
+    """All five measures; every group of this size has fences of its own."""
+    before = sketched(spark)
+    assert all(r.level == 0 for r in before.values())
+    for name in rules.MEASURES:
+        after = sketched(spark, name)
+        columns = [c for c in before["one"].asDict() if c.startswith(("hi_", "lo_"))]
+        moved = {(g, c) for g in before for c in columns if before[g][c] != after[g][c]}
+        assert moved == {("two", c) for c in columns if c.endswith(f"_{name}")}
+        assert after["two"][f"hi_{name}"] >= before["two"][f"hi_{name}"] + 250
+
+
+def test_the_smallest_document_sets_the_least_fence(spark):
+    """One symbol in the shortest document of a group passes, in a group of long documents it is less than that."""
+    text = "concat_ws(' ', transform(sequence(1, if(id < 100, 50, 500)), i -> concat('word', lpad(id * 500 + i, 6, '0'))))"
+    rows = spark.range(200).selectExpr("id AS doc_id", "'en' AS lang", "if(id < 100, 'short', 'long') AS source", f"{text} AS text")
+    rows = rows.withColumn("text", F.when(F.col("doc_id").isin(3, 150), F.concat("text", F.lit(" #"))).when(F.col("doc_id").isin(5, 160), F.concat("text", F.lit(" ## #### ##"))).otherwise(F.col("text")))
+    kept = {r.doc_id: r.kept for r in rules.judged(rows).collect()}
+    assert kept[3] and kept[150] and not kept[5] and not kept[160] and sum(kept.values()) == 198
+
+
 def test_an_outlier_of_each_measure_is_rejected(spark):
     text = "concat_ws(' ', transform(sequence(1, 100), i -> concat('w', lpad(id * 100 + i, 6, '0'), if(i <= 2 + id % 2, 'A', ''))))"
     plain = spark.range(300).selectExpr("id AS doc_id", "'en' AS lang", "'a' AS source", f"{text} AS text")

@@ -76,3 +76,12 @@ def test_every_match_satisfies_its_query():
 
 def test_empty_table(nothing):
     assert secrets.secret_spans(nothing).count() == 0
+
+
+def test_a_very_long_text(spark):
+    """Spans of a text of two million characters, at its begin, middle and end."""
+    filler = "plain words and 12345 numbers, é😀 " * 20_000
+    text = f"password={KEY} {filler} AKIA{'B' * 16} {filler} token: {KEY}"
+    docs = spark.createDataFrame([(1, text), (2, filler)], "doc_id long, text string")
+    [row] = secrets.secret_spans(docs).collect()
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in row.spans] == found(text, secrets.RULES) and len(row.spans) >= 3
