@@ -37,7 +37,11 @@ BLOCK_TOKENS = 6_000_000
 LEAST_FREQUENT = 50
 # Tokens whose forward and backward values are held at a time, and tokens whose texts are sorted by length together.
 HELD_TOKENS = 300_000
-GATHERED_TOKENS = 2_000_000
+GATHERED_TOKENS = 4_000_000
+# A lattice of long texts has more tokens than are held, so that a step has many texts; so many texts, or tokens at most.
+WIDE, WIDE_TOKENS = 256, 2_000_000
+# Texts of one length class differ by a factor of 2 ** (1 / CLASSES_PER_OCTAVE).
+CLASSES_PER_OCTAVE = 2
 # Backward values are scaled anew every so many steps.
 RESCALED = 64
 # The end of a text; no word has a space.
@@ -159,14 +163,14 @@ class Lattice:
     @staticmethod
     def of(sequences: list[np.ndarray]) -> tuple[Lattice, np.ndarray]:
         """The lattice, and for each of its columns which sequence it is."""
-        sizes = np.array([len(s) for s in sequences])
+        sizes = np.array([len(s) for s in sequences], np.int32)
         order = np.argsort(-sizes, kind="stable")
         sizes = sizes[order]
-        place = np.concatenate([np.arange(n) for n in sizes])
+        place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
         active = np.bincount(place)
         begin = np.concatenate([[0], np.cumsum(active)])
         seen = np.empty(len(place), np.uint16)
-        seen[begin[place] + np.repeat(np.arange(len(sizes)), sizes)] = np.concatenate([sequences[k] for k in order])
+        seen[begin[place] + np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)] = np.concatenate([sequences[k] for k in order])
         return Lattice(seen, active), order
 
     def parts(self) -> list[tuple[int, int]]:
@@ -246,12 +250,13 @@ class Lattice:
 
 
 def _lattices(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, Lattice]]:
-    """Lattices over sequences of about the same length, of HELD_TOKENS tokens if several, and the sequence in each column."""
+    """Lattices over sequences of about the same length, of HELD_TOKENS tokens, or more if they are long, and the sequence in each
+    column."""
     order = np.argsort([-len(s) for s in sequences], kind="stable")
     held: list[int] = []
     tokens = 0
     for k in order:
-        if held and tokens + len(sequences[k]) > HELD_TOKENS:
+        if held and tokens + len(sequences[k]) > max(HELD_TOKENS, min(WIDE * len(sequences[held[0]]), WIDE_TOKENS)):
             lattice, columns = Lattice.of([sequences[j] for j in held])
             yield np.array(held)[columns], lattice
             held, tokens = [], 0
@@ -279,6 +284,21 @@ def _numbers(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(s, "<u2") for s in column.to_pylist()]
 
 
+def _by_length(sequences: DataFrame) -> DataFrame:
+    """The column `sequence` of the rows, those of one length class together in groups of about GATHERED_TOKENS / 2 tokens: a step of a
+    lattice costs the same for few texts as for many, and a task of its own would have few long ones. The driver learns the
+    tokens of each class."""
+    tokens = F.octet_length("sequence") / 2
+    rows = sequences.select("sequence", F.floor(F.log2(tokens) * CLASSES_PER_OCTAVE).cast("int").alias("length"), F.monotonically_increasing_id().alias("row"))
+    sizes = rows.groupBy("length").agg(F.sum(F.octet_length("sequence") / 2).alias("tokens")).collect()  # a few dozen
+    if not sizes:
+        return sequences.select("sequence")
+    parts = {r.length: max(1, round(2 * r.tokens / GATHERED_TOKENS)) for r in sizes}
+    of = F.create_map(*(F.lit(x) for p in parts.items() for x in p))
+    part = F.pmod(F.col("row"), of[F.col("length")])
+    return rows.repartition(2 * sum(parts.values()), "length", part).select("sequence")
+
+
 def laid_out(sequences: DataFrame) -> DataFrame:
     """One row per lattice over the rows' sequences: seen and active. What every pass reads."""
 
@@ -288,7 +308,7 @@ def laid_out(sequences: DataFrame) -> DataFrame:
                 columns = [pa.array([x.tobytes()], pa.binary()) for x in (lattice.seen, lattice.active.astype("<i4"))]
                 yield pa.RecordBatch.from_arrays(columns, names=["seen", "active"])
 
-    return sequences.select("sequence").mapInArrow(lay, "seen binary, active binary")
+    return _by_length(sequences).mapInArrow(lay, "seen binary, active binary")
 
 
 def expected_counts(lattices: DataFrame, model: Model) -> Counts:

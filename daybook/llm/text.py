@@ -13,6 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 FEW_FILES = 4
 _BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+_BATCH_SIZE, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def whole_text(column: str = "text") -> Column:
@@ -54,9 +55,11 @@ class Memory(dict):
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows hold whole texts: unless the session says otherwise, send fewer of them to Python at a time than by default."""
-    if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    """Rows hold whole texts: unless the session says otherwise, send fewer of them, and fewer bytes, to Python at a time than by
+    default."""
+    for name, most in ((_BATCH, BATCH_ROWS), (_BATCH_SIZE, BATCH_BYTES)):
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(most))
 
 
 class Tables:
