@@ -134,7 +134,9 @@ class StreamingViterbi:
         for at in range(0, len(part), _STEP):
             self.text += part[at : at + _STEP]
             _extend(self.words, self.text, self.scores, self.back)
-            out += self._commit(self._meeting(self.text))
+            # What is shorter than a piece can wait for the next part.
+            if len(self.text) > self.words.longest:
+                out += self._commit(self._meeting(self.text))
         return out
 
     def settle(self, ahead: str) -> list[int]:
@@ -165,6 +167,9 @@ class StreamingViterbi:
         if not upto:
             return []
         out = _ids(self.words, self.text, self.back, upto)
+        if upto == len(self.text):
+            self.text, self.scores, self.back = "", [0.0], [0]
+            return out
         offset = self.scores[upto]
         self.text = self.text[upto:]
         self.scores = [s - offset for s in self.scores[upto:]]
@@ -191,10 +196,11 @@ class Encoder(Memory):
     def __init__(self, words: Vocabulary) -> None:
         super().__init__()
         self.words = words
+        self.stream = StreamingViterbi(words)
 
     def compute(self, segment: str) -> bytes:
         """What the stream commits of a segment when the first character after it is seen."""
-        stream = StreamingViterbi(self.words)
+        stream = self.stream
         ids = stream.feed(_marked(segment))
         ids += stream.settle("\n" if segment[-1] == " " else SPACE)
         if stream.text:

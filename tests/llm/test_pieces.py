@@ -121,10 +121,10 @@ def test_all_ids_come_from_commits_of_the_stream(spark, monkeypatch):
 def test_the_stream_commits_as_soon_as_paths_meet(words):
     stream = pieces.StreamingViterbi(words)
     stream.feed(SPACE + "the")
-    assert stream.feed(SPACE) != [] and stream.text == SPACE
+    assert stream.settle(SPACE) != [] and stream.text == ""
     # Memory holds no more than the window while a text without spaces goes through.
     stream, most = pieces.StreamingViterbi(words), 0
     for k in range(2_000):
         stream.feed("xyzzyqua"[k % 8])
         most = max(most, len(stream.text))
-    assert most <= 2 * words.longest
+    assert most <= 3 * words.longest
