@@ -12,8 +12,10 @@ from catalog import transcripts as X
 from catalog.queries import ms, query
 from daybook.functions.tokens import TOKENS
 from daybook.operators import activity, agents, calendar, repair
+from daybook.plans import partials
+from daybook.plans.incremental import ingest_new
 from daybook.plans.refresh import refresh_daily_cells
-from daybook.session import names_in, rename, staging_path
+from daybook.session import make_folder, names_in, remove, rename, staging_path
 from daybook.sources import event_log, log_table, transcripts
 from daybook.sources.prices import shipped_prices
 from daybook.streaming import tables
@@ -76,6 +78,14 @@ def stream_diagnostics(spark, sf):
     return tables.read_diagnostics(spark, target).select("project", "id", "errors", "warnings")
 
 
+@query
+def stream_edits(spark, sf):
+    """Edits that land out of order and partly again: each window as all of its edits give it."""
+    target = _streamed(spark, S.edits(spark, sf), "id", tables.stream_edits)
+    found = tables.read_edits(spark, target)
+    return found.select("project", ms("window.start", "window_ms"), "file", "language", "lines_added", "lines_removed")
+
+
 @query
 def append_log(spark, sf):
     """The signal log appended as JSON lines in two parts and read back."""
@@ -117,6 +127,20 @@ def refreshed_cells(spark, sf):
     return spark.read.schema(cells.schema).parquet(target).select(*cells.columns)
 
 
+@query
+def rollup_partials(spark, sf):
+    """Rollups from daily parts of an older log, which lacks some events and has one on a day of its own, brought up to date."""
+    root, target = staging_path(spark, "days"), staging_path(spark, "parts")
+    log = S.event_log(spark, sf)
+    missing = F.pmod(F.xxhash64("event_id"), F.lit(7)) == 0
+    stray = log.where("type = 'session'").orderBy("event_id").limit(1).withColumn("ts", F.lit("2024-03-09 12:00:00").cast("timestamp"))
+    partials.write_partials(log.where(~missing).unionByName(stray), target)
+    log_table.write_version(log, root)
+    now = log_table.read_current(spark, root)
+    partials.refresh_partials(now, log.where(missing).unionByName(stray), target)
+    return partials.rollup_from_partials(now, target, S.NOW)
+
+
 @query
 def migrate_twice(spark, sf):
     """The repair of repaired history changes nothing more."""
@@ -139,26 +163,36 @@ def fallback_time(spark, sf):
     return rows.groupBy("agent").agg(F.count("*").alias("rows"), F.count_if(without).alias("without_time"))
 
 
-# Transcript files of the job below, and the lines of their first state.
-FILES, FIRST_LINES = 8, 40
+# Conversations in one transcript file of the first job below, and the lines of their first state.
+EACH, FIRST_LINES = 16, 40
+
+
+def _numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines = X.lines(spark, sf).withColumn("_n", F.regexp_extract("source_file", r"c(\d+)\.jsonl$", 1).cast("bigint"))
+    return lines.withColumn("later", F.col("place") >= FIRST_LINES)
+
+
+def _land(rows: DataFrame, name: str, into: str | None = None) -> str:
+    """One transcript file per value of `file`, a path below the folder; `into` a folder whose files it replaces."""
+    spark, root = rows.sparkSession, staging_path(rows.sparkSession, name)
+    into = into or root
+    ordered = rows.repartition("file").sortWithinPartitions("file", "later", "source_file", "place")
+    ordered.select(F.replace("file", F.lit("/"), F.lit("+")).alias("file"), "line").write.partitionBy("file").text(root)
+    for folder in (n for n in names_in(spark, root) if n.startswith("file=")):
+        path = folder.split("=")[1].replace("+", "/")
+        make_folder(spark, f"{into}/{path}".rsplit("/", 1)[0])
+        remove(spark, f"{into}/{path}.jsonl")
+        for part in names_in(spark, f"{root}/{folder}"):
+            rename(spark, f"{root}/{folder}/{part}", f"{into}/{path}.jsonl")
+    return into
 
 
 @query
 def transcript_passes(spark, sf):
     """Transcripts in nested folders, found and read, then read on from their cursors after they have grown."""
-    lines = X.lines(spark, sf).withColumn("_n", F.regexp_extract("source_file", r"c(\d+)\.jsonl$", 1).cast("bigint"))
-    lines = lines.select(
-        (F.col("_n") % FILES).cast("int").alias("bucket"), (F.col("place") >= FIRST_LINES).alias("later"), "source_file", "place", "line"
-    )
-
-    def land(rows: DataFrame) -> str:
-        root = staging_path(spark, "transcripts")
-        ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "later", "source_file", "place")
-        ordered.select("bucket", "line").write.partitionBy("bucket").text(root)
-        for folder in (name for name in names_in(spark, root) if name.startswith("bucket=")):
-            for name in names_in(spark, f"{root}/{folder}"):
-                rename(spark, f"{root}/{folder}/{name}", f"{root}/{folder}/b{folder.split('=')[1]}.jsonl")
-        return root
+    lines = _numbered_lines(spark, sf)
+    bucket = F.floor(F.col("_n") / EACH).cast("string")
+    lines = lines.select(F.concat(F.lit("bucket"), bucket, F.lit("/b"), bucket).alias("file"), "later", "source_file", "place", "line")
 
     def counted(rows: DataFrame, number: int) -> DataFrame:
         name = F.regexp_extract("source_file", r"(b\d+)\.jsonl$", 1)
@@ -166,8 +200,35 @@ def transcript_passes(spark, sf):
             F.count("*").alias("lines"), F.min("byte_offset").alias("from_offset"), F.max("next_offset").alias("next_offset")
         )
 
-    first, grown = land(lines.where("not later")), land(lines)
+    first, grown = _land(lines.where("not later"), "first"), _land(lines, "grown")
     before = transcripts.read_transcript_lines(spark, first)
     cursors = transcripts.advance_cursors(before).withColumn("source_file", F.replace("source_file", F.lit(first), F.lit(grown)))
     after = transcripts.read_new_lines(spark, grown, cursors)
     return counted(before, 1).unionByName(counted(after, 2))
+
+
+@query
+def ingest_passes(spark, sf):
+    """Transcripts of one agent, a file per conversation, ingested, and again after they have grown: each pass reads new bytes only. Per
+    session what its turns of both passes add up to, and what the last summary says."""
+    lines = _numbered_lines(spark, sf).where("agent = 'claude'")
+    path = F.concat(F.lit("work-p"), F.col("_n") % 5, F.lit("/c"), F.col("_n"))
+    lines = lines.select(path.alias("file"), "later", "source_file", "place", "line")
+    roots = [(f"p{k}", f"/work/p{k}") for k in range(5)]
+    projects, prices = spark.createDataFrame(roots, "project string, root string"), shipped_prices(spark)
+    root, state = _land(lines.where("not later"), "early"), staging_path(spark, "state")
+    passes = []
+    for n in range(2):
+        if n:
+            _land(lines, "late", root)
+        done = ingest_new(spark, root, "claude", projects, prices, state)
+        done.commit()
+        passes.append(done.rows)
+    rows = passes[0].unionByName(passes[1])
+    turns = rows.where("type = 'agent_turn'").groupBy("session_uuid", "project").agg(
+        F.countDistinct("event_id").alias("turns"), F.sum("input").alias("input"), F.sum("output").alias("output")
+    )
+    last = rows.where("type = 'agent_session'").groupBy("session_uuid").agg(
+        F.max("turns").alias("summary_turns"), F.max("input").alias("summary_input"), F.max("unparsed_lines").alias("unparsed_lines")
+    )
+    return turns.join(last, "session_uuid")

@@ -635,11 +635,12 @@ def _oracle() -> dict[str, str]:
           {pick(('create', 'delete', 'change'), 'page_id')} as kind, page_id % 7 as folder from url)
         where kind <> 'change' and folder in (0, 3, 6)""",
     )
-    o(
-        "cwd_attribution",
-        f"""select page_id, project, root from folders join roots on {comparable('cwd')} = lower(root)
-        or starts_with({comparable('cwd')}, lower(root) || '/')""",
-    )
+    for name in ("cwd_attribution", "cwd_attribution_filtered"):
+        o(
+            name,
+            f"""select page_id, project, root from folders join roots on {comparable('cwd')} = lower(root)
+            or starts_with({comparable('cwd')}, lower(root) || '/')""",
+        )
     CTES["repo_pairs"] = f"""
         select page_id as repository, project, {comparable('cwd')} as f, lower(r.root) as root from folders,
           (select root, project from roots union all select root || '/deep', project from roots) r"""
@@ -722,6 +723,16 @@ def _oracle() -> dict[str, str]:
         """select e.project, e.id, coalesce(s.session_id, 'idle_' || (e.ms // 60000)) as session_id from sig e
         left join gap_sessions s on s.project = e.project and s.started_at <= e.ts and e.ts < s.ended_at""",
     )
+    CTES["spread"] = """select project, session_id, started_at, ended_at from gap_sessions
+        union all select project, session_id || ':wide', started_at - interval 45 minute, ended_at + interval 20 minute from gap_sessions"""
+    CTES["open_at"] = """select e.project, e.id, e.ms, s.session_id, s.started_at from sig e
+        left join spread s on s.project = e.project and s.started_at <= e.ts and e.ts < s.ended_at"""
+    o("events_in_intervals", "select project, id, session_id from open_at where session_id is not null")
+    o(
+        "overlapping_attribution",
+        """select project, id, coalesce(arg_max(session_id, (started_at, session_id)) filter (session_id is not null), 'idle_' || any_value(ms // 60000)) as session_id
+        from open_at group by project, id""",
+    )
     # One step per tick and project; the state is the open session and its sums.
     CTES["tick"] = """
         select project, row_number() over w as rn, ms as now, event_type in ('click', 'signup') as i, event_type <> 'error' as f,
@@ -878,6 +889,19 @@ def _oracle() -> dict[str, str]:
         left join agent_list using (project, period) left join model_list using (project, period)
         left join (select * from versions where agent = 'claude') v using (project, period)""",
     )
+    CTES["items"] = """
+        select project, period, 'by_language' as section, null as of, language as item, row_number() over (partition by project, period order by lines desc, language) as place
+        from live_langs
+        union all select project, period, 'by_model', agent, model, place from models
+        union all select project, period, 'top_files', null, file, row_number() over (partition by project, period order by n desc, first, file) from (
+          select project, period, file, sum(lines_added + lines_removed) as n, min(seq) as first
+          from signal_log, {0} where ts >= since and type = 'file_edit' group by 1, 2, 3)""".format(PERIODS)
+    o(
+        "rollup_nested_parts",
+        """select project, period, section, of, ((place - 1) // 4)::int as part, count(*)::int as items, arg_min(item, place) as first_item,
+          arg_max(item, place) as last_item from items group by 1, 2, 3, 4, 5
+        union all select project, period, 'head', null, 0, null, duration_ms::varchar, null from rollup""",
+    )
     csv = {
         "durationMs": "duration_ms", "interactionMs": "interaction_ms", "agentPresentMs": "agent_present_ms",
         "agentOnlyMs": "agent_only_ms", "idleMs": "idle_ms", "sessions": "sessions", "longestSessionMs": "longest_session_ms",
@@ -1075,7 +1099,7 @@ def _oracle() -> dict[str, str]:
     # ---- jobs in several passes ----
     for job, same in (
         ("stream_sessions", "sessionize_ticks"), ("stream_deltas", "cumulative_delta"), ("refreshed_cells", "daily_cells"),
-        ("stream_diagnostics", "diagnostics_changes"),
+        ("stream_diagnostics", "diagnostics_changes"), ("stream_edits", "edit_windows"), ("rollup_partials", "multi_period_rollup"),
         ("migrate_twice", "migrate_history"),
     ):
         o(job, out[same])
@@ -1084,13 +1108,20 @@ def _oracle() -> dict[str, str]:
         """select 'claude' as agent, count(*) as rows, 0::bigint as without_time from a_lines
         union all select 'codex', count(*), count(*) filter (ts = timestamp '2024-02-01') from b_lines""",
     )
-    CTES["f"] = "select 'b' || (conv_id % 8) as file, place >= 40 as later, strlen(line) + 1 as n from all_lines"
+    CTES["f"] = "select 'b' || (conv_id // 16) as file, place >= 40 as later, strlen(line) + 1 as n from all_lines"
     o(
         "transcript_passes",
         """select file, 1::int as pass, count(*) as lines, 0::bigint as from_offset, sum(n)::bigint as next_offset from f where not later group by 1
         union all select file, 2::int, count(*) filter (later), coalesce(sum(n) filter (not later), 0)::bigint, sum(n)::bigint from f group by 1
           having bool_or(later)""",
     )
+    o(
+        "ingest_passes",
+        """select 'c' || conv_id as session_uuid, 'p' || (conv_id % 5) as project, count(*) as turns, sum(input)::bigint as input, sum(output)::bigint as output,
+          count(*) as summary_turns, sum(input)::bigint as summary_input, any_value(bad)::bigint as unparsed_lines
+        from (select * from a_lines qualify row_number() over (partition by source_file, coalesce(message_id, place::varchar) order by place) = 1)
+        join (select source_file, conv_id, count(*) filter (line = '{ bad') as bad from all_lines group by 1, 2) using (source_file) group by conv_id""",
+    )
     o("stream_log", "select type, event_id, project, (epoch_us(ts) // 1000) as ts from signal_log")
     o(
         "append_log",

@@ -16,7 +16,7 @@ from daybook.operators import activity, agents, attribution, backfill, calendar,
 from daybook.operators import signals as G
 from daybook.operators.usage import to_deltas
 from daybook.plans import reports
-from daybook.session import small_side
+from daybook.session import small_side, staging_path
 from daybook.sources import commits as C
 from daybook.sources import event_log
 from daybook.sources.prices import shipped_prices
@@ -249,6 +249,13 @@ def cwd_attribution(spark, sf):
     return found.select("page_id", "project", "root")
 
 
+@query
+def cwd_attribution_filtered(spark, sf):
+    """The same where the roots are taken for too many to broadcast: folders above a working folder pass a filter first."""
+    found = attribution.attribute_by_folder(S.folders(spark, sf), S.folder_roots(spark, sf), small=False)
+    return found.select("page_id", "project", "root")
+
+
 @query
 def repository_match(spark, sf):
     """Folders as repositories against the roots, in either direction."""
@@ -364,6 +371,32 @@ def event_session_attribution(spark, sf):
     return attribution.attribute_events(events, sessions).select("project", "id", "session_id")
 
 
+def overlapping_sessions(spark, sf):
+    """Each session, and one that begins 45 minutes earlier and ends 20 minutes later."""
+    own = S.gap_sessions(spark, sf).select("project", "session_id", "started_at", "ended_at")
+    wide = own.select(
+        "project",
+        F.concat("session_id", F.lit(":wide")).alias("session_id"),
+        (F.col("started_at") - F.expr("interval 45 minutes")).alias("started_at"),
+        (F.col("ended_at") + F.expr("interval 20 minutes")).alias("ended_at"),
+    )
+    return own.unionByName(wide)
+
+
+@query
+def events_in_intervals(spark, sf):
+    """Every session that is open at an event, of sessions that overlap."""
+    events = S.signals(spark, sf).select("project", "ts", "id")
+    found = attribution.within_intervals(events, overlapping_sessions(spark, sf))
+    return found.select("project", "id", "interval.session_id")
+
+
+@query
+def overlapping_attribution(spark, sf):
+    events = S.signals(spark, sf).select("project", "ts", "id")
+    return attribution.attribute_overlapping(events, overlapping_sessions(spark, sf)).select("project", "id", "session_id")
+
+
 @query
 def edit_windows(spark, sf):
     windows = G.aggregate_edits(S.edits(spark, sf))
@@ -497,6 +530,19 @@ def rollup_nested(spark, sf):
     )
 
 
+@query
+def rollup_nested_parts(spark, sf):
+    """The nested export in parts of four items, written, read back and told by number, first and last item."""
+    path = staging_path(spark, "nested")
+    reports.write_nested(reports.nested_parts(S.event_log(spark, sf), S.NOW, 4), path)
+    parts = spark.read.schema("project string, period string, section string, of string, part int, json string").json(path)
+    item = lambda at: F.coalesce(*(F.expr(f"get_json_object(json, concat('$[', {at}, '].{c}'))") for c in ("file", "language", "model")))
+    return parts.select(
+        "project", "period", "section", "of", "part", F.json_array_length("json").alias("items"),
+        F.coalesce(item("0"), F.get_json_object("json", "$.time.duration_ms")).alias("first_item"), item("json_array_length(json) - 1").alias("last_item"),
+    )
+
+
 def _rollup_and_agents(spark, sf):
     log = S.event_log(spark, sf)
     return rollup.rollup_periods(log, S.NOW), rollup.agent_totals(log, S.NOW)

@@ -2,29 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybook.functions.ids import idle_session_id
 from daybook.functions.paths import ancestors, comparable_path, path_slug
 from daybook.functions.when import epoch_ms
 from daybook.operators.ordered import OrderedRows, highest, latest
-from daybook.session import is_small
+from daybook.session import is_small, stage
+
+
+# A filter's bits per root, bits in a block (what bitmap_construct_agg makes), and blocks at most: 16 MB.
+_BITS_EACH, _BLOCK_BITS, _MOST_BLOCKS, _PROBES = 16, 32_768, 4_096, 3
+
+
+def _probe(value: Column, k: int) -> Column:
+    return F.pmod(F.xxhash64(value, F.lit(k)), F.lit(_BLOCK_BITS))
+
+
+def folder_filter(folders: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """(block, bits) rows of a Bloom filter over a column, and the number of blocks: 4 KB each, sized by the number of values up
+    to a bound, so safe to broadcast."""
+    n = folders.count()
+    blocks = min(max(1, -(-n * _BITS_EACH // _BLOCK_BITS)), _MOST_BLOCKS)
+    block = F.pmod(F.xxhash64(column), F.lit(blocks))
+    probes = F.explode(F.array(*(_probe(F.col(column), k) for k in range(_PROBES))))
+    marks = folders.select(block.alias("block"), probes.alias("bit"))
+    return marks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")), blocks
+
+
+def maybe_in(rows: DataFrame, column: str, bloom: tuple[DataFrame, int]) -> DataFrame:
+    """Rows whose value may be in the filter: all that are, and few others."""
+    bits, blocks = bloom
+    found = rows.withColumn("block", F.pmod(F.xxhash64(column), F.lit(blocks))).join(F.broadcast(bits), "block")
+    for k in range(_PROBES):
+        at = _probe(F.col(column), k)
+        byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        # bitmap_construct_agg sets bit n % 8 of byte n / 8.
+        found = found.where(byte.bitwiseAND(F.shiftleft(F.lit(1), (at % 8).cast("int"))) != 0)
+    return found.drop("block", "bits")
 
 
-def attribute_by_folder(sessions: DataFrame, projects: DataFrame) -> DataFrame:
+def attribute_by_folder(sessions: DataFrame, projects: DataFrame, small: bool | None = None) -> DataFrame:
     """sessions (…, cwd) with the projects (project, root) whose root is cwd or lies above it.
 
     Every folder above cwd is a join key, so the prefix join becomes an equi-join. Where the roots are
-    too many to broadcast, each distinct cwd is matched once and copies join the result.
+    too many to broadcast, each distinct cwd is matched once and copies join the result. Folders that no root can be, such as
+    the top ones that all share, are taken out by a filter before anything is shuffled by folder. `small` tells whether the roots
+    are few where the caller knows; otherwise they are counted.
     """
     roots = projects.select("project", "root", comparable_path(F.col("root")).alias("_folder"))
     folder = F.explode(ancestors(F.col("cwd")))
-    if is_small(roots):
+    if is_small(roots) if small is None else small:
         found = sessions.withColumn("_folder", folder).join(F.broadcast(roots), "_folder")
     else:
-        places = sessions.select("cwd").distinct().withColumn("_folder", folder).join(roots, "_folder")
-        found = sessions.join(places, "cwd")
+        places = sessions.select("cwd").distinct().withColumn("_folder", folder)
+        places = maybe_in(places, "_folder", folder_filter(roots.where("_folder IS NOT NULL"), "_folder"))
+        found = sessions.join(places.join(roots, "_folder"), "cwd")
     return found.select(*sessions.columns, "project", "root")
 
 
@@ -85,3 +121,58 @@ def attribute_events(events: DataFrame, sessions: DataFrame, chunks: int | None
         "session_id",
         F.when(inside, F.col("_open.session_id")).otherwise(idle_session_id(epoch_ms(F.col("ts")))),
     ).drop("_side", "_session", "_open", "_chunk")
+
+
+# Cells are 1, 8, 64, … seconds long; the last level has cells of seventy years.
+_CELL, _LEVELS = 8, 11
+
+
+def _covered(intervals: DataFrame) -> DataFrame:
+    """A row per cell (level, cell) of the cells that cover an interval's seconds _lo to _hi. From level to level, the cells at both
+    ends that the next longer cells don't hold as a whole are taken, at most 2 * (_CELL - 1); what lies between goes on."""
+    rows = intervals.withColumn("_cells", F.expr("cast(array() as array<struct<level: int, cell: bigint>>)"))
+    for level in range(_LEVELS):
+        rows = rows.withColumns({"_up": F.expr(f"ceil(_lo / {_CELL})"), "_down": F.expr(f"floor((_hi + 1) / {_CELL})")})
+        if level == _LEVELS - 1:
+            taken = "if(_lo <= _hi, sequence(_lo, _hi), array())"
+        else:
+            head = f"if(_lo < _up * {_CELL}, sequence(_lo, _up * {_CELL} - 1), array())"
+            tail = f"if(_down * {_CELL} <= _hi, sequence(_down * {_CELL}, _hi), array())"
+            taken = f"if(_lo > _hi, array(), if(_up >= _down, sequence(_lo, _hi), concat({head}, {tail})))"
+        cells = F.expr(f"concat(_cells, transform(cast({taken} as array<bigint>), c -> named_struct('level', {level}, 'cell', c)))")
+        on = F.col("_up") < F.col("_down")
+        rows = rows.withColumns({"_cells": cells, "_lo": F.when(on, F.col("_up")).otherwise(1), "_hi": F.when(on, F.col("_down") - 1).otherwise(0)})
+    return rows.select("*", F.inline("_cells")).drop("_cells", "_lo", "_hi", "_up", "_down")
+
+
+def within_intervals(events: DataFrame, intervals: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:
+    """events (keys, ts, …) with every interval (keys, started_at, ended_at, …) open at that instant, start <= ts < end,
+    also where intervals overlap. Columns of the intervals come as a struct `interval`.
+
+    An interval is covered by cells of time: a session of a day by a few dozen. An event is in one cell per level, so the join is on
+    equal cells, and a hot project spreads over as many keys as it has cells. Only levels that some interval uses are asked for.
+    """
+    second = lambda c: F.floor(F.unix_micros(c) / 1_000_000)
+    held = intervals.where("started_at < ended_at").select(*keys, F.struct(*(c for c in intervals.columns if c not in keys)).alias("interval"))
+    low, last = F.col("interval.started_at"), F.col("interval.ended_at")
+    # The last instant before the end.
+    high = F.floor((F.unix_micros(last) - 1) / 1_000_000)
+    cells = stage(_covered(held.withColumns({"_lo": second(low), "_hi": high})), "cells")
+    levels = sorted(r.level for r in cells.select("level").distinct().collect())  # at most _LEVELS
+    if not levels:
+        return events.join(held.limit(0), list(keys))
+    of_event = [F.struct(F.lit(n).alias("level"), F.floor(second(F.col("ts")) / _CELL**n).alias("cell")) for n in levels]
+    placed = events.select("*", F.inline(F.array(*of_event)))
+    found = placed.join(cells, [*keys, "level", "cell"])
+    return found.where((F.col("ts") >= low) & (F.col("ts") < last)).drop("level", "cell")
+
+
+def attribute_overlapping(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """events (project, ts, id, …) with the session open at that instant that was opened last, of equal ones the one with the greatest id;
+    without one, an idle id per minute. Sessions of a project may overlap, as those of several windows do."""
+    held = within_intervals(events.select("project", "ts", "id"), sessions.select("project", "started_at", "ended_at", "session_id"))
+    held = held.select("project", "ts", "id", F.unix_micros("interval.started_at").alias("_at"), F.col("interval.session_id").alias("session_id"))
+    last = held.groupBy("project", "ts", "id").agg(F.max(F.struct("_at", "session_id")).alias("_last"))
+    found = events.join(last, ["project", "ts", "id"], "left")
+    own = F.coalesce("_last.session_id", idle_session_id(epoch_ms(F.col("ts"))))
+    return found.withColumn("session_id", own).drop("_last")

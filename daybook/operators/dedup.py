@@ -25,17 +25,45 @@ def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -
     return _pick(df, keys, F.max_by(F.struct(*rest), F.struct(*order)))
 
 
+def least_by(df: DataFrame, keys: Sequence[str], rank: Column) -> DataFrame:
+    """The row with the least rank per key. The rank is a number that no two rows of a key share, so the least one is found on
+    keys and rank alone, in hash tables, and the wide rows are then looked up by it: they are shuffled once, as evenly as their
+    ranks, and never sorted. df is read twice, so it should be a stored table."""
+    ranked = df.withColumn("_rank", rank)
+    best = ranked.groupBy(*keys).agg(F.min("_rank").alias("_best"))
+    best = best.select(*(F.col(k).alias(f"_{k}") for k in keys), "_best").hint("shuffle_hash")
+    same = F.col("_rank").eqNullSafe(F.col("_best"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return ranked.join(best, same, "left_semi").drop("_rank")
+
+
 def one_per_response(turns: DataFrame) -> DataFrame:
     """The first usage line of each API response in a file; lines without response id all stay."""
     key = F.coalesce("message_id", F.concat(F.lit("\u0000"), F.col("byte_offset").cast("string")))
     keyed = turns.withColumn("_response", key)
-    return first_by(keyed, ["source_file", "_response"], ["byte_offset"]).drop("_response")
+    return least_by(keyed, ["source_file", "_response"], F.col("byte_offset")).drop("_response")
+
+
+_LONG = "9223372036854775807"
+
+
+def summary_rank(number: Column) -> Column:
+    """Orders stored summaries by falling offset, then by their number, in one number."""
+    offset = F.coalesce(offset_in(F.col("event_id")), F.lit(-1)).cast("decimal(19,0)")
+    wide = F.lit(_LONG).cast("decimal(19,0)")
+    return (-offset * wide).cast("decimal(38,0)") + number.cast("decimal(19,0)")
+
+
+def number_in_rank(rank: Column) -> Column:
+    wide = F.lit(_LONG).cast("decimal(19,0)")
+    return F.pmod(rank, wide.cast("decimal(38,0)")).cast("bigint")
 
 
 def latest_agent_session(log: DataFrame) -> DataFrame:
     """Per agent session the stored summary with the greatest offset, the first of equals."""
     stored = log.where(F.col("type") == "agent_session")
-    return last_by(stored, ["agent", "session_uuid"], [offset_in(F.col("event_id")), -F.col("ingest_seq")])
+    return least_by(stored, ["agent", "session_uuid"], summary_rank(F.col("ingest_seq")))
 
 
 def agent_sessions_in(log: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from daybook.functions.ids import offset_event_id, offset_in, turn_event_id
 from daybook.functions.tokens import BILLED, TOKENS, money_sum, round4, token_sums, zero_if_null
 from daybook.operators.agents import SESSION
-from daybook.operators.dedup import agent_sessions_in, drop_repeats, latest_agent_session
+from daybook.operators.dedup import agent_sessions_in, drop_repeats, number_in_rank, summary_rank
 from daybook.operators.pricing import price_turns
 from daybook.schema import CALC_VERSION, CLAUDE, UNKNOWN_MODEL, as_log
-from daybook.session import small_side
+from daybook.session import small_side, stage
 
 AGENT_TYPES = ("agent_turn", "agent_session")
 
@@ -67,19 +67,44 @@ class Reparsed:
     files: DataFrame
 
 
-def _envelopes(log: DataFrame) -> DataFrame:
-    """Project, branch and session id of each agent session: from its first stored turn, else from its
-    latest stored summary."""
-    envelope = F.struct("project", "branch", "session_id", "ts")
-    first_turn = F.min_by(envelope, F.when(F.col("type") == "agent_turn", F.col("ingest_seq")))
-    turns = log.where(_is_agent_event()).groupBy(*SESSION).agg(first_turn.alias("_turn"))
-    latest = latest_agent_session(log).select(*SESSION, envelope.alias("_latest"))
-    return turns.join(latest, SESSION, "left").select(*SESSION, F.coalesce("_turn", "_latest").alias("_ref"))
+_ENVELOPE = ("project", "branch", "session_id", "ts")
+_SUMMARY = ("event_id", "model", "cwd", "started_at", "ended_at", "unparsed_lines")
 
 
-def _reparsed_turns(log: DataFrame, reparsed: Reparsed, prices: DataFrame) -> DataFrame:
-    envelopes = _envelopes(log)
-    rows = reparsed.turns.join(envelopes, SESSION).withColumns(
+def _agent_events(log: DataFrame) -> DataFrame:
+    """The agent events of a log, staged with a number that orders them as the log does; rows without a number come last."""
+    rows = log.where(_is_agent_event()).withColumn("_row", F.monotonically_increasing_id())
+    return stage(rows.withColumn("_n", F.coalesce("ingest_seq", F.lit(1 << 62) + F.col("_row"))).drop("_row"), "agent-events")
+
+
+def _stored_sessions(events: DataFrame) -> DataFrame:
+    """One row per agent session: _ref (project, branch, session id and time of its first stored turn, else of its latest stored
+    summary) and _meta (fields of that summary). The numbers of these two rows are found first, then the rows are looked up."""
+    is_turn, is_summary = F.col("type") == "agent_turn", F.col("type") == "agent_session"
+    numbers = events.groupBy(*SESSION).agg(
+        F.min(F.when(is_turn, F.col("_n"))).alias("_turn"), F.min(F.when(is_summary, summary_rank(F.col("_n")))).alias("_rank")
+    )
+    picks = F.array(
+        F.struct(F.lit("agent_turn").alias("_type"), F.col("_turn").alias("_at")),
+        F.struct(F.lit("agent_session").alias("_type"), number_in_rank(F.col("_rank")).alias("_at")),
+    )
+    numbers = numbers.select(*(F.col(c).alias(f"_{c}") for c in SESSION), F.inline(picks)).where("_at IS NOT NULL").hint("shuffle_hash")
+    rows = events.select("_n", "type", *SESSION, F.struct(*_ENVELOPE).alias("_envelope"), F.struct(*_SUMMARY).alias("_meta"))
+    same = (F.col("_n") == F.col("_at")) & (F.col("type") == F.col("_type"))
+    for c in SESSION:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    found = rows.join(numbers, same, "left_semi")
+    found = found.groupBy(*SESSION).agg(
+        F.max(F.when(is_turn, F.col("_envelope"))).alias("_first"),
+        F.max(F.when(is_summary, F.col("_envelope"))).alias("_latest"),
+        F.max(F.when(is_summary, F.col("_meta"))).alias("_meta"),
+    )
+    listed = events.select(*SESSION).distinct()
+    return listed.join(found, SESSION, "left").select(*SESSION, F.coalesce("_first", "_latest").alias("_ref"), "_meta")
+
+
+def _reparsed_turns(sessions: DataFrame, reparsed: Reparsed, prices: DataFrame) -> DataFrame:
+    rows = reparsed.turns.join(sessions.select(*SESSION, "_ref"), SESSION).withColumns(
         {
             "event_id": turn_event_id(
                 F.col("agent"), F.col("session_uuid"), F.col("message_id"), F.col("byte_offset")
@@ -94,16 +119,16 @@ def _reparsed_turns(log: DataFrame, reparsed: Reparsed, prices: DataFrame) -> Da
     return price_turns(rows, prices)
 
 
-def migrate_turns(log: DataFrame, reparsed: Reparsed, prices: DataFrame, chunks: int | None = None) -> DataFrame:
+def _turns(events: DataFrame, sessions: DataFrame, reparsed: Reparsed, prices: DataFrame, chunks: int | None) -> DataFrame:
     """Every agent turn after the repair: exact ones where the source exists, upgraded ones elsewhere."""
-    exact = _reparsed_turns(log, reparsed, prices)
+    exact = _reparsed_turns(sessions, reparsed, prices)
     sources = reparsed.files.select(*SESSION)
-    stored = log.where(F.col("type") == "agent_turn").join(sources, SESSION, "left_anti")
-    fixed = reprice(upgrade_stored_turns(stored, chunks), prices)
+    stored = events.where(F.col("type") == "agent_turn").join(sources, SESSION, "left_anti")
+    fixed = reprice(upgrade_stored_turns(stored.drop("_n"), chunks), prices)
     return as_log(exact).unionByName(as_log(fixed)).withColumn("_offset", offset_in(F.col("event_id")))
 
 
-def migrate_sessions(log: DataFrame, turns: DataFrame, reparsed: Reparsed, prices: DataFrame) -> DataFrame:
+def _summaries(sessions: DataFrame, turns: DataFrame, reparsed: Reparsed, prices: DataFrame) -> DataFrame:
     """Exactly one summary per agent session that has a turn or a stored summary."""
     at = F.struct("ts", "_offset")
     totals = turns.groupBy(*SESSION).agg(
@@ -114,17 +139,10 @@ def migrate_sessions(log: DataFrame, turns: DataFrame, reparsed: Reparsed, price
         money_sum("cost_usd").alias("_cost"),
         *token_sums(),
     )
-    meta = latest_agent_session(log).select(
-        *SESSION,
-        F.struct("event_id", "model", "cwd", "started_at", "ended_at", "unparsed_lines").alias("_meta"),
-    )
     files = reparsed.files.select(*SESSION, F.struct("next_offset", "unparsed_lines").alias("_file"))
     versions = prices.groupBy("agent").agg(F.max("version").alias("pricing_version"))
     joined = (
-        agent_sessions_in(log)
-        .join(_envelopes(log), SESSION)
-        .join(totals, SESSION, "left")
-        .join(meta, SESSION, "left")
+        sessions.join(totals, SESSION, "left")
         .join(files, SESSION, "left")
         .join(small_side(versions), "agent", "left")
         .where(F.col("turns").isNotNull() | F.col("_meta").isNotNull())
@@ -156,11 +174,15 @@ def migrate_sessions(log: DataFrame, turns: DataFrame, reparsed: Reparsed, price
 
 def migrate_history(log: DataFrame, reparsed: Reparsed, prices: DataFrame, chunks: int | None = None) -> DataFrame:
     """The log with all agent events repaired; other events unchanged. Migrating twice changes nothing
-    more. New rows have no ingest_seq until the compacted log is written."""
-    turns = migrate_turns(log, reparsed, prices, chunks)
-    sessions = migrate_sessions(log, turns, reparsed, prices)
+    more. New rows have no ingest_seq until the compacted log is written.
+
+    The stored agent events, what is known per session and the repaired turns are staged: each is computed once."""
+    events = _agent_events(log)
+    sessions = stage(_stored_sessions(events), "stored-sessions")
+    turns = stage(_turns(events, sessions, reparsed, prices, chunks), "repaired-turns")
+    summaries = _summaries(sessions, turns, reparsed, prices)
     others = as_log(log.where(~_is_agent_event()))
-    return others.unionByName(turns.drop("_offset")).unionByName(as_log(sessions))
+    return others.unionByName(turns.drop("_offset")).unionByName(as_log(summaries))
 
 
 def migration_report(log: DataFrame, migrated: DataFrame, reparsed: Reparsed) -> DataFrame:

@@ -62,23 +62,24 @@ def _sums() -> dict[str, str]:
     return {n: f"cast(sum(if({when}, coalesce({v}, 0), null)) as bigint)" for n, (when, v) in cases.items()}
 
 
-def additive_rollup(log: DataFrame, now) -> DataFrame:
-    """Every sum, count and maximum of a rollup, and the first and last diagnostics in log order."""
+def additive_parts(rows: DataFrame, by: str) -> DataFrame:
+    """Every sum, count and maximum per project and `by` (a band or a day), and the first and last diagnostics in log order.
+    Parts of any rows can be combined."""
     seq = F.when(_of("diagnostics"), F.col("ingest_seq"))
-    bands = (
-        in_scope(as_log(log), now)
-        .groupBy("project", BAND)
-        .agg(
-            *[F.expr(f"{total} as {n}") for n, total in _sums().items()],
-            F.max(F.when(_of("session"), F.col("duration_ms"))).alias("longest_session_ms"),
-            F.min(seq).alias("_first_seq"),
-            F.max(seq).alias("_last_seq"),
-            F.min_by("errors", seq).alias("_first_errors"),
-            F.min_by("warnings", seq).alias("_first_warnings"),
-            F.max_by("errors", seq).alias("_last_errors"),
-            F.max_by("warnings", seq).alias("_last_warnings"),
-        )
+    return rows.groupBy("project", by).agg(
+        *[F.expr(f"{total} as {n}") for n, total in _sums().items()],
+        F.max(F.when(_of("session"), F.col("duration_ms"))).alias("longest_session_ms"),
+        F.min(seq).alias("_first_seq"),
+        F.max(seq).alias("_last_seq"),
+        F.min_by("errors", seq).alias("_first_errors"),
+        F.min_by("warnings", seq).alias("_first_warnings"),
+        F.max_by("errors", seq).alias("_last_errors"),
+        F.max_by("warnings", seq).alias("_last_warnings"),
     )
+
+
+def combined_additive(bands: DataFrame) -> DataFrame:
+    """Periods from additive parts with their band."""
     inside = F.col(BAND) <= F.col("rank")
 
     def by_seq(pick, value, at):
@@ -99,11 +100,20 @@ def additive_rollup(log: DataFrame, now) -> DataFrame:
     return _no_nulls(wide, *SUMS, "longest_session_ms", "last_errors", "last_warnings")
 
 
-def edited_files(log: DataFrame, now) -> DataFrame:
+def additive_rollup(log: DataFrame, now) -> DataFrame:
+    """Every sum, count and maximum of a rollup, and the first and last diagnostics in log order."""
+    return combined_additive(additive_parts(in_scope(as_log(log), now), BAND))
+
+
+def file_parts(rows: DataFrame, by: str) -> DataFrame:
+    """The files edited per project and `by`."""
+    return rows.where(_of("file_edit")).select("project", "file", by).distinct()
+
+
+def combined_files(bands: DataFrame) -> DataFrame:
     """Distinct files edited: each file counts in the narrowest band it appears in and every wider one."""
     files = (
-        in_scope(log.where(_of("file_edit")), now)
-        .groupBy("project", "file")
+        bands.groupBy("project", "file")
         .agg(F.min(BAND).alias(BAND))
         .groupBy("project", BAND)
         .agg(F.count("*").alias("files_edited"))
@@ -113,17 +123,26 @@ def edited_files(log: DataFrame, now) -> DataFrame:
     )
 
 
-def median_sessions(log: DataFrame, now) -> DataFrame:
-    counts = (
-        in_scope(log.where(_of("session")), now)
-        .groupBy("project", zero_if_null("duration_ms").alias("duration_ms"), BAND)
-        .agg(F.count("*").alias("n"))
-    )
-    spread = per_period(counts, ["project", "duration_ms"], sums=["n"]).where("n > 0")
+def edited_files(log: DataFrame, now) -> DataFrame:
+    return combined_files(in_scope(log.where(_of("file_edit")), now))
+
+
+def duration_parts(rows: DataFrame, by: str) -> DataFrame:
+    """How many sessions of each length a project has per `by`."""
+    sessions = rows.where(_of("session"))
+    return sessions.groupBy("project", zero_if_null("duration_ms").alias("duration_ms"), by).agg(F.count("*").alias("n"))
+
+
+def combined_medians(bands: DataFrame) -> DataFrame:
+    spread = per_period(bands, ["project", "duration_ms"], sums=["n"]).where("n > 0")
     medians = median_of_counts(spread, ["project", "period"], "duration_ms", "n", MINUTE_MS)
     return medians.withColumnRenamed("median", "median_session_ms")
 
 
+def median_sessions(log: DataFrame, now) -> DataFrame:
+    return combined_medians(duration_parts(in_scope(log.where(_of("session")), now), BAND))
+
+
 def agent_totals(log: DataFrame, now) -> DataFrame:
     """Per agent and period: tokens and cost of its turns, sessions and quality of its summaries.
     An agent has a row for the periods in which it has an event."""
@@ -269,12 +288,15 @@ def hours_of_day(log: DataFrame, now) -> DataFrame:
     return per_hour.select("project", "period", F.posexplode(minutes).alias("hour", "minutes"))
 
 
-def rollup_periods(log: DataFrame, now) -> DataFrame:
-    """One row per project and period with every single-valued measure."""
+def joined_periods(additive: DataFrame, files: DataFrame, medians: DataFrame, now) -> DataFrame:
     return (
-        additive_rollup(log, now)
-        .join(edited_files(log, now), ["project", "period"], "left")
-        .join(median_sessions(log, now), ["project", "period"], "left")
+        additive.join(files, ["project", "period"], "left")
+        .join(medians, ["project", "period"], "left")
         .fillna(0, ["files_edited", "median_session_ms"])
         .withColumn("since_ms", since_ms(F.col("period"), now))
     )
+
+
+def rollup_periods(log: DataFrame, now) -> DataFrame:
+    """One row per project and period with every single-valued measure."""
+    return joined_periods(additive_rollup(log, now), edited_files(log, now), median_sessions(log, now), now)

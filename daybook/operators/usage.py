@@ -135,9 +135,9 @@ def read_usage(lines: DataFrame) -> DataFrame:
     return counted.selectExpr(*kept, "unparsed", "meta", f"if({real}, {usage}, null) as usage")
 
 
-def usage_rows(read: DataFrame) -> DataFrame:
-    """One row per usage record; codex rows take the model of the file's last meta line, rows without
-    timestamp the file time."""
+def usage_rows(read: DataFrame, metas: DataFrame | None = None) -> DataFrame:
+    """One row per usage record; codex rows take the model of the file's last meta line (of `metas`, where it is
+    known already), rows without timestamp the file time."""
     keep = read.drop("meta", "unparsed")
     rows = (
         present(keep, F.col("usage"))
@@ -145,7 +145,8 @@ def usage_rows(read: DataFrame) -> DataFrame:
         .withColumn("ts", F.coalesce(F.try_to_timestamp("ts_text"), F.col("mtime")))
         .drop("ts_text")
     )
-    metas = session_metas(read).select("source_file", F.col("model").alias("_meta_model"))
+    metas = session_metas(read) if metas is None else metas
+    metas = metas.select("source_file", F.col("model").alias("_meta_model"))
     named = F.when(
         F.col("agent") == CODEX, F.coalesce("_meta_model", F.lit(DEFAULT_CODEX_MODEL))
     ).otherwise(F.col("model"))

@@ -65,7 +65,12 @@ def turn_events(found: Transcripts, owners: DataFrame, prices: DataFrame) -> Dat
 
 def session_events(turns: DataFrame, found: Transcripts, owners: DataFrame, prices: DataFrame) -> DataFrame:
     """One summary per file that has a turn."""
-    summaries = price_sessions(summarize_agent_sessions(turns), prices)
+    return session_summaries(summarize_agent_sessions(turns), found, owners, prices)
+
+
+def session_summaries(summaries: DataFrame, found: Transcripts, owners: DataFrame, prices: DataFrame) -> DataFrame:
+    """Log rows of summaries (agent, session_uuid, started_at, ended_at, turns, tokens, model)."""
+    summaries = price_sessions(summaries, prices)
     files = found.quality.withColumn("session_uuid", transcript_uuid(F.col("source_file")))
     owned = files.join(owners, "source_file").select(
         "session_uuid", "project", "cwd", "next_offset", "unparsed_lines"

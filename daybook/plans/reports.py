@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from daybook.functions.models import model_label
 from daybook.functions.text import NOT_AVAILABLE, count_label, duration_label, share_label
 from daybook.functions.tokens import round_half_up
 from daybook.operators import rollup as R
+from daybook.operators.ordered import placed
 from daybook.schema import CLAUDE, CODEX
 
 # Columns of the CSV report in order, with the rollup columns they show.
@@ -222,6 +225,15 @@ def language_lines(languages: DataFrame, k: int | None = None) -> DataFrame:
     return R.first_languages(languages, ["project", "period"], k)
 
 
+_GROUPS = {
+    "time": [*R.TIME, "sessions", "longest_session_ms", "median_session_ms", "estimated_ms"],
+    "editor": ["lines_added", "lines_removed", "files_edited", "fs_create", "fs_delete", "fs_change"],
+    "quality": ["first_errors", "first_warnings", "last_errors", "last_warnings"],
+    "git": ["commits", "insertions", "deletions"],
+    "counts": ["test_runs", "tests_passed", "tests_failed", "task_runs", "debug_sessions"],
+}
+
+
 def rollup_nested(log: DataFrame, now, files: int | None = None) -> DataFrame:
     """The JSON export: one nested row per project and period. Arrays hold its models, languages and hours, and its
     files, with `files` only the first of them: a nested row is as long as what it lists."""
@@ -267,16 +279,46 @@ def rollup_nested(log: DataFrame, now, files: int | None = None) -> DataFrame:
         hours.withColumn("hours", F.transform("hours", lambda h: h["minutes"])),
     ):
         out = out.join(part, keys, "left")
-    groups = {
-        "time": [*R.TIME, "sessions", "longest_session_ms", "median_session_ms", "estimated_ms"],
-        "editor": [
-            "lines_added", "lines_removed", "files_edited", "fs_create", "fs_delete", "fs_change", "by_language",
-            "top_files",
-        ],
-        "quality": ["first_errors", "first_warnings", "last_errors", "last_warnings"],
-        "git": ["commits", "insertions", "deletions"],
-        "counts": ["test_runs", "tests_passed", "tests_failed", "task_runs", "debug_sessions"],
-    }
+    groups = _GROUPS | {"editor": [*_GROUPS["editor"], "by_language", "top_files"]}
     return out.select(
         *keys, *[F.struct(*cols).alias(name) for name, cols in groups.items()], "agents", F.col("hours").alias("heatmap_by_hour")
     )
+
+
+# Items of a list in one part of the export.
+PART = 10_000
+
+
+def nested_parts(log: DataFrame, now, size: int = PART) -> DataFrame:
+    """The JSON export in parts of bounded length: (project, period, section, of, part, json). Section head has the single values, the
+    hours and the totals by agent; sections by_model (of an agent), by_language and top_files have arrays of `size` items at most, part
+    by part in their order. Items are numbered by ranges, so a project of any number of files is never gathered."""
+    keys = ["project", "period"]
+    totals = R.agent_totals(log, now).join(R.pricing_versions(log, now), ["project", "agent", "period"], "left")
+    # A project has few agents and 24 hours.
+    rest = F.struct(*[c for c in totals.columns if c not in (*keys, "agent")])
+    agents = totals.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("agent", rest.alias("totals"))))).alias("agents"))
+    hours = R.hours_of_day(log, now).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hour", "minutes"))).alias("_hours"))
+    head = R.rollup_periods(log, now).join(agents, keys, "left").join(hours, keys, "left")
+    groups = [F.struct(*cols).alias(name) for name, cols in _GROUPS.items()]
+    heat = F.transform("_hours", lambda h: h["minutes"]).alias("heatmap_by_hour")
+    none = F.lit(None).cast("string")
+    heads = head.select(*keys, F.lit("head").alias("section"), none.alias("of"), F.lit(0).alias("part"), F.to_json(F.struct(*groups, "agents", heat)).alias("json"))
+
+    def cut(items: DataFrame, section: str, of: Column) -> DataFrame:
+        """Rows with `place` as arrays of JSON."""
+        own = [c for c in items.columns if c not in (*keys, "place", "agent")]
+        part = F.floor((F.col("place") - 1) / size).cast("int").alias("part")
+        listed = F.array_sort(F.collect_list(F.struct("place", *own)))
+        lists = items.groupBy(*keys, of.alias("of"), part).agg(F.to_json(F.transform(listed, lambda x: x.dropFields("place"))).alias("json"))
+        return lists.select(*keys, F.lit(section).alias("section"), "of", "part", "json")
+
+    languages = placed(R.lines_by_language(log, now), keys, [-F.col("lines"), F.col("language")])
+    parts = [heads, cut(R.agent_models(log, now), "by_model", F.col("agent")), cut(languages, "by_language", none), cut(R.top_files(log, now), "top_files", none)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_nested(parts: DataFrame, path: str) -> None:
+    """The parts as JSON lines, ordered by project, period, section and part; no task holds a project as a whole."""
+    order = ["project", "period", "section", "of", "part"]
+    parts.repartitionByRange(*order).sortWithinPartitions(*order).write.json(path)

@@ -64,6 +64,11 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
     files.rename(place, spark._jvm.org.apache.hadoop.fs.Path(to))
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    place, files = _files(spark, path)
+    files.mkdirs(place)
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it doesn't exist."""
     place, files = _files(spark, path)

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions import jsonval as J
+from daybook.operators.dedup import least_by
 from daybook.operators.ordered import OrderedRows, total
 from daybook.schema import FIELDS, LOG_COLUMNS, PAYLOADS, as_log
-from daybook.session import present
-
-_AFTER_ALL = 2**63 - 1
+from daybook.session import present, stage
 
 
 def _payload_ddl() -> str:
@@ -135,15 +134,22 @@ def append_events(log: DataFrame, path: str) -> None:
     encode_events(log).write.mode("append").text(path)
 
 
-def first_per_event(log: DataFrame) -> DataFrame:
+def first_per_event(log: DataFrame, stored: bool = False) -> DataFrame:
     """First row in log order per (type, event id); rows without a number come after those with one, and equal ones by
-    their content. Copies fold into one row before the shuffle, so a group of copies of any size is never gathered."""
-    rest = [c for c in log.columns if c not in ("type", "event_id")]
-    order = F.struct(F.coalesce("ingest_seq", F.lit(_AFTER_ALL)), F.xxhash64(*_comparable(log, ("type", "event_id"))))
-    best = F.min_by(F.struct(*rest), order)
-    return (
-        log.groupBy("type", "event_id").agg(best.alias("_first")).select("type", "event_id", "_first.*")
-    ).select(*log.columns)
+    their content. The first number of each event is found first, and its row looked up, so a group of copies of any size is never
+    gathered nor sorted. The log is read several times: unless it is `stored` it is staged."""
+    keys = ["type", "event_id"]
+    rows = log if stored else stage(log, "log")
+    numbered_rows, rest = rows.where("ingest_seq IS NOT NULL"), rows.where("ingest_seq IS NULL")
+    first = least_by(numbered_rows, keys, F.col("ingest_seq")).select(*log.columns)
+    # A stored table knows if all its rows have a number.
+    if rest.select("ingest_seq").isEmpty():
+        return first
+    rest = rest.join(numbered_rows.select(*keys).distinct(), keys, "left_anti")
+    wide = [c for c in log.columns if c not in keys]
+    least = F.min_by(F.struct(*wide), F.xxhash64(*_comparable(log, ("type", "event_id"))))
+    rest = rest.groupBy(*keys).agg(least.alias("_first")).select(*keys, "_first.*")
+    return first.unionByName(rest.select(*log.columns))
 
 
 def compact_log(log: DataFrame, compacted: DataFrame, snapshot_seq: Column | int) -> DataFrame:

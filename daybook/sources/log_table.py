@@ -1,21 +1,30 @@
-"""The log as a table of versions, partitioned by type and day.
+"""The log as a table of versions and appended batches, partitioned by type and day.
 
 root/v000001/type=.../day=.../   a version
+root/holds/v000001/3             the appended batches that the version has taken in, an empty file each
 root/current/v000001             an empty file that makes the version current
-
-Rows are appended to the current version. Compaction writes the next one without repeats, takes in what was appended
-meanwhile, and marks it current last, so a reader sees a whole version at any time.
+root/claims/3                    an empty file that gives a writer the number of its batch
+root/batches/3/type=.../day=.../ an appended batch
+root/appended/3                  an empty file that makes the batch readable
+
+Appends never touch a version, and compaction never waits for appends: it takes in the batches that were readable when it began
+and notes which, before the new version is marked current. A reader takes the current version and all readable batches that the
+version does not hold, so a row appended between any two steps is read exactly once. A batch's number gives its rows
+numbers of their own, so two writers never take the same ones. Only one compaction or repair may run at a time.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions.when import day_key
 from daybook.schema import as_log
 from daybook.session import _files, names_in, remove
-from daybook.sources.event_log import compact_log, first_per_event, last_number, numbered
+from daybook.sources.event_log import first_per_event, numbered
 
 NO_DAY = "none"
 
@@ -31,10 +40,10 @@ def write_days(log: DataFrame, path: str, mode: str = "append") -> None:
     spread.write.mode(mode).partitionBy("type", "day").parquet(path)
 
 
-def read_days(spark: SparkSession, path: str) -> DataFrame:
+def read_days(spark: SparkSession, *paths: str) -> DataFrame:
     """The rows with their column day; filters on type and day choose folders."""
     schema = as_log(spark.range(0)).schema.add("day", "string")
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def current_version(spark: SparkSession, root: str) -> int:
@@ -46,41 +55,105 @@ def version_path(root: str, version: int) -> str:
     return f"{root}/v{version:06d}"
 
 
-def _mark(spark: SparkSession, root: str, version: int) -> None:
-    place, files = _files(spark, f"{root}/current/v{version:06d}")
-    files.create(place).close()
+# A batch has fewer rows than this.
+BATCH_ROWS = 1 << 40
 
 
-def write_version(rows: DataFrame, root: str) -> int:
-    """Number the rows, write them as the next version and make it current."""
-    spark = rows.sparkSession
-    version = current_version(spark, root) + 1
-    remove(spark, version_path(root, version))  # left by a failed write
-    write_days(numbered(rows), version_path(root, version), "errorifexists")
-    _mark(spark, root, version)
-    return version
+def _touch(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it is there already."""
+    place, files = _files(spark, path)
+    if files.exists(place):
+        return False
+    try:
+        files.create(place, False).close()
+    except Py4JJavaError as taken:
+        if "AlreadyExists" not in taken.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
+def _claim(spark: SparkSession, root: str) -> int:
+    """A batch number that no other writer has."""
+    n = max((int(x) for x in names_in(spark, f"{root}/claims")), default=0) + 1
+    while not _touch(spark, f"{root}/claims/{n}"):
+        n += 1
+    return n
+
+
+def _held(spark: SparkSession, root: str, version: int) -> set[int]:
+    return {int(x) for x in names_in(spark, f"{root}/holds/v{version:06d}")}
+
+
+def _readable(spark: SparkSession, root: str) -> set[int]:
+    return {int(x) for x in names_in(spark, f"{root}/appended")}
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """What a reader sees: a version and the batches appended since."""
+
+    root: str
+    version: int
+    batches: tuple[int, ...]
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The rows with their column day; filters on type and day choose folders."""
+        version = [version_path(self.root, self.version)] if self.version else []
+        return read_days(spark, *version, *(f"{self.root}/batches/{n}" for n in self.batches))
+
+
+def snapshot(spark: SparkSession, root: str) -> Snapshot:
+    """The version is looked up first: what it does not hold is still in its batch."""
+    version = current_version(spark, root)
+    return Snapshot(root, version, tuple(sorted(_readable(spark, root) - _held(spark, root, version))))
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return read_days(spark, version_path(root, current_version(spark, root)))
+    return snapshot(spark, root).rows(spark)
 
 
-def append_rows(rows: DataFrame, root: str) -> None:
-    """Rows enter the current version after all that are in it."""
+def append_rows(rows: DataFrame, root: str) -> int:
+    """Rows enter the log as a batch of their own, after all batches claimed before; the number of the batch."""
     spark = rows.sparkSession
-    after = last_number(read_current(spark, root))
-    write_days(numbered(as_log(rows).drop("ingest_seq"), after), version_path(root, current_version(spark, root)))
+    n = _claim(spark, root)
+    write_days(numbered(as_log(rows).drop("ingest_seq"), n * BATCH_ROWS - 1), f"{root}/batches/{n}", "errorifexists")
+    _touch(spark, f"{root}/appended/{n}")
+    return n
 
 
-def compact(spark: SparkSession, root: str) -> int:
-    """The current version without repeats as the next one."""
+def write_version(rows: DataFrame, root: str, made_of: Snapshot | None = None) -> int:
+    """Number the rows, write them as the next version and make it current. The version stands for the snapshot that it was made
+    of; batches appended since, and without a snapshot all batches, are read beside it."""
+    return _write(numbered(rows), root, made_of)
+
+
+def _write(rows: DataFrame, root: str, made_of: Snapshot | None) -> int:
+    spark = rows.sparkSession
     old = current_version(spark, root)
-    snapshot = last_number(read_current(spark, root))
-    path = version_path(root, old + 1)
-    remove(spark, path)
-    log = read_days(spark, version_path(root, old))
-    write_days(first_per_event(as_log(log.where(F.col("ingest_seq") <= snapshot))), path, "errorifexists")
-    late = compact_log(read_days(spark, version_path(root, old)), read_days(spark, path).limit(0), snapshot)
-    write_days(late, path)
-    _mark(spark, root, old + 1)
-    return old + 1
+    version = old + 1
+    for left in (version_path(root, version), f"{root}/holds/v{version:06d}"):  # by a failed write
+        remove(spark, left)
+    write_days(rows, version_path(root, version), "errorifexists")
+    held = _held(spark, root, made_of.version) | set(made_of.batches) if made_of else set()
+    for n in sorted(held & _readable(spark, root)):
+        _touch(spark, f"{root}/holds/v{version:06d}/{n}")
+    _touch(spark, f"{root}/current/v{version:06d}")
+    return version
+
+
+def compact(spark: SparkSession, root: str) -> int:
+    """What is readable now as the next version, without repeats."""
+    seen = snapshot(spark, root)
+    return _write(first_per_event(as_log(seen.rows(spark)), stored=True), root, seen)
+
+
+def drop_taken_in(spark: SparkSession, root: str) -> None:
+    """Delete old versions and the batches that the current one holds. For times when nobody reads an older version."""
+    version = current_version(spark, root)
+    for n in sorted(_held(spark, root, version)):
+        remove(spark, f"{root}/appended/{n}")
+        remove(spark, f"{root}/batches/{n}")
+    for old in range(1, version):
+        remove(spark, version_path(root, old))
+        remove(spark, f"{root}/holds/v{old:06d}")

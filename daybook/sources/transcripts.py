@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from daybook.functions.paths import transcript_uuid
 from daybook.operators.ordered import OrderedRows, total
 from daybook.session import small_side, stage
+from daybook.sources import ranges
 
 
 def list_transcripts(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -109,13 +110,21 @@ def read_transcript_lines(
 
 def read_new_lines(
     spark: SparkSession,
-    path: str | list[str],
-    cursors: DataFrame,
+    path: str | list[str] | DataFrame,
+    cursors: DataFrame | None = None,
     extract: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame | None:
-    """Lines past the cursors, opening only files that grew; None if none did."""
-    names = names_to_open(grown_files(list_transcripts(spark, path), cursors))
-    return read_transcript_lines(spark, names, cursors, extract) if names else None
+    """Lines past the cursors of the files that grew, below `path` or given as `grown_files`; None if none did. Tasks open a file
+    at its cursor and read what follows. In a store that only Spark reads, grown files are scanned whole."""
+    grown = path if isinstance(path, DataFrame) else stage(grown_files(list_transcripts(spark, path), cursors), "grown")
+    first = grown.select("source_file").head()
+    if first is None:
+        return None
+    if ranges.reaches(first.source_file):
+        lines = ranges.read_ranges(grown)
+        return extract(lines) if extract else lines
+    known = grown.select("source_file", F.col("from_offset").alias("next_offset"))
+    return read_transcript_lines(spark, names_to_open(grown), known, extract)
 
 
 def names_to_open(files: DataFrame) -> list[str]:

@@ -45,4 +45,4 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
 
 def read_ingested(spark: SparkSession, target: str) -> DataFrame:
     """The streamed log: the first row of each event."""
-    return first_per_event(as_log(read_days(spark, target)))
+    return first_per_event(as_log(read_days(spark, target)), stored=True)

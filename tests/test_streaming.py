@@ -22,16 +22,6 @@ def folder():
     return tempfile.mkdtemp(prefix="daybook-test-")
 
 
-def run(stream, target, checkpoint):
-    query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(target)
-    )
-    query.awaitTermination()
-
-
 def rows(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
@@ -171,19 +161,110 @@ def test_late_snapshots_give_the_batch_changes(spark):
     assert rows(tables.read_diagnostics(spark, target), *columns) == rows(batch, *columns)
 
 
-def test_streamed_edit_windows_equal_the_batch_windows(spark):
-    base = 1_711_000_000
-    data = [("p", base + i * 35, i, f"m{i % 3}", "rust", i % 5, i % 2) for i in range(30)]
-    data.append(("p", base + 200_000, 99, "m0", "rust", 1, 1))
-    schema = "project string, s long, id long, file string, language string, lines_added long, lines_removed long"
-    df = spark.createDataFrame(data, schema).withColumn("ts", F.timestamp_seconds("s"))
-    source, target, checkpoint = folder(), folder() + "/out", folder()
-    df.write.mode("append").parquet(source)
-    for _ in range(2):
-        run(tables.stream_edits(spark.readStream.schema(df.schema).parquet(source)), target, checkpoint)
-    columns = ["window.start", "file", "language", "lines_added", "lines_removed"]
-    closed = aggregate_edits(df.where("id < 99"))
-    assert rows(spark.read.parquet(target), *columns) == rows(closed, *columns)
+EDITS = "project string, s long, id long, file string, language string, lines_added long, lines_removed long"
+
+
+def edits(spark, rows):
+    return spark.createDataFrame(rows, EDITS).withColumn("ts", F.timestamp_seconds("s"))
+
+
+def test_late_and_repeated_edits_give_the_batch_windows(spark):
+    rng = random.Random(3)
+    whole = edits(spark, [(f"p{i % 3 // 2}", 1_711_000_000 + rng.randint(0, 40_000), i, f"m{i % 3}", f"l{i % 4}", i % 5, i % 2) for i in range(300)])
+    source, target, checkpoint = folder(), folder(), folder()
+
+    def start():
+        return tables.stream_edits(spark.readStream.schema(whole.schema).parquet(source), target, checkpoint)
+
+    assert tables.read_edits(spark, target) is None
+    passes(whole, "id", 4, source, start)
+    columns = ["project", "window.start", "file", "language", "lines_added", "lines_removed"]
+    assert rows(tables.read_edits(spark, target), *columns) == rows(aggregate_edits(whole), *columns)
+
+
+def test_a_late_edit_can_empty_a_window(spark):
+    """Lines that a late edit takes back leave a window without change, which goes."""
+    source, target, checkpoint = folder(), folder(), folder()
+    for part in ([("p", 1_711_000_005, 1, "f", "x", 3, 0)], [("p", 1_711_900_000, 2, "f", "x", 1, 0)], [("p", 1_711_000_006, 3, "f", "x", -3, 0)]):
+        edits(spark, part).write.mode("append").parquet(source)
+        tables.stream_edits(spark.readStream.schema(edits(spark, part).schema).parquet(source), target, checkpoint).awaitTermination()
+    assert [r.lines_added for r in tables.read_edits(spark, target).collect()] == [1]
+
+
+def counted_reads(monkeypatch):
+    """Stored rows and heads that each batch reads."""
+    reads = {}
+    get, heads = tables._Store.get, tables._Store.heads
+
+    def counted(name, plain):
+        def run(self, *args):
+            found = plain(self, *args)
+            number = args[-1] - (name == "late")
+            reads[number] = reads.get(number, 0) + (0 if found is None else found.count())
+            return found
+
+        return run
+
+    monkeypatch.setattr(tables._Store, "get", counted("rows", get))
+    monkeypatch.setattr(tables._Store, "heads", counted("heads", heads))
+    return reads
+
+
+def test_what_a_batch_reads_stays_level(spark, monkeypatch):
+    """Ten batches in order, a day each, whose sessions close in the evening: the last ones read no more than the first ones, and the
+    sessions are those of all rows."""
+    reads = counted_reads(monkeypatch)
+    day, parts = 86_400_000, []
+    for n in range(10):
+        at = 1_711_000_000_000 + n * day
+        live = [(f"p{k % 3}", at + k * 45_000, n * 1_000 + k, k % 7 != 0, k % 5 != 0, k % 11 == 0, n) for k in range(57)]
+        parts += live + [(f"p{k % 3}", at + 10_000_000, n * 1_000 + k, False, False, False, n) for k in range(57, 60)]
+    whole = spark.createDataFrame(parts, "project string, ms long, id long, interaction boolean, focused boolean, is_write boolean, part long")
+    whole = whole.withColumn("ts", F.timestamp_millis("ms"))
+    source, target, checkpoint = folder(), folder(), folder()
+    for n in range(10):
+        whole.where(f"part = {n}").drop("part").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema(whole.drop("part").schema).parquet(source)
+    tables.stream_sessions(stream, target, checkpoint).awaitTermination()
+    per_batch = [reads[n] for n in sorted(reads)]
+    assert len(per_batch) == 10 and max(per_batch[5:]) <= 1.2 * max(per_batch[1:5])
+    assert rows(tables.read_sessions(spark, target), *SHOWN) == rows(batch_sessions(whole), *SHOWN)
+
+
+def test_a_batch_of_deltas_reads_heads_only(spark, monkeypatch):
+    source, target, checkpoint = folder(), folder(), folder()
+    schema = "agent string, session_uuid string, byte_offset long, is_cumulative boolean, " + ", ".join(f"{t} long" for t in TOKENS)
+    data = [("codex", f"s{i % 2}", i, i % 3 > 0, 10 * i, i, 0, 0, 11 * i, 0) for i in range(60)]
+    reads = counted_reads(monkeypatch)
+    for n in range(4):
+        spark.createDataFrame(data[15 * n : 15 * n + 15], schema).write.mode("append").parquet(source)
+        tables.stream_deltas(spark.readStream.schema(schema).parquet(source), target, checkpoint).awaitTermination()
+    assert max(reads.values()) <= 4  # a head per session, read twice
+    columns = ["session_uuid", "byte_offset", *TOKENS]
+    assert rows(tables.read_deltas(spark, target), *columns) == rows(to_deltas(spark.createDataFrame(data, schema)), *columns)
+
+
+def test_rows_without_time_or_project_change_nothing(spark):
+    whole = signals(spark, 60, 9)
+    odd = whole.limit(2).withColumn("ts", F.lit(None).cast("timestamp")).unionByName(whole.limit(1).withColumn("project", F.lit(None).cast("string")))
+    source, target, checkpoint = folder(), folder(), folder()
+    whole.unionByName(odd).write.mode("append").parquet(source)
+    tables.stream_sessions(spark.readStream.schema(whole.schema).parquet(source), target, checkpoint).awaitTermination()
+    assert rows(tables.read_sessions(spark, target), *SHOWN) == rows(batch_sessions(whole), *SHOWN)
+
+
+def test_a_batch_that_did_not_end_is_not_read(spark):
+    """Its parts are there, but not the mark that comes last; when it runs again it writes them again."""
+    whole = signals(spark, 90, 12)
+    source, target = folder(), folder()
+    first, second = whole.where("id < 60"), whole.where("id >= 60")
+    first.write.mode("append").parquet(source)
+    tables.stream_sessions(spark.readStream.schema(whole.schema).parquet(source), target, folder()).awaitTermination()
+    shown = rows(tables.read_sessions(spark, target), *SHOWN)
+    fold = tables._Fold(target, "", ["project"], tables.DAY_MS, None, None, from_results=True)
+    placed = second.withColumns({"place_0": F.col("ms"), "place_1": F.col("id")})
+    tables._Store(spark, target, fold.keys, fold.width).put("rows", placed, 1)
+    assert rows(tables.read_sessions(spark, target), *SHOWN) == shown
 
 
 def test_lines_are_read_with_their_place(spark):

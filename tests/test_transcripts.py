@@ -1,5 +1,7 @@
+import io
 import json
 import os
+import random
 import tempfile
 
 import pytest
@@ -8,7 +10,9 @@ from pyspark.sql import functions as F
 from daybook.functions.tokens import TOKENS
 from daybook.operators.usage import file_quality, read_usage, session_metas, to_deltas, usage_rows
 from daybook.operators.dedup import one_per_response
+from daybook.plans.incremental import ingest_new
 from daybook.plans.ingest import ingest
+from daybook.sources import ranges
 from daybook.sources.event_log import append_events, decode_events, encode_events, first_per_event, read_log
 from daybook.sources.prices import shipped_prices
 from daybook.sources.transcripts import (
@@ -208,6 +212,89 @@ def test_ingest_in_passes_equals_one_pass(spark):
     assert (last.event_id, last.turns, last.cost_usd) == (session.event_id, session.turns, session.cost_usd)
 
 
+@pytest.mark.parametrize("agent", ["claude", "codex"])
+def test_new_bytes_alone_give_what_whole_files_give(spark, agent):
+    """Files that grow by lines, by parts of a line, and not at all: each pass gives the turns past the cursors and the summaries that
+    reading whole files gives."""
+    rng = random.Random(21)
+    files = {}
+    for f in range(3):
+        lines = []
+        for i in range(12):
+            if agent == "claude":
+                lines.append(usage_line(message_id=f"m{i // 2}", request="r", input_tokens=3 + i // 2, output_tokens=f, ts=f"2031-04-01T10:{(7 * i) % 60:02d}:00.000Z"))
+            elif i % 5 == 0:
+                lines.append(json.dumps({"type": "session_meta", "payload": {"cwd": "/work/shop", "model": f"gpt-{i}"}}))
+            else:
+                lines.append(json.dumps({"total_token_usage": {"input_tokens": 40 * i - 90 * (i > 8), "output_tokens": i}, "timestamp": "2031-04-01T10:00:00.000Z"}))
+        lines.insert(4, "{ broken \u00e9")
+        files[f"work-shop/rollout-x-u{f}.jsonl" if agent == "codex" else f"work-shop/u{f}.jsonl"] = ("\n".join(lines) + "\n").encode()
+    projects = spark.createDataFrame([("shop", "/work/shop")], "project string, root string")
+    prices = shipped_prices(spark)
+
+    root, state = tempfile.mkdtemp(prefix="daybook-test-"), tempfile.mkdtemp(prefix="daybook-test-")
+    cursors, cuts, seen = spark.createDataFrame([], "source_file string, next_offset long"), [0.0] * len(files), 0
+    summed = set()
+    shown = lambda r: (r.type, r.event_id, r.ts, r.project, r.input, r.output, r.cost_usd, r.model, r.turns, r.unparsed_lines, r.started_at, r.cwd)
+    for n in range(4):
+        cuts = [1.0 if n == 3 else min(1.0, c + rng.choice([0, 0.15, 0.4])) for c in cuts]
+        for (name, raw), cut in zip(files.items(), cuts, strict=True):
+            write(f"{root}/{name}", "")
+            with open(f"{root}/{name}", "wb") as f:
+                f.write(raw[: int(cut * len(raw))])
+        whole = ingest(spark, root, agent, projects, prices, cursors)
+        # The first try of a pass is not committed.
+        for done in (ingest_new(spark, root, agent, projects, prices, state) for _ in range(2)):
+            assert (done is None) == (whole is None)
+            if whole:
+                # Of a file with a part of a line more, reading it whole gives its last summary once more.
+                expected = [r for r in whole[0].collect() if r.type != "agent_session" or r.event_id not in summed]
+                assert sorted(map(shown, done.rows.collect()), key=repr) == sorted(map(shown, expected), key=repr)
+        if whole:
+            done.commit()
+            summed |= {r.event_id for r in done.rows.where("type = 'agent_session'").collect()}
+            seen += done.rows.where("type = 'agent_turn'").count()
+            after = {r.source_file: r.next_offset for r in cursors.collect()} | {r.source_file: r.next_offset for r in whole[1].collect()}
+            cursors = spark.createDataFrame(list(after.items()), "source_file string, next_offset long")
+    assert ingest_new(spark, root, agent, projects, prices, state) is None and seen >= 12
+
+
+def test_ranges_give_every_line_once():
+    """Whatever the size of ranges and pieces, lines come with their offsets; an unterminated end is left."""
+    rng = random.Random(5)
+    raw = b"".join(bytes(rng.choice(b"ab\xc3") for _ in range(rng.choice([0, 1, 7, 40]))) + b"\n" for _ in range(60)) + b"open"
+    starts = [0] + [i + 1 for i, c in enumerate(raw) if c == 10]
+    expected = [(a, raw[a : b - 1]) for a, b in zip(starts, starts[1:])]
+    for step in (1, 3, 16, 100, 10_000):
+        for begin in (0, starts[7]):
+            found = []
+            for start in range(begin, len(raw), step):
+                found += ranges.lines_of(io.BytesIO(raw), start, min(start + step, len(raw)), begin, len(raw))
+            assert found == [x for x in expected if x[0] >= begin]
+
+
+def test_a_pass_reads_new_bytes_only(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="daybook-test-")
+    path, line = f"{root}/s1.jsonl", '{"a":"' + "x" * 90 + '"}\n'
+    write(path, line * 5_000)
+    cursors = advance_cursors(read_transcript_lines(spark, root))
+    cursors = spark.createDataFrame(cursors.collect(), "source_file string, next_offset long")
+    with open(path, "a") as f:
+        f.write(line * 50)
+    read = []
+
+    class Counted(io.FileIO):
+        def read(self, n=-1):
+            out = super().read(n)
+            read.append(len(out))
+            return out
+
+    size = len(line) * 5_050
+    found = list(ranges.lines_of(Counted(path), len(line) * 5_000, size, len(line) * 5_000, size))
+    assert len(found) == 50 and sum(read) == 50 * len(line)
+    assert read_new_lines(spark, root, cursors).count() == 50
+
+
 def test_codex_ingest_follows_the_working_folder(spark):
     root = tempfile.mkdtemp(prefix="daybook-test-")
     for name, cwd in (("a", "/work/shop/api"), ("b", "/work/shop-old"), ("c", "/WORK/Shop/")):
