@@ -37,11 +37,10 @@ def maybe_in(rows: DataFrame, column: str, bloom: tuple[DataFrame, int]) -> Data
     """Rows whose value may be in the filter: all that are, and few others."""
     bits, blocks = bloom
     found = rows.withColumn("block", F.pmod(F.xxhash64(column), F.lit(blocks))).join(F.broadcast(bits), "block")
+    # bitmap_construct_agg sets bit n % 8 of byte n / 8.
+    byte = "cast(conv(hex(substring(bits, cast(floor(_at / 8) as int) + 1, 1)), 16, 10) as int)"
     for k in range(_PROBES):
-        at = _probe(F.col(column), k)
-        byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        # bitmap_construct_agg sets bit n % 8 of byte n / 8.
-        found = found.where(byte.bitwiseAND(F.shiftleft(F.lit(1), (at % 8).cast("int"))) != 0)
+        found = found.withColumn("_at", _probe(F.col(column), k)).where(f"shiftright({byte}, cast(_at % 8 as int)) & 1 = 1").drop("_at")
     return found.drop("block", "bits")
 
 
@@ -128,21 +127,19 @@ _CELL, _LEVELS = 8, 11
 
 
 def _covered(intervals: DataFrame) -> DataFrame:
-    """A row per cell (level, cell) of the cells that cover an interval's seconds _lo to _hi. From level to level, the cells at both
-    ends that the next longer cells don't hold as a whole are taken, at most 2 * (_CELL - 1); what lies between goes on."""
-    rows = intervals.withColumn("_cells", F.expr("cast(array() as array<struct<level: int, cell: bigint>>)"))
+    """A row per cell (level, cell) of the cells that cover an interval's seconds _lo to _hi. On each level the cells inside the
+    interval run from `low` to `end`; taken are those at both ends that the next longer cells don't hold, at most 2 * (_CELL - 1)."""
+    parts = []
     for level in range(_LEVELS):
-        rows = rows.withColumns({"_up": F.expr(f"ceil(_lo / {_CELL})"), "_down": F.expr(f"floor((_hi + 1) / {_CELL})")})
-        if level == _LEVELS - 1:
-            taken = "if(_lo <= _hi, sequence(_lo, _hi), array())"
-        else:
-            head = f"if(_lo < _up * {_CELL}, sequence(_lo, _up * {_CELL} - 1), array())"
-            tail = f"if(_down * {_CELL} <= _hi, sequence(_down * {_CELL}, _hi), array())"
-            taken = f"if(_lo > _hi, array(), if(_up >= _down, sequence(_lo, _hi), concat({head}, {tail})))"
-        cells = F.expr(f"concat(_cells, transform(cast({taken} as array<bigint>), c -> named_struct('level', {level}, 'cell', c)))")
-        on = F.col("_up") < F.col("_down")
-        rows = rows.withColumns({"_cells": cells, "_lo": F.when(on, F.col("_up")).otherwise(1), "_hi": F.when(on, F.col("_down") - 1).otherwise(0)})
-    return rows.select("*", F.inline("_cells")).drop("_cells", "_lo", "_hi", "_up", "_down")
+        size, above = _CELL**level, _CELL ** (level + 1)
+        low, end = f"cast(ceil(_lo / {size}) as bigint)", f"cast(floor((_hi + 1) / {size}) as bigint)"
+        up, down = f"cast(ceil(_lo / {above}) as bigint) * {_CELL}", f"cast(floor((_hi + 1) / {above}) as bigint) * {_CELL}"
+        run = "if({0} < {1}, sequence({0}, {1} - 1), array())"
+        taken = run.format(low, end) if level == _LEVELS - 1 else (
+            f"if({up} >= {down}, {run.format(low, end)}, concat({run.format(low, up)}, {run.format(down, end)}))"
+        )
+        parts.append(f"transform(cast({taken} as array<bigint>), c -> named_struct('level', {level}, 'cell', c))")
+    return intervals.select("*", F.inline(F.expr(f"concat({', '.join(parts)})"))).drop("_lo", "_hi")
 
 
 def within_intervals(events: DataFrame, intervals: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:

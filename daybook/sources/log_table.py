@@ -1,10 +1,10 @@
 """The log as a table of versions and appended batches, partitioned by type and day.
 
-root/v000001/type=.../day=.../   a version
+root/rows/part=v000001/type=.../day=.../   a version
+root/rows/part=b3/type=.../day=.../        an appended batch
 root/holds/v000001/3             the appended batches that the version has taken in, an empty file each
 root/current/v000001             an empty file that makes the version current
 root/claims/3                    an empty file that gives a writer the number of its batch
-root/batches/3/type=.../day=.../ an appended batch
 root/appended/3                  an empty file that makes the batch readable
 
 Appends never touch a version, and compaction never waits for appends: it takes in the batches that were readable when it began
@@ -40,10 +40,13 @@ def write_days(log: DataFrame, path: str, mode: str = "append") -> None:
     spread.write.mode(mode).partitionBy("type", "day").parquet(path)
 
 
-def read_days(spark: SparkSession, *paths: str) -> DataFrame:
-    """The rows with their column day; filters on type and day choose folders."""
+def read_days(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame:
+    """The rows with their column day; filters on type and day choose folders. Several paths lie below `base`."""
     schema = as_log(spark.range(0)).schema.add("day", "string")
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    if not paths:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema)
+    return (reader.option("basePath", base) if base else reader).parquet(*paths)
 
 
 def current_version(spark: SparkSession, root: str) -> int:
@@ -52,7 +55,11 @@ def current_version(spark: SparkSession, root: str) -> int:
 
 
 def version_path(root: str, version: int) -> str:
-    return f"{root}/v{version:06d}"
+    return f"{root}/rows/part=v{version:06d}"
+
+
+def batch_path(root: str, number: int) -> str:
+    return f"{root}/rows/part=b{number}"
 
 
 # A batch has fewer rows than this.
@@ -100,7 +107,7 @@ class Snapshot:
     def rows(self, spark: SparkSession) -> DataFrame:
         """The rows with their column day; filters on type and day choose folders."""
         version = [version_path(self.root, self.version)] if self.version else []
-        return read_days(spark, *version, *(f"{self.root}/batches/{n}" for n in self.batches))
+        return read_days(spark, *version, *(batch_path(self.root, n) for n in self.batches), base=f"{self.root}/rows")
 
 
 def snapshot(spark: SparkSession, root: str) -> Snapshot:
@@ -117,7 +124,7 @@ def append_rows(rows: DataFrame, root: str) -> int:
     """Rows enter the log as a batch of their own, after all batches claimed before; the number of the batch."""
     spark = rows.sparkSession
     n = _claim(spark, root)
-    write_days(numbered(as_log(rows).drop("ingest_seq"), n * BATCH_ROWS - 1), f"{root}/batches/{n}", "errorifexists")
+    write_days(numbered(as_log(rows).drop("ingest_seq"), n * BATCH_ROWS - 1), batch_path(root, n), "errorifexists")
     _touch(spark, f"{root}/appended/{n}")
     return n
 
@@ -153,7 +160,7 @@ def drop_taken_in(spark: SparkSession, root: str) -> None:
     version = current_version(spark, root)
     for n in sorted(_held(spark, root, version)):
         remove(spark, f"{root}/appended/{n}")
-        remove(spark, f"{root}/batches/{n}")
+        remove(spark, batch_path(root, n))
     for old in range(1, version):
         remove(spark, version_path(root, old))
         remove(spark, f"{root}/holds/v{old:06d}")
