@@ -176,8 +176,9 @@ def _land(rows: DataFrame, name: str, into: str | None = None) -> str:
     """One transcript file per value of `file`, a path below the folder; `into` a folder whose files it replaces."""
     spark, root = rows.sparkSession, staging_path(rows.sparkSession, name)
     into = into or root
+    rows = rows.withColumn("file", F.replace("file", F.lit("/"), F.lit("+")))
     ordered = rows.repartition("file").sortWithinPartitions("file", "later", "source_file", "place")
-    ordered.select(F.replace("file", F.lit("/"), F.lit("+")).alias("file"), "line").write.partitionBy("file").text(root)
+    ordered.select("file", "line").write.partitionBy("file").text(root)
     for folder in (n for n in names_in(spark, root) if n.startswith("file=")):
         path = folder.split("=")[1].replace("+", "/")
         make_folder(spark, f"{into}/{path}".rsplit("/", 1)[0])

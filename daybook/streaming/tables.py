@@ -6,7 +6,7 @@ one task. Each micro-batch is stored, the batch operator runs again from the las
 its rows replace those from there on. After any number of batches, in any order, the result is that of the batch operator
 over all rows.
 
-What a batch reads does not grow with what is stored. Rows and results lie by slice of their place (a day, an hour) and bucket of
+What a batch reads does not grow with what is stored. Rows and results lie by slice of their place (a day, some bytes) and bucket of
 their key; a batch opens the slices from its place of recomputation on, which for rows in order is the open session or window. It finds
 that place in a small table of heads: per key the last place from which a recomputation can start. A batch writes the heads of
 the buckets it touches only. For rows that are too late for it, the place is looked up in the slices before them, nearest first.
@@ -37,7 +37,7 @@ from daybook.operators.usage import to_deltas
 from daybook.session import names_in, remove, stage, staging
 
 BUCKETS = 16
-HOUR_MS, DAY_MS = 3_600_000, 86_400_000
+DAY_MS = 86_400_000
 # Offsets of a transcript in one slice.
 OFFSETS = 1 << 24
 PLACE = ["place_0", "place_1"]
@@ -84,6 +84,12 @@ class _Store:
             return None
         return self.spark.read.option("basePath", root).parquet(*paths).where(F.col("batch") <= upto).drop("slice", "bucket")
 
+    def parts(self, part: str, wanted: set[tuple[int, int]], upto: int) -> DataFrame:
+        """Rows of batches up to `upto` in the given slices and buckets, which exist."""
+        root = f"{self.target}/{part}"
+        paths = [f"{root}/slice={s}/bucket={b}" for s, b in sorted(wanted)]
+        return self.spark.read.option("basePath", root).parquet(*paths).where(F.col("batch") <= upto).drop("slice", "bucket")
+
     def heads(self, buckets: Sequence[int], before: int) -> DataFrame | None:
         root, paths = f"{self.target}/heads", []
         for b in buckets:
@@ -350,23 +356,19 @@ def read_diagnostics(spark: SparkSession, target: str) -> DataFrame | None:
 
 def stream_edits(edits: DataFrame, target: str, checkpoint: str, width: str = EDIT_WINDOW) -> StreamingQuery:
     """Edit windows from a stream of edits (project, ts, id, file, language, lines_added, lines_removed), whatever their order. A
-    batch reads the hours it touches and computes the windows it touches again; an edit that comes twice counts once."""
+    batch reads the days it touches and computes the windows it touches again; an edit that comes twice counts once."""
     begin = F.unix_millis(F.window("ts", width)["start"])
     rows = edits.withColumns({"place_0": begin, "place_1": F.lit(0).cast("long")})
 
     def fold(batch: DataFrame, number: int) -> None:
-        store = _Store(batch.sparkSession, target, _PROJECT, HOUR_MS)
+        store = _Store(batch.sparkSession, target, _PROJECT, DAY_MS)
         with staging(store.spark):
             new = stage(batch.dropna(subset=["project", "place_0"]), "new")
             store.put("rows", new, number)
             windows = stage(new.select("project", *PLACE).distinct().withColumns({"bucket": store.bucket(), "slice": store.slice_of(F.col("place_0"))}), "windows")
-            # One list of slices for all buckets: a batch has few hours unless rows are late.
-            hours = sorted(r.slice for r in windows.select("slice").distinct().collect())
-            parts = [store.get("rows", {b: (h, h) for b in _buckets(windows.where(F.col("slice") == h))}, number) for h in hours]
-            touched = [p.drop("batch").join(windows.select("project", "place_0"), ["project", "place_0"], "left_semi") for p in parts if p is not None]
-            every = touched[0] if touched else new
-            for part in touched[1:]:
-                every = every.unionByName(part)
+            touched = {(r.slice, r.bucket) for r in windows.select("slice", "bucket").distinct().collect()}  # days and buckets of one batch
+            every = store.parts("rows", touched, number)
+            every = every.drop("batch").join(windows.select("project", "place_0"), ["project", "place_0"], "left_semi")
             found = aggregate_edits(every.dropDuplicates(["project", "ts", "id"]), width)
             found = found.withColumns({"place_0": F.unix_millis("window.start"), "place_1": F.lit(0).cast("long")})
             store.put("results", found, number)
