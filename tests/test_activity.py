@@ -151,3 +151,22 @@ def test_medians(spark):
         return (low + high + 1) // 2
 
     assert got == {g: middle(vs) for g, vs in groups.items()}
+
+
+def test_writes_with_an_id_stand_in_the_order_of_the_ticks(spark):
+    """Ticks (ms, us past it, id) and writes of one millisecond: only those at or behind the write's instant and id see it."""
+    base = 1_711_000_000_000_000
+    ticks = [(0, 1), (60_000_100, 2), (60_000_300, 3), (60_000_300, 5), (60_000_500, 4)]
+    writes = [(60_000_300, 4), (60_000_400, 1)]
+    schema = "project string, us long, id long"
+    at = {"ts": F.timestamp_micros("us"), "interaction": F.lit(False), "focused": F.lit(True)}
+    ticks = spark.createDataFrame([("p", base + us, i) for us, i in ticks], schema).withColumns(at).drop("us")
+    writes = spark.createDataFrame([("p", base + us, i) for us, i in writes], schema).withColumn("ts", F.timestamp_micros("us")).drop("us")
+    seen = with_last_write(ticks, writes, GRACE_MS, chunks=2).where("agent_active").select("id").collect()
+    assert sorted(r.id for r in seen) == [4, 5]
+    for chunks in (1, 3):
+        [found_] = sessionize_ticks(ticks, writes, chunks=chunks).collect()
+        # The minute is credited to the first tick of the millisecond (id 2), which is in front of both writes.
+        assert (found_.duration_ms, found_.agent_present_ms, found_.focus_only_ms) == (60_000, 0, 60_000)
+        [found_] = sessionize_ticks(ticks, writes.drop("id"), chunks=chunks).collect()
+        assert found_.agent_present_ms == 60_000
