@@ -292,3 +292,18 @@ def test_streams_run_from_any_folder():
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(script)], cwd=folder(), env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_streamed_writes_by_id_stand_in_the_order_of_the_ticks(spark):
+    """Of one instant, a write counts for ticks from its id on, as in the batch operator; without the choice for all of them."""
+    base = 1_711_000_000_000
+    data = [("p", base, 0, False), ("p", base + 60_000, 1, False), ("p", base + 60_000, 2, True), ("p", base + 120_000, 3, False)]
+    whole = spark.createDataFrame(data, "project string, ms long, id long, is_write boolean")
+    whole = whole.withColumns({"ts": F.timestamp_millis("ms"), "interaction": F.lit(False), "focused": F.lit(True)}).drop("ms")
+    for by_id, present in ((True, 60_000), (False, 120_000)):
+        source, target, checkpoint = folder(), folder(), folder()
+        whole.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(whole.schema).parquet(source)
+        tables.stream_sessions(stream, target, checkpoint, writes_by_id=by_id).awaitTermination()
+        [found] = tables.read_sessions(spark, target).collect()
+        assert (found.duration_ms, found.agent_present_ms) == (120_000, present)
