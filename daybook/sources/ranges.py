@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import BinaryIO
 from urllib.parse import urlsplit
+from uuid import uuid4
 
 import pyarrow as pa
 from pyarrow import fs
@@ -23,15 +24,47 @@ def reaches(uri: str) -> bool:
     return urlsplit(uri).scheme in SCHEMES
 
 
-def open_file(uri: str) -> BinaryIO:
+def _place(uri: str) -> tuple[fs.FileSystem, str]:
     scheme = urlsplit(uri).scheme
     if SCHEMES[scheme] == "file":
-        path = uri.removeprefix("file:")
-        return fs.LocalFileSystem().open_input_file("/" + path.lstrip("/"))
-    store, path = fs.FileSystem.from_uri(SCHEMES[scheme] + uri[len(scheme) :])
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(SCHEMES[scheme] + uri[len(scheme) :])
+
+
+def open_file(uri: str) -> BinaryIO:
+    store, path = _place(uri)
     return store.open_input_file(path)
 
 
+def write_lines(rows: DataFrame, root: str) -> None:
+    """rows (file, line), sorted so that the lines of a file follow each other in one partition: tasks write each file below `root`
+    under a name of their own and then give it its name, so a task that runs again replaces what it wrote. One line at a time is held
+    of a batch, and the driver learns no names."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _place(root)
+        name = out = part = None
+
+        def close() -> None:
+            out.close()
+            store.move(part, f"{folder}/{name}")
+
+        for batch in batches:
+            for file, line in zip(batch.column("file").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if file != name:
+                    if out is not None:
+                        close()
+                    name, part = file, f"{folder}/{file}.{uuid4().hex}"
+                    store.create_dir(part.rsplit("/", 1)[0], recursive=True)
+                    out = store.open_output_stream(part, buffer_size=PIECE)
+                out.write((line or "").encode() + b"\n")
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_pydict({"done": pa.array([1], pa.int32())})
+
+    rows.select("file", "line").mapInArrow(write, "done int").write.format("noop").mode("overwrite").save()
+
+
 def lines_of(file: BinaryIO, start: int, end: int, begin: int, size: int) -> Iterator[tuple[int, bytes]]:
     """Offset and bytes of every line that starts in [start, end), without its line feed. Lines start at `begin` and behind line
     feeds; a line that does not end before `size` is left out."""
@@ -72,7 +105,8 @@ def read_ranges(files: DataFrame) -> DataFrame:
     """files (source_file, from_offset, size, mtime) -> source_file, mtime, byte_offset, next_offset, line of every whole line
     from from_offset on. A task holds a piece of a range and one line. Names stay in the table; the driver learns the number of
     bytes only."""
-    total = files.agg(F.sum(F.ceil((F.col("size") - F.col("from_offset")) / RANGE))).first()[0] or 0
+    # Opening a file counts as a piece, so that many small files share a task.
+    total = files.agg(F.ceil(F.sum(F.col("size") - F.col("from_offset") + PIECE) / RANGE)).first()[0] or 0
     starts = F.sequence(F.col("from_offset"), F.col("size") - 1, F.lit(RANGE).cast("bigint"))
     ranges = files.where("size > from_offset").select("source_file", "mtime", "size", "from_offset", F.explode(starts).alias("start"))
     ranges = ranges.repartition(max(1, min(int(total), TASKS)))

@@ -339,3 +339,28 @@ def test_log_round_trip_and_first_row_per_event(spark):
     assert sorted(map(tuple, back.drop("by_language").collect()), key=repr) == sorted(
         map(tuple, log.drop("by_language").collect()), key=repr
     )
+
+
+def test_files_are_written_by_tasks_and_small_ones_share_a_task(spark):
+    root = tempfile.mkdtemp(prefix="daybook-test-")
+    data = [(f"p{n % 3}/c{n}.jsonl", k, f'{{"n":{n},"k":{k}}}' if k else "é") for n in range(200) for k in range(n % 4 + 1)]
+    rows = spark.createDataFrame(data, "file string, k long, line string")
+
+    def land(some):
+        ranges.write_lines(some.repartition(5, "file").sortWithinPartitions("file", "k"), root)
+
+    land(rows.where("k < 2"))
+    land(rows)  # replaces each file by its longer state
+    there = sorted(os.path.relpath(os.path.join(at, name), root) for at, _, names in os.walk(root) for name in names)
+    assert there == sorted({file for file, _, _ in data})
+    files = list_transcripts(spark, root).withColumn("from_offset", F.lit(0).cast("bigint"))
+    lines = ranges.read_ranges(files)
+    # 200 files of a few bytes count a piece (1 MB) each.
+    assert lines.rdd.getNumPartitions() == 7
+    name = F.regexp_extract("source_file", r"(p\d/c\d+\.jsonl)$", 1)
+    got = sorted((r.file, r.byte_offset, r.line) for r in lines.select(name.alias("file"), "byte_offset", "line").collect())
+    want, at = [], {}
+    for file, _, line in data:
+        want.append((file, at.get(file, 0), line))
+        at[file] = at.get(file, 0) + len(line.encode()) + 1
+    assert got == sorted(want)
