@@ -6,6 +6,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,11 @@ class Vocabulary:
     # Whether no piece goes on after a space mark or holds a line feed beside other characters.
     splits_at_spaces: bool
 
+    @cached_property
+    def prefix_ends(self) -> frozenset[str]:
+        """The last two characters of the prefixes that have two."""
+        return frozenset(p[-2:] for p in self.prefixes if len(p) > 1)
+
     @staticmethod
     def load(path: str = VOCABULARY) -> Vocabulary:
         import sentencepiece
@@ -84,17 +90,17 @@ def _extend(words: Vocabulary, text: str, scores: list[float], back: list[int])
         at = start = end - 1
         best = scores[at] + unknown
         # Backwards, as long as what has been passed ends some piece.
-        before = endings
-        while before is not None and start >= 0:
-            node = before.get(text[start])
-            if node is None:
-                break
+        node = endings.get(text[start])
+        while node is not None:
             known, before = node
             if known is not None:
                 score = scores[start] + known
                 if score >= best:
                     best, at = score, start
+            if before is None or not start:
+                break
             start -= 1
+            node = before.get(text[start])
         scores.append(best)
         back.append(at)
 
@@ -155,7 +161,9 @@ class StreamingViterbi:
     def _meeting(self, text: str) -> int:
         """The last boundary of what was read that all surviving paths share."""
         last, back, prefixes = len(text), self.back, self.words.prefixes
-        live = {s for s in range(max(0, last - self.words.longest + 1), last) if text[s:] in prefixes}
+        # Where no piece goes on after the last two characters, one can only go on after the last.
+        low = max(0, last - self.words.longest + 1) if text[-2:] in self.words.prefix_ends else last - 1
+        live = {s for s in range(low, last) if text[s:] in prefixes}
         live.add(last)
         while len(live) > 1:
             high = max(live)

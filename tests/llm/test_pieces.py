@@ -128,3 +128,17 @@ def test_the_stream_commits_as_soon_as_paths_meet(words):
         stream.feed("xyzzyqua"[k % 8])
         most = max(most, len(stream.text))
     assert most <= 3 * words.longest
+
+
+def test_meeting_paths_are_those_of_a_search_over_all_starts():
+    words = Vocabulary.load()
+    assert all(p[-2:] in words.prefix_ends for p in words.prefixes if len(p) > 1)
+    for text in ("▁hello▁", "▁zqx\n", "▁▁▁", "▁inter", "▁Straße▁"):
+        stream = pieces.StreamingViterbi(words)
+        stream.text = text
+        pieces._extend(words, text, stream.scores, stream.back)
+        live = {s for s in range(max(0, len(text) - words.longest + 1), len(text)) if text[s:] in words.prefixes} | {len(text)}
+        while len(live) > 1:
+            high = max(live)
+            live = live - {high} | {stream.back[high]}
+        assert stream._meeting(text) == live.pop()
