@@ -125,6 +125,24 @@ def numbered(rows: DataFrame, after: int | None = None) -> DataFrame:
     return known.unionByName(as_log(placed.withColumn("ingest_seq", F.col("_n") + F.lit(after + 1))))
 
 
+# Rows that Spark numbers in a partition at most, as a power of two.
+PLACE_BITS = 33
+
+
+def numbered_by_time(rows: DataFrame, first: int, room: int) -> DataFrame:
+    """Log rows numbered anew by time, type and id, range-partitioned by these. Numbers begin at `first` and stay below first + room; they
+    ascend without being dense, as each partition has a share of the room, so the rows are shuffled once and not staged."""
+    rows = as_log(rows).drop("ingest_seq")
+    by = ["ts", "type", "event_id", "_whole"]
+    rows = rows.withColumn("_whole", F.xxhash64(*_comparable(rows, ())))
+    spread = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    share = room >> int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length()
+    place = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    number = F.shiftright("_at", PLACE_BITS) * F.lit(share) + place
+    fits = (place < share) & (number < room)
+    return as_log(spread.withColumn("ingest_seq", F.when(fits, number + F.lit(first)).otherwise(F.raise_error(F.lit("too many rows for a batch")))))
+
+
 def _comparable(log: DataFrame, without: tuple[str, ...]) -> list[str]:
     """Columns that can be hashed: maps cannot."""
     return [c for c in log.columns if c not in without and not LOG_COLUMNS.get(c, "").startswith("map")]

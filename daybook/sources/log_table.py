@@ -16,15 +16,18 @@ numbers of their own, so two writers never take the same ones. Only one compacti
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions.when import day_key
+from daybook.operators.dedup import least_by
 from daybook.schema import as_log
-from daybook.session import _files, names_in, remove
-from daybook.sources.event_log import first_per_event, numbered
+from daybook.session import _files, names_in, remove, stage
+from daybook.sources.event_log import first_per_event, numbered, numbered_by_time
 
 NO_DAY = "none"
 
@@ -34,9 +37,11 @@ def with_day(log: DataFrame) -> DataFrame:
     return as_log(log).withColumn("day", F.coalesce(day_key(F.col("ts")), F.lit(NO_DAY)))
 
 
-def write_days(log: DataFrame, path: str, mode: str = "append") -> None:
-    # One file per task, type and day at most: hot days are spread, small ones are not scattered.
-    spread = with_day(log).hint("rebalance", F.col("type"), F.col("day"))
+def write_days(log: DataFrame, path: str, mode: str = "append", by_time: bool = False) -> None:
+    """`by_time` says that the rows are range-partitioned by time."""
+    # One file per task, type and day at most: hot days are spread, small ones are not scattered. By time a task has few days already.
+    rows = with_day(log)
+    spread = rows if by_time else rows.hint("rebalance", F.col("type"), F.col("day"))
     spread.write.mode(mode).partitionBy("type", "day").parquet(path)
 
 
@@ -124,7 +129,7 @@ def append_rows(rows: DataFrame, root: str) -> int:
     """Rows enter the log as a batch of their own, after all batches claimed before; the number of the batch."""
     spark = rows.sparkSession
     n = _claim(spark, root)
-    write_days(numbered(as_log(rows).drop("ingest_seq"), n * BATCH_ROWS - 1), batch_path(root, n), "errorifexists")
+    write_days(numbered_by_time(rows, n * BATCH_ROWS, BATCH_ROWS), batch_path(root, n), "errorifexists", True)
     _touch(spark, f"{root}/appended/{n}")
     return n
 
@@ -152,7 +157,37 @@ def _write(rows: DataFrame, root: str, made_of: Snapshot | None) -> int:
 def compact(spark: SparkSession, root: str) -> int:
     """What is readable now as the next version, without repeats."""
     seen = snapshot(spark, root)
-    return _write(first_per_event(as_log(seen.rows(spark)), stored=True), root, seen)
+    return _write(_without_repeats(seen.rows(spark)), root, seen)
+
+
+def _without_repeats(rows: DataFrame) -> DataFrame:
+    """`first_per_event` of a snapshot's rows. What stays is found on narrow columns and counted per folder: folders that lose nothing
+    are read as they are, and only the rows of those that lose some are looked up. A part that loses all its rows is not read."""
+    if "part" not in rows.columns or not rows.where("ingest_seq IS NULL").select("ingest_seq").isEmpty():
+        return first_per_event(as_log(rows), stored=True)
+    folder, row = ["part", "type", "day"], ["type", "event_id", "ingest_seq"]
+    narrow = rows.select(*folder, "event_id", "ingest_seq")
+    first = stage(least_by(narrow, ["type", "event_id"], F.col("ingest_seq")), "first-rows")
+    counts = narrow.withColumn("_n", F.lit(-1)).unionByName(first.withColumn("_n", F.lit(1)))
+    folders = counts.groupBy(*folder).agg(F.sum("_n").alias("_lost"), F.count_if(F.col("_n") > 0).alias("_kept"))
+    folders = stage(folders.where("_kept > 0"), "folders")
+
+    def of(df: DataFrame, lost: str) -> DataFrame:
+        # As many rows as the listing of the table has folders.
+        chosen = folders.where(lost)
+        parts = [r.part for r in chosen.select("part").distinct().collect()]
+        return _semi(df.where(F.col("part").isin(parts)), F.broadcast(chosen), folder)
+
+    whole = as_log(of(rows, "_lost = 0"))
+    if folders.where("_lost < 0").isEmpty():
+        return whole
+    return whole.unionByName(as_log(_semi(of(rows, "_lost < 0"), of(first, "_lost < 0").hint("shuffle_hash"), row)))
+
+
+def _semi(df: DataFrame, other: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of df whose columns `names`, which may be NULL, are found in `other`."""
+    other = other.select(*(F.col(c).alias(f"_{c}") for c in names))
+    return df.join(other, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names)), "left_semi")
 
 
 def drop_taken_in(spark: SparkSession, root: str) -> None:

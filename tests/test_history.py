@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from daybook.operators import backfill, calendar, repair, rollup
@@ -7,7 +8,7 @@ from daybook.operators.dedup import agent_sessions_in, latest_agent_session
 from daybook.operators.git import diffed_files, git_file_stats, git_language_stats
 from daybook.plans import partials, reports
 from daybook.plans.refresh import refresh_daily_cells
-from daybook.schema import LOG_COLUMNS, log_schema
+from daybook.schema import LOG_COLUMNS, as_log, log_schema
 from daybook.sources import event_log, log_table
 from daybook.sources.commits import commit_events, commit_stats, fresh_commits, newest_commits
 
@@ -426,6 +427,43 @@ def test_a_row_appended_between_any_two_steps_is_read_once(spark, tmp_path, monk
     assert log_table.snapshot(spark, root).batches == () and log_table.read_current(spark, root).count() == len(added) + 1
 
 
+def test_appends_stage_nothing_and_number_by_time(spark, tmp_path, monkeypatch):
+    def refuse(*args):
+        raise AssertionError("staged")
+
+    monkeypatch.setattr("daybook.operators.ordered.stage", refuse)
+    root, times = str(tmp_path / "log"), ["2024-05-02 08:00:00", None, "2024-05-01 08:00:00"]
+    for _ in range(2):
+        log_table.append_rows(log(spark, *({**COMMIT, "event_id": f"commit:{n}", "ts": t} for n, t in enumerate(times))), root)
+    rows = log_table.read_current(spark, root).orderBy("ingest_seq").collect()
+    assert [r.event_id for r in rows] == ["commit:1", "commit:2", "commit:0"] * 2 and len({r.ingest_seq for r in rows}) == 6
+    full = event_log.numbered_by_time(log(spark, *[COMMIT] * 40), 0, 64)
+    with pytest.raises(Exception, match="too many rows for a batch"):
+        full.collect()
+
+
+def test_compaction_looks_up_rows_of_folders_that_lose_some_only(spark, tmp_path, monkeypatch):
+    """Folders that keep all, some and none of their rows, with a type or day that is missing."""
+    root = str(tmp_path / "log")
+    day = [f"2024-05-0{d} 12:00:00" for d in (1, 2, 3)]
+    row = lambda name, ts, **more: {**COMMIT, "event_id": name, "ts": ts, **more}
+    log_table.append_rows(log(spark, row("a", day[0]), row("b", day[1]), row("c", day[1]), row("n", None)), root)
+    log_table.append_rows(log(spark, row("a", day[0]), row("a", day[1]), row("b", day[2]), row("d", day[2]), row("n", None)), root)
+    log_table.append_rows(log(spark, row("a", day[0]), row("n", None)), root)
+    seen, looked_up = log_table.snapshot(spark, root).rows(spark), []
+    plain = log_table._semi
+
+    def semi(df, other, names):
+        if names == ["type", "event_id", "ingest_seq"]:
+            looked_up.extend((r.part, r.day, r.event_id) for r in df.collect())
+        return plain(df, other, names)
+
+    monkeypatch.setattr(log_table, "_semi", semi)
+    found = {tuple(r)[:7] for r in log_table._without_repeats(seen).collect()}
+    assert sorted(looked_up) == [("b2", "2024-05-03", "b"), ("b2", "2024-05-03", "d")]
+    assert found == {tuple(r)[:7] for r in event_log.first_per_event(as_log(seen), stored=True).collect()} and len(found) == 5
+
+
 def test_a_repair_stands_for_what_it_was_made_of(spark, tmp_path):
     root = str(tmp_path / "log")
     log_table.write_version(log(spark, COMMIT), root)
