@@ -295,6 +295,32 @@ def test_a_pass_reads_new_bytes_only(spark, monkeypatch):
     assert read_new_lines(spark, root, cursors).count() == 50
 
 
+def test_folders_share_the_tasks_of_a_listing(spark):
+    """More folders than eight a core: their files are found by fewer tasks, and the session's setting stays."""
+    root, setting = tempfile.mkdtemp(prefix="daybook-test-"), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    most, usual = 8 * spark.sparkContext.defaultParallelism, spark.conf.get(setting)
+    for n in range(most + 5):
+        os.makedirs(f"{root}/f{n}")
+        write(f"{root}/f{n}/s{n}.jsonl", '{"a":1}\n')
+    context = spark.sparkContext
+    for made in (lambda: list_transcripts(spark, root), lambda: read_transcript_lines(spark, root)):
+        context.setJobGroup(f"listing-{id(made)}", "")
+        found = made()
+        tracker = context.statusTracker()
+        stages = [s for j in tracker.getJobIdsForGroup(f"listing-{id(made)}") for s in tracker.getJobInfo(j).stageIds]
+        assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= most
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert found.count() == most + 5 and spark.conf.get(setting) == usual
+
+
+def test_cursors_do_not_scan_the_lines_again(spark):
+    root = tempfile.mkdtemp(prefix="daybook-test-")
+    write(f"{root}/s1.jsonl", '{"a":1}\n{"b":2}\nunended')
+    cursors = advance_cursors(read_transcript_lines(spark, root))
+    os.remove(f"{root}/s1.jsonl")
+    assert [r.next_offset for r in cursors.collect()] == [16]
+
+
 def test_codex_ingest_follows_the_working_folder(spark):
     root = tempfile.mkdtemp(prefix="daybook-test-")
     for name, cwd in (("a", "/work/shop/api"), ("b", "/work/shop-old"), ("c", "/WORK/Shop/")):
